@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat_format import read_back, stored_conversations
 from .common import columns
+from .media import media_round_trip
+from .mixing import mix_sources
 from .ngram_join import jaccard_components
+from .token_orc import tokens_digest
+from .url_trust import RULES, judge_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *names: str) -> DataFrame:
@@ -16,6 +21,29 @@ def op1_ngram_jaccard_join(spark, sf_dir):
     return jaccard_components(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op4_chat_formatting(spark, sf_dir):
+    turns = _table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    return read_back(stored_conversations(turns.select(*[turns[c].cast(t).alias(c) for c, t in extra.dtypes]).union(extra)))
+
+
+def op5_url_filters(spark, sf_dir):
+    return judge_urls(_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+def op8_token_orc(spark, sf_dir):
+    return tokens_digest(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op9_media_mpeg(spark, sf_dir):
+    return media_round_trip(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op10_mixing(spark, sf_dir):
+    return mix_sources(_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+
+
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_OP1 = rf"""
@@ -39,5 +67,60 @@ FROM documents d LEFT JOIN sizes z ON z.doc_id = d.doc_id LEFT JOIN sets t ON t.
 LEFT JOIN class c ON c.k = t.k LEFT JOIN least l ON l.id = c.rep
 """
 
-QUERIES = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join}
-ORACLES = {"op1_ngram_jaccard_join": ORACLE_OP1}
+_ESCAPE = r"regexp_replace({0}, '([<\[])(\\*)(\||/?s>|/?INST\])', '\1\\\2\3', 'g')"
+
+ORACLE_OP4 = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(23 + length({_ESCAPE.format("role")}) + length({_ESCAPE.format("text")}))::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+
+def _op5_sql(damping=0.85, rounds=20, threshold=0.5) -> str:
+    def low(x):
+        return _LOWER.format(x)
+
+    fits = [(r, f"((host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}'))") for r in sorted(RULES, key=lambda r: (-len(r.name), r.name))]
+    name = " ".join(f"WHEN {f} THEN '{r.name}'" for r, f in fits)
+    verdict = " ".join(f"WHEN {f} THEN '{r.verdict}'" for r, f in fits)
+    steps = ""
+    for kind, share in (("t", "allowed"), ("d", "blocked")):
+        steps += f", {kind}0 AS (SELECT host, {1 - damping} * {share} AS score FROM hosts)"
+        for k in range(rounds):
+            src, dst, total = ("src", "dst", "outs") if kind == "t" else ("dst", "src", "ins")
+            steps += f""", {kind}{k + 1} AS (SELECT host, sum(score) AS score FROM (
+              SELECT host, {1 - damping} * {share} AS score FROM hosts UNION ALL
+              SELECT e.{dst}, {damping} * s.score * e.weight / e.{total} FROM edges e JOIN {kind}{k} s ON s.host = e.{src}) GROUP BY host)"""
+    return rf"""
+WITH p AS (SELECT page_id, html, {low("regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1)")} AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+judged AS (SELECT page_id, html, host, path, CASE {name} END AS rule, CASE {verdict} END AS ruled FROM p),
+hosts AS (SELECT host, avg(CASE WHEN ruled = 'allow' THEN 1.0::DOUBLE ELSE 0 END) AS allowed, avg(CASE WHEN ruled = 'block' THEN 1.0::DOUBLE ELSE 0 END) AS blocked FROM judged WHERE host <> '' GROUP BY host),
+targets AS (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), 'href\s*=\s*["'']([^"''>]*)', 1)) AS url FROM judged WHERE host <> ''),
+links AS (SELECT src, {low("regexp_extract(CASE WHEN starts_with(url, '//') THEN 'http:' || url ELSE url END, '://([^/?#]*)', 1)")} AS dst FROM targets),
+raw_edges AS (SELECT src, dst, count(*)::DOUBLE AS weight FROM links WHERE dst <> '' AND dst <> src GROUP BY ALL),
+edges AS (SELECT *, sum(weight) OVER (PARTITION BY src) AS outs, sum(weight) OVER (PARTITION BY dst) AS ins FROM raw_edges)
+{steps}
+SELECT page_id, j.host, path, rule, coalesce(ruled, CASE WHEN d.score >= {threshold} * (1 - {damping}::DOUBLE) - 1e-12 AND d.score > coalesce(t.score, 0) THEN 'block' END, 'allow') AS verdict
+FROM judged j LEFT JOIN d{rounds} d ON d.host = j.host LEFT JOIN t{rounds} t ON t.host = j.host
+"""
+
+
+QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op4_chat_formatting": op4_chat_formatting,
+    "op5_url_filters": op5_url_filters,
+    "op8_token_orc": op8_token_orc,
+    "op9_media_mpeg": op9_media_mpeg,
+    "op10_mixing": op10_mixing,
+}
+ORACLES = {
+    "op1_ngram_jaccard_join": ORACLE_OP1,
+    "op4_chat_formatting": ORACLE_OP4,
+    "op5_url_filters": _op5_sql(),
+}
