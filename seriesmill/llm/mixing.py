@@ -101,7 +101,8 @@ def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _fly(last: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "size"], na_position="first", kind="stable")
+        # large ones first: what stays open to the last is small
+        pdf = pdf.sort_values(["size", "doc_id"], ascending=[False, True], na_position="first", kind="stable")
         p, size = pdf["p"].to_numpy(), pdf["size"].to_numpy()
         seed = int(np.uint64((int(pdf["bin"].iloc[0]) * 2654435761 + len(pdf) * 40503 + int(size.sum())) & (2**63 - 1)))
         p = flight(p, size, seed)
