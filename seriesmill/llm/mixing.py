@@ -93,20 +93,30 @@ def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     p = p.copy()
     at = np.flatnonzero((p > 0) & (p < 1))
     if len(at):
-        want, docs = float((p[at] * size[at]).sum()), float(p[at].sum())
-        best = min(itertools.product((0, 1), repeat=len(at)), key=lambda x: (abs(float(np.dot(x, size[at])) - want), abs(sum(x) - docs), x))
-        p[at] = best
+        outcomes = np.arange(1 << len(at))[:, None] >> np.arange(len(at)) & 1
+        words = np.abs(outcomes @ size[at] - (p[at] * size[at]).sum())
+        docs = np.abs(outcomes.sum(axis=1) - p[at].sum())
+        p[at] = outcomes[np.lexsort((docs, words))[0]]
     return p
 
 
+#: Documents, spread over the sizes, that the last flight of a source leaves for landing.
+RESERVED = 10
+
+
 def _fly(last: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        # large ones first: what stays open to the last is small
         pdf = pdf.sort_values(["size", "doc_id"], ascending=[False, True], na_position="first", kind="stable")
-        p, size = pdf["p"].to_numpy(), pdf["size"].to_numpy()
+        p, size = pdf["p"].to_numpy(copy=True), pdf["size"].to_numpy()
         seed = int(np.uint64((int(pdf["bin"].iloc[0]) * 2654435761 + len(pdf) * 40503 + int(size.sum())) & (2**63 - 1)))
-        p = flight(p, size, seed)
-        return pdf.assign(p=land(p, size) if last else p)
+        if last:
+            kept = np.unique(np.linspace(0, len(p) - 1, min(RESERVED, len(p))).round().astype(int))
+            flying = np.setdiff1d(np.arange(len(p)), kept)
+            p[flying] = flight(p[flying], size[flying], seed)
+            p = land(p, size)
+        else:
+            p = flight(p, size, seed)
+        return pdf.assign(p=p)
 
     return run
 
