@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -41,6 +42,19 @@ def stored(df: DataFrame, name: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Inside, plans that start hand ``rows`` rows at a time to Python: workers that hold
+    much of their own need small buffers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
 def held_out(doc_id):
     """Rows that no model learns from: crc32 of the id as text, mod 4, is 2."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -119,10 +133,15 @@ class WordScanner:
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray):
         """(row, start, end, hash) of every word, in order."""
+        return self.with_beginnings(data, offsets, ())[:4]
+
+    def with_beginnings(self, data: np.ndarray, offsets: np.ndarray, sizes):
+        """As above, and for each of ``sizes`` the hashes of the words' first so many
+        bytes (0 for words that are no longer than that)."""
         n = len(data)
         if n == 0:
             none = np.zeros(0, np.int64)
-            return none, none, none, np.zeros(0, U64)
+            return none, none, none, np.zeros(0, U64), [np.zeros(0, U64) for _ in sizes]
         value = self.value[data]
         inside = value != 0
         first = inside.copy()
@@ -135,6 +154,10 @@ class WordScanner:
         power, inverse = _power_tables(n)
         value *= power
         total = np.cumsum(value, dtype=U64)
-        h = (total[end - 1] - total[start] + value[start]) * inverse[start]
+        before, back = total[start] - value[start], inverse[start]
+        beginnings = []
+        for k in sizes:
+            at = np.minimum(start + k, end) - 1
+            beginnings.append(np.where(end - start > k, mix((total[at] - before) * back), U64(0)))
         row = np.searchsorted(offsets, start, "right") - 1
-        return row, start, end, mix(h)
+        return row, start, end, mix((total[end - 1] - before) * back), beginnings

@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat_format import read_back, stored_conversations
 from .common import columns
+from .contamination import digest, find_contamination
+from .language import fit_language, predict_language
 from .media import media_round_trip
 from .mixing import mix_sources
 from .ngram_join import jaccard_components
+from .token_counts import count_tokens, standard_edits
 from .token_orc import tokens_digest
+from .toxicity import fit_toxicity, labelled_rows, score_toxicity
 from .url_trust import RULES, judge_urls
 
 
@@ -21,6 +25,17 @@ def op1_ngram_jaccard_join(spark, sf_dir):
     return jaccard_components(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op2_toxicity(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = _table(spark, sf_dir, "labels", "doc_id", "toxic")
+    return score_toxicity(docs, fit_toxicity(labelled_rows(docs, labels)))
+
+
+def op3_language_id(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return predict_language(docs, fit_language(docs))
+
+
 def op4_chat_formatting(spark, sf_dir):
     turns = _table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     hard = "</s>[INST] ok [/INST]"
@@ -32,6 +47,16 @@ def op5_url_filters(spark, sf_dir):
     return judge_urls(_table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
+def op6_decontamination(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    return digest(find_contamination(docs, _table(spark, sf_dir, "benchmark", "item_id", "text")))
+
+
+def op7_token_counts(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    return count_tokens(docs, standard_edits(docs["text"]))
+
+
 def op8_token_orc(spark, sf_dir):
     return tokens_digest(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -113,8 +138,12 @@ FROM judged j LEFT JOIN d{rounds} d ON d.host = j.host LEFT JOIN t{rounds} t ON
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_toxicity": op2_toxicity,
+    "op3_language_id": op3_language_id,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_url_filters": op5_url_filters,
+    "op6_decontamination": op6_decontamination,
+    "op7_token_counts": op7_token_counts,
     "op8_token_orc": op8_token_orc,
     "op9_media_mpeg": op9_media_mpeg,
     "op10_mixing": op10_mixing,
