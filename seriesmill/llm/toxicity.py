@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ALNUM, U64, WordScanner, held_out, mix, stored, text_chunks
 
@@ -348,18 +349,30 @@ def _score(model: ToxicityModel):
         for batch in batches:
             parts = [model.scores(model.scorer.features(data, offsets)) for _, data, offsets in text_chunks(batch.column(batch.num_columns - 1))]
             score = np.concatenate(parts) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64())], [*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, "score"])
 
     return run
 
 
+def _scored(rows: DataFrame, model: ToxicityModel) -> DataFrame:
+    """``rows`` (text last) with a column score."""
+    return rows.mapInArrow(_score(model), T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
+
+
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score and predicted (score >= ``threshold``) for every row of
     ``docs`` (doc_id, text). Null and empty texts are scored like a text without words.
     Repeated rows are scored each; further columns are ignored."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    scored = rows.mapInArrow(_score(model), "doc_id long, held_out boolean, score double")
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return _scored(rows, model).select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose text scores under ``threshold``, with all their columns
+    whatever their names: these travel in one column past the score."""
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    scored = _scored(docs.select(F.struct(*own).alias("row"), F.col("text").cast("string").alias("text")), model)
+    return scored.where(F.col("score") < threshold).select("row.*")
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
