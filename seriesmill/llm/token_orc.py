@@ -14,18 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path
-from .tokenizing import WordEncoder, load
+from .common import scratch_path, small_batches
+from .tokenizing import word_encoder
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
 ENCODED = "shard int, doc_id long, begin long, n_tokens long, ids array<int>"
 
 
 def _encode(name: str, end_id: int, piece: int = 1 << 22):
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches):
-        encode, begin = WordEncoder(load(name)), 0
+        encode, begin = word_encoder(name), 0
         for batch in batches:
             size = np.cumsum(batch.column(3).to_numpy())
             cut = [0, *(np.flatnonzero(np.diff(size // piece)) + 1).tolist(), len(size)]
@@ -33,12 +31,12 @@ def _encode(name: str, end_id: int, piece: int = 1 << 22):
                 if a == b:
                     continue
                 part = batch.slice(a, b - a)
-                ids = [x + end for x in encode([t or "" for t in part.column(2).to_pylist()])]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
+                ids, n = encode(part.column(2))
+                ids = np.insert(ids, np.cumsum(n), end_id)
+                n = n + 1
                 offsets = np.concatenate([[0], np.cumsum(n)])
-                flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(begin + offsets[:-1]), pa.array(n), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), flat)],
+                    [part.column(0), part.column(1), pa.array(begin + offsets[:-1]), pa.array(n), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.view("<i4")))],
                     ["shard", "doc_id", "begin", "n_tokens", "ids"],
                 )
                 begin += int(offsets[-1])
@@ -58,14 +56,16 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_i
     dealt = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie, "text")
     dealt = dealt.select(F.spark_partition_id().alias("shard"), "doc_id", "text", F.octet_length("text").cast("long").alias("octets"))
     encoded = dealt.mapInArrow(_encode(vocabulary, end_id), ENCODED)
-    encoded.write.options(**{
-        "compression": "zstd",
+    options = {
+        "compression": "snappy",
         "orc.stripe.size": str(16 << 20),
         "orc.row.index.stride": "1000",
         "orc.create.index": "true",
         "orc.bloom.filter.columns": "doc_id",
         "orc.bloom.filter.fpp": "0.01",
-    }).orc(path)
+    }
+    with small_batches(docs.sparkSession, 4000):
+        encoded.write.options(**options).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _loaded: dict = {}
 
@@ -31,42 +33,109 @@ def load(name: str, controls: tuple[str, ...] = ()):
     return _loaded[key]
 
 
-class WordEncoder:
-    """Ids of whole texts, for a tokenizer that drops white space and never joins what
-    white space parts: spaces and line feeds cut a text into pieces, and the ids of a
-    piece are remembered. Other white space stays inside its piece, for the tokenizer.
+#: Signs that one after the other make one word of their own behind letters.
+_SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+#: Letters that lower-casing and normalising may treat in ways of their own.
+_HARD = r"[^\x{0000}-\x{024F}]|\x{0130}"
+
 
-    A piece of plain letters and one last comma or full stop is two words to such a
-    tokenizer, which share their ids with other pieces.
+class WordEncoder:
+    """Ids of whole texts, for a tokenizer that ignores case, drops white space, never
+    joins what white space parts and marks the last token of a word (``</w>``).
+
+    Spaces and line feeds cut a text into pieces (other white space stays inside its
+    piece). Plain letters with signs behind are two words to such a tokenizer: the piece
+    is looked up as these two parts, any other piece as a whole. The ids of parts are
+    remembered in two generations: when the young one is full it becomes the old one,
+    and what is met again comes back from there. All that is done for every piece runs
+    in Arrow and numpy; Python sees the distinct parts of a batch.
     """
 
     def __init__(self, tokenizer, limit: int = 400_000):
         self.tokenizer, self.limit = tokenizer, limit
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.known) + len(pieces) > self.limit:
-            self.known = {"": b""}
-        known = self.known
-        cut = {}
-        for x in pieces:
-            body = x[:-1]
-            if x[-1] in ",." and body.isascii() and body.isalpha():
-                cut[x] = body.lower(), x[-1]
-        plain = {y for pair in cut.values() for y in pair} | (pieces - cut.keys())
-        plain = [x for x in plain if x not in known]
-        for x, e in zip(plain, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)):
-            known[x] = np.array(e.ids, "<u4").tobytes()
-        for x, (body, end) in cut.items():
-            known[x] = known[body] + known[end]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = set().union(*cut) - self.known.keys() if cut else set()
-        if missing:
-            self._learn(missing)
-            if any(x not in self.known for x in set().union(*cut)):
-                self._learn(set().union(*cut))
-        known = self.known.__getitem__
-        return [b"".join(map(known, c)) for c in cut]
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _learn(self, words: list[str], others: list[str]) -> None:
+        """Encodes new words of plain letters thousands at a time, as one text; the rest
+        one by one."""
+        young = self.young
+        blocks = [words[k : k + 4000] for k in range(0, len(words), 4000)]
+        for block, e in zip(blocks, self.tokenizer.encode_batch_fast([" ".join(b) for b in blocks], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            if len(ends) != len(block):
+                raise ValueError("the tokenizer does not mark word ends")
+            ids, a = ids.tobytes(), 0
+            for word, b in zip(block, ends):
+                young[word] = ids[a:b]
+                a = b
+        for x, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
+            young[x] = np.array(e.ids, "<u4").tobytes()
+
+    def _ids(self, parts: list[str], plain: list[bool]) -> list[bytes]:
+        young, old = self.young, self.old
+        found = [young.get(x) for x in parts]
+        words, others = [], []
+        for k, y in enumerate(found):
+            if y is None:
+                x = parts[k]
+                if (z := old.get(x)) is not None:
+                    young[x] = z
+                else:
+                    (words if plain[k] else others).append(x)
+        if words or others:
+            self._learn(words, others)
+        if None in found:
+            found = [young[x] if y is None else y for x, y in zip(parts, found)]
+        if len(young) > self.limit:
+            self.old, self.young = young, {}
+        return found
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, text after text, and how many each text has."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        pieces = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = pieces.flatten().dictionary_encode()
+        code, distinct = coded.indices.to_numpy(), coded.dictionary
+        body = pc.ascii_rtrim(distinct, characters=_SIGNS)
+        plain = pc.and_(pc.utf8_is_alpha(body), pc.invert(pc.match_substring_regex(body, _HARD)))
+        part = pc.if_else(plain, pc.utf8_lower(body), distinct).dictionary_encode()
+        is_plain = np.zeros(len(part.dictionary), bool)
+        first, flags = part.indices.to_numpy(), plain.to_numpy(zero_copy_only=False)
+        is_plain[first] = flags
+        blobs = self._ids(part.dictionary.to_pylist(), is_plain.tolist())
+
+        second = np.full(len(distinct), len(blobs))
+        signed = np.flatnonzero(flags & (pc.binary_length(body).to_numpy() < pc.binary_length(distinct).to_numpy()))
+        if len(signed):
+            at = pa.array(signed)
+            tails = [x[len(b) :] for x, b in zip(distinct.take(at).to_pylist(), body.take(at).to_pylist())]
+            kinds = {x: k for k, x in enumerate(dict.fromkeys(tails))}
+            second[signed] = len(blobs) + 1 + np.array([kinds[x] for x in tails])
+            blobs = [*blobs, b"", *self._ids(list(kinds), [False] * len(kinds))]
+        else:
+            blobs = [*blobs, b""]
+
+        size = np.array([len(b) for b in blobs], np.int64) // 4
+        pool, start = np.frombuffer(b"".join(blobs), "<u4"), np.cumsum(size) - size
+        order = np.empty(2 * len(code), np.int64)
+        order[0::2], order[1::2] = first[code], second[code]
+        n = size[order]
+        end = np.concatenate([[0], np.cumsum(n)])
+        ids = pool[np.arange(end[-1]) + np.repeat(start[order] - end[:-1], n)]
+        cut = pieces.offsets.to_numpy()
+        return ids, np.diff(end[2 * (cut - cut[0])])
+
+
+_encoders: dict = {}
+
+
+def word_encoder(name: str) -> WordEncoder:
+    """This process's encoder; what it has learned serves all its tasks."""
+    if name not in _encoders:
+        _encoders[name] = WordEncoder(load(name))
+    return _encoders[name]
