@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 
@@ -33,15 +36,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, **options) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back; cuts the lineage so
-    that a lost executor costs a re-read, not a recomputation."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.options(**({"compression": "zstd"} | options)).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int):
     """Inside, plans that start hand ``rows`` rows at a time to Python: workers that hold
@@ -55,6 +49,34 @@ def small_batches(spark: SparkSession, rows: int):
         spark.conf.unset(key) if was is None else spark.conf.set(key, was)
 
 
+def stored(df: DataFrame, name: str, batch_rows: int = 2000, **options) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; cuts the lineage so
+    that a lost executor costs a re-read, not a recomputation."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    with small_batches(spark, batch_rows):
+        df.write.options(**({"compression": "zstd"} | options)).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def tidy(run):
+    """A mapper of batches that gives its freed memory back at the end: a worker process
+    serves many tasks, and what one leaves in its heap counts against the next."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def held_out(doc_id):
     """Rows that no model learns from: crc32 of the id as text, mod 4, is 2."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, U64, WordScanner, stored, text_chunks
+from .common import ALNUM, U64, WordScanner, stored, text_chunks, tidy
 
-SHARD_BYTES = 1 << 22
+SHARD_BYTES = 1 << 20
 SAMPLE = 8
 
 
@@ -259,7 +259,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, p
     for k in range(slices):
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k).collect()  # at most about slice_chars
         found = windows_of([(r.item_id, r.text) for r in own], width)
-        part = docs.mapInArrow(_search(found), HITS)
+        part = docs.mapInArrow(tidy(_search(found)), HITS)
         parts = part if parts is None else parts.union(part)
     if slices > 1:
         parts = stored(parts, "hits").groupBy("uid", "doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))

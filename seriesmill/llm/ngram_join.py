@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_BLANK, U64, WordScanner, mix, stored, text_chunks
+from .common import NOT_BLANK, U64, WordScanner, mix, stored, text_chunks, tidy
 
 BANDS, ROWS = 72, 6
 ROUTE_BITS, EXACT_BITS = 1024, 4096
@@ -379,7 +379,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     the two named are ignored. ``n_class`` is the number of rows with an equal set.
     """
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    sketch = stored(docs.mapInArrow(_sketches(width), SKETCH), "sketch")
+    sketch = stored(docs.mapInArrow(tidy(_sketches(width)), SKETCH), "sketch")
     full = sketch.where("n > 0 and doc_id is not null")
     copies = stored(full.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_class")), "copies")
     # one row a set; an id that comes with several texts stands for each of them
@@ -387,7 +387,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # routing: keys held by two representatives or more; equal blocks once
     keyed = reps.mapInArrow(_exploded, "key long, doc_id long")
-    blocks = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_blocks, "block long, doc_id long")
+    blocks = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_blocks), "block long, doc_id long")
     blocks = stored(blocks.dropDuplicates(["block", "doc_id"]), "blocks")
     members = blocks.groupBy("block").agg(F.count("*").alias("held"))
     large = members.where(F.col("held") > chunk_docs)
@@ -395,7 +395,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # candidates, never fewer, and no task holds it
     stars = blocks.join(large, "block").groupBy("block").agg(F.min("doc_id").alias("a")).join(blocks, "block").select("a", F.col("doc_id").alias("b")).where("a <> b")
     small = blocks.join(large, "block", "left_anti").join(reps.select("doc_id", "n", "bits"), "doc_id")
-    routed = small.select("block", F.lit(0).cast("long").alias("part"), "doc_id", "n", "bits").repartition("block").sortWithinPartitions("block").mapInArrow(_route(percent), "a long, b long")
+    routed = small.select("block", F.lit(0).cast("long").alias("part"), "doc_id", "n", "bits").repartition("block").sortWithinPartitions("block").mapInArrow(tidy(_route(percent)), "a long, b long")
     family = connected(routed.union(stars), "family")
 
     # verification: whole families of texts, dealt into chunks of bounded size
@@ -405,7 +405,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = docs.join(family.withColumnRenamed("id", "doc_id"), "doc_id").dropDuplicates(["doc_id", "text"])
     texts = stored(texts.select("label", "chunk", "chunks", "doc_id", "text"), "family-texts")
     dealt = texts.select("label", "chunk", "doc_id", F.lit(0).alias("side"), "text").repartition("label", "chunk").sortWithinPartitions("label", "chunk")
-    edges = stored(dealt.mapInArrow(_verify(width, percent), "a long, b long"), "links")
+    edges = stored(dealt.mapInArrow(tidy(_verify(width, percent)), "a long, b long"), "links")
     if not family.where("chunks > 1").isEmpty():
         edges = edges.union(_across(texts.where("chunks > 1"), edges, width, percent))
     labels = connected(edges, "component")
@@ -440,4 +440,4 @@ def _across(texts: DataFrame, edges: DataFrame, width: int, percent: int) -> Dat
     asked = outer.select("label", "chunk", "chunks").distinct().select("label", F.col("chunk").alias("own"), "chunks").withColumn("met", chunks).where("own <> met")
     there = texts.select("label", F.col("chunk").alias("met"), "doc_id", "text").join(asked, ["label", "met"]).select("label", F.struct("own", "met").alias("m"), "doc_id", F.lit(0).alias("side"), "text")
     both = met.where("m.own <> m.met").union(there).select("label", (F.col("m.own") * 1_000_003 + F.col("m.met")).alias("part"), "doc_id", "side", "text")
-    return stored(both.repartition("label", "part").sortWithinPartitions("label", "part").mapInArrow(_verify(width, percent), "a long, b long"), "across")
+    return stored(both.repartition("label", "part").sortWithinPartitions("label", "part").mapInArrow(tidy(_verify(width, percent)), "a long, b long"), "across")

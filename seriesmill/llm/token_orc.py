@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path, small_batches
+from .common import scratch_path, small_batches, tidy
 from .tokenizing import word_encoder
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
@@ -55,7 +55,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_i
     tie = F.xxhash64("text")
     dealt = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie, "text")
     dealt = dealt.select(F.spark_partition_id().alias("shard"), "doc_id", "text", F.octet_length("text").cast("long").alias("octets"))
-    encoded = dealt.mapInArrow(_encode(vocabulary, end_id), ENCODED)
+    encoded = dealt.mapInArrow(tidy(_encode(vocabulary, end_id)), ENCODED)
     options = {
         "compression": "snappy",
         "orc.stripe.size": str(16 << 20),

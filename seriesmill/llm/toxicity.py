@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, U64, WordScanner, held_out, mix, stored, text_chunks
+from .common import ALNUM, U64, WordScanner, held_out, mix, stored, text_chunks, tidy
 
 SAMPLE_ROWS = 20_000
 LEXICON_SIZE = 4_000
@@ -29,7 +29,7 @@ NEAR = 5
 SEED_LEXICON = ("idiot", "idiots", "moron", "morons", "stupid", "trash", "scum", "loser", "losers", "worthless", "pathetic", "disgusting", "clown", "dumb", "fool", "garbage", "ugly", "hate", "shut", "filthy")
 SECOND_PERSON = ("you", "your", "yours", "yourself", "u", "ur", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "euer", "tu", "te", "toi", "ton", "vous", "votre", "vos", "usted", "ustedes", "vosotros", "ti", "tus")
 
-FEATURES = ("log_words", "learned_density", "learned_log", "learned_distinct", "learned_weight", "learned_top", "seed_density", "seed_log", "hidden_density", "second_person", "near_share", "capitals", "capital_words", "punctuation", "shouts", "mixed_words", "inner_signs", "stretched")
+FEATURES = ("learned_density", "learned_log", "learned_distinct", "learned_weight", "learned_top", "seed_density", "seed_log", "hidden_density", "second_person", "near_share", "capitals", "capital_words", "punctuation", "shouts", "mixed_words", "inner_signs", "stretched")
 
 _KIND = mix(np.arange(8, dtype=U64) + U64(4099))
 
@@ -37,7 +37,7 @@ _KIND = mix(np.arange(8, dtype=U64) + U64(4099))
 def _undo_table() -> np.ndarray:
     """Bytes of words with common stand-ins for letters undone."""
     table = np.arange(256)
-    for sign, letter in zip(b"013457@$!", b"oieastasi"):
+    for sign, letter in zip(b"013457@$", b"oieastas"):
         table[sign] = letter
     return table.astype(np.uint8)
 
@@ -52,7 +52,7 @@ _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
-_JOINED = ALNUM | np.isin(np.arange(256), np.frombuffer(b"@$!", np.uint8))
+_JOINED = ALNUM | np.isin(np.arange(256), np.frombuffer(b"@$", np.uint8))
 
 
 def hashes_of(words) -> np.ndarray:
@@ -127,7 +127,7 @@ class Scorer:
         mixed = (of(digit) > 0) & (of(low_) > 0)
 
         hidden = np.zeros(n)
-        odd = _DIGIT[data] | np.isin(data, np.frombuffer(b"@$!", np.uint8))
+        odd = _DIGIT[data] | np.isin(data, np.frombuffer(b"@$", np.uint8))
         if odd.any():
             jrow, jstart, jend, jh = self.joined(data, offsets)
             seen = total(odd)
@@ -142,7 +142,7 @@ class Scorer:
         hits, seeds = sums(row[hit]), sums(row[seed])
         cells = 1.0 / np.maximum(visible, 1)
         return np.stack([
-            np.log1p(words), hits * per, np.log1p(hits), np.log1p(sums(pairs[:, 0].astype(np.int64))), sums(row[hit], weight[hit]) * per, top,
+            hits * per, np.log1p(hits), np.log1p(sums(pairs[:, 0].astype(np.int64))), sums(row[hit], weight[hit]) * per, top,
             seeds * per, np.log1p(seeds), hidden * per, sums(row[person]) * per, sums(row[at[near]]) / np.maximum(hits + seeds, 1),
             uppers / np.maximum(letters, 1), sums(row[shouted]) * per, signs * cells, shouts * per, sums(row[mixed]) * per, sums(byte_row[inner]) * per, sums(byte_row[many]) * per,
         ], axis=1)
@@ -324,13 +324,13 @@ def fit_toxicity(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Toxicit
     bad, good = (np.array([held.get((k, kind), 0) for k in range(FOLDS)]) for kind in (1, 0))
     if not bad.sum() or not good.sum():
         return _constant(float(sample.agg(F.avg("toxic")).first()[0] or 0.0))
-    cells = words.mapInArrow(_count_tokens, ", ".join(["token long", *[f"{c} long" for c in _CELLS]])).groupBy("token").agg(*[F.sum(c).alias(c) for c in _CELLS])
+    cells = words.mapInArrow(tidy(_count_tokens), ", ".join(["token long", *[f"{c} long" for c in _CELLS]])).groupBy("token").agg(*[F.sum(c).alias(c) for c in _CELLS])
     every_bad, every_good = sum(F.col(f"bad{k}") for k in range(FOLDS)), sum(F.col(f"good{k}") for k in range(FOLDS))
     counts = cells.where((every_bad >= max(2, round(bad.sum() / 400))) & (every_bad * 4 * int(good.sum()) > every_good * int(bad.sum())))
     counts = counts.orderBy(every_bad.desc(), "token").limit(8 * LEXICON_SIZE).toPandas()
     scorers = [_lexicon(counts, bad, good, [j for j in range(FOLDS) if j != k]) for k in range(FOLDS)]
 
-    rows = sample.orderBy("doc_id", "toxic", F.xxhash64("text")).select("text", "toxic", "fold").mapInArrow(_featurise(scorers), "toxic int, fold int, x array<double>").toPandas()  # bounded by sample_rows
+    rows = sample.orderBy("doc_id", "toxic", F.xxhash64("text")).select("text", "toxic", "fold").mapInArrow(tidy(_featurise(scorers)), "toxic int, fold int, x array<double>").toPandas()  # bounded by sample_rows
     x = np.array(rows["x"].tolist()).reshape(len(rows), -1)
     y, fold = rows["toxic"].to_numpy(float), rows["fold"].to_numpy()
     raw = np.full(len(y), np.nan)
@@ -356,7 +356,7 @@ def _score(model: ToxicityModel):
 
 def _scored(rows: DataFrame, model: ToxicityModel) -> DataFrame:
     """``rows`` (text last) with a column score."""
-    return rows.mapInArrow(_score(model), T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
+    return rows.mapInArrow(tidy(_score(model)), T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
