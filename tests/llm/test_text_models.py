@@ -122,7 +122,7 @@ def test_language_without_any_labelled_row(spark):
 
 def test_presence_is_of_whole_texts_and_ignores_case():
     one = "ÀBC xyz".encode()
-    two = "àbc  XYZ".encode()
+    two = "àbc XYZ, and".encode()
     data = np.frombuffer(one + two, np.uint8)
     x = language.presence(data, np.array([0, len(one), len(data)]))
     assert x[0].sum() > 10 and (x[0] <= x[1]).all()
