@@ -94,6 +94,8 @@ def exploded(rows: DataFrame, by: list[str], arrays: list[str]) -> DataFrame:
     """One row a position: keys, ``ts``, ``t`` and the arrays' elements; of a series that
     failed, its times with nulls."""
     extra = ["error"] if "error" in rows.columns else []
+    empty = F.transform("ts", lambda _: F.lit(None).cast("double"))
+    filled = rows.withColumns({a: F.coalesce(F.col(a), empty) for a in arrays})
     zipped = F.arrays_zip(F.col("ts"), *[F.col(a) for a in arrays])
-    out = rows.select(*by, *extra, F.posexplode(zipped).alias("t", "row"))
+    out = filled.select(*by, *extra, F.posexplode(zipped).alias("t", "row"))
     return out.select(*by, F.col("row.ts").alias("ts"), F.col("t").cast("long").alias("t"), *[F.col(f"row.{a}").alias(a) for a in arrays], *extra)

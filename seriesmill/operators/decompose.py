@@ -61,7 +61,7 @@ def seasonal_decompose(df: DataFrame, by: list[str], ts: str, y: str, options: D
         problem = problem.when(F.min("x").over(whole) <= 0, "NonPositive: multiplicative decomposition needs values above 0")
     rows = rows.withColumn("error", problem)
     if on_error == "raise":
-        rows = rows.withColumn("x", F.when(F.col("error").isNotNull(), F.raise_error("error").cast("double")).otherwise(F.col("x")))
+        rows = rows.withColumn("x", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("double")).otherwise(F.col("x")))
     else:
         rows = rows.withColumn("x", F.when(F.col("error").isNull(), F.col("x")))
     rows = rows.withColumn("trend", centred_average(F.col("x"), F.lit(None), own, p))
