@@ -48,7 +48,7 @@ def test_late_and_missing_values(spark, tmp_path):
 
 def test_windows_close_after_the_watermark(spark, tmp_path):
     rows = [("a", f"2024-01-01 00:{m:02d}:00", 1.0) for m in (1, 2, 12, 13, 14)]
-    parts = [rows[:3], rows[3:], [("a", "2024-01-01 02:00:00", 1.0)], [("a", "2024-01-01 00:03:00", 1.0)]]
+    parts = [rows[:3], rows[3:], [("a", "2024-01-01 02:00:00", 1.0)], [("a", "2024-01-01 02:01:00", 1.0)], [("a", "2024-01-01 00:03:00", 1.0)]]
     make = lambda s: smoothing.windowed(s.withColumn("at", F.to_timestamp("at")), "at", "10 minutes", "5 minutes", ["k"], {"n": F.count("*")})
     got = streamed(spark, tmp_path, parts, "k string, at string, v double", make)
     assert sorted((r.ts.minute, r.n) for r in got) == [(0, 2), (10, 3)]
