@@ -10,9 +10,11 @@ is verified on the exact sets.
 Routing: 72 keys a text, each of 6 minimum hashes. A pair of Jaccard similarity 0.8
 shares none of its keys with a probability below 3e-10 (2e-13 at 0.85).
 
-Memory: a block above ``chunk_docs`` texts is dealt into chunks. Links inside a chunk
-come first; then only the texts outside the block's largest class meet the other
-chunks, so a huge group of near copies costs time in proportion to its size.
+Memory: a family of candidates above ``chunk_docs`` texts is dealt into chunks. Links
+inside a chunk come first. Then a few leaders of each class meet, chunk by chunk again,
+and again, until they fit one chunk, which joins the classes of a huge group of near
+copies in time proportional to its size. What is still apart from its family's largest
+class meets every chunk of the family, so that no link is lost.
 """
 
 from __future__ import annotations
@@ -369,7 +371,7 @@ def connected(edges: DataFrame, name: str = "labels") -> DataFrame:
             return labels
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, chunk_docs: int = 2048, chunk_tokens: int = 1 << 22) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, chunk_docs: int = 256, chunk_tokens: int = 1 << 22, block_docs: int = 2048) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_class) for every row of ``docs``.
 
     Two texts are linked when 100 * shared >= percent * union of their distinct
@@ -390,8 +392,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     blocks = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_blocks), "block long, doc_id long")
     blocks = stored(blocks.dropDuplicates(["block", "doc_id"]), "blocks")
     members = blocks.groupBy("block").agg(F.count("*").alias("held"))
-    large = members.where(F.col("held") > chunk_docs)
-    # a block beyond chunk_docs is taken whole, without looking at bitmaps: more
+    large = members.where(F.col("held") > block_docs)
+    # a block beyond block_docs is taken whole, without looking at bitmaps: more
     # candidates, never fewer, and no task holds it
     stars = blocks.join(large, "block").groupBy("block").agg(F.min("doc_id").alias("a")).join(blocks, "block").select("a", F.col("doc_id").alias("b")).where("a <> b")
     small = blocks.join(large, "block", "left_anti").join(reps.select("doc_id", "n", "bits"), "doc_id")
@@ -407,7 +409,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     dealt = texts.select("label", "chunk", "doc_id", F.lit(0).alias("side"), "text").repartition("label", "chunk").sortWithinPartitions("label", "chunk")
     edges = stored(dealt.mapInArrow(tidy(_verify(width, percent)), "a long, b long"), "links")
     if not family.where("chunks > 1").isEmpty():
-        edges = edges.union(_across(texts.where("chunks > 1"), edges, width, percent))
+        large = texts.where("chunks > 1")
+        edges = _by_leaders(large, edges, width, percent, chunk_docs)
+        edges = _across(large, edges, width, percent)
     labels = connected(edges, "component")
 
     classed = copies.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("n", "d1", "d2", "n_class", F.coalesce("label", "rep").alias("class"))
@@ -425,19 +429,48 @@ def _exploded(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids)], ["key", "doc_id"])
 
 
+LEADERS = 4
+
+
+def _classes(texts: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    labels = connected(edges, name).withColumnRenamed("id", "doc_id").withColumnRenamed("label", "class")
+    return texts.join(labels, "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id"))
+
+
+def _by_leaders(texts: DataFrame, edges: DataFrame, width: int, percent: int, chunk_docs: int) -> DataFrame:
+    """``edges`` and the links between leaders of classes, in rounds: each deals a
+    family's leaders into chunks, until a family's leaders are one chunk."""
+    for k in range(12):
+        classed = _classes(texts.select("label", "doc_id"), edges, "leading")
+        picks = [F.min_by("doc_id", F.xxhash64("doc_id", F.lit(salt))) for salt in range(LEADERS)]
+        led = classed.groupBy("label", "class").agg(F.array_distinct(F.array(*picks)).alias("ids"))
+        sizes = led.groupBy("label").agg(F.count("*").alias("classes"), F.ceil(F.sum(F.size("ids")) / chunk_docs).alias("parts")).where("classes > 1")
+        led = stored(led.join(sizes, "label").select("label", "parts", F.explode("ids").alias("doc_id")), "leaders")
+        if led.isEmpty():
+            break
+        part = F.pmod(F.xxhash64("doc_id", F.lit(100 + k)), F.col("parts"))
+        dealt = texts.select("label", "doc_id", "text").join(led, ["label", "doc_id"]).select("label", part.alias("part"), "doc_id", F.lit(0).alias("side"), "text")
+        met = dealt.repartition("label", "part").sortWithinPartitions("label", "part").mapInArrow(tidy(_verify(width, percent)), "a long, b long")
+        edges = stored(edges.union(met), "led-links")
+        if led.where("parts > 1").isEmpty():
+            break
+    return edges
+
+
 def _across(texts: DataFrame, edges: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links between chunks of one family. All pairs inside a chunk are known; a text
-    outside the family's largest class so far meets every other chunk."""
-    labels = connected(edges, "inner").withColumnRenamed("id", "doc_id").withColumnRenamed("label", "class")
-    texts = texts.join(labels, "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id"))
-    counts = texts.groupBy("label", "class").agg(F.count("*").alias("held"))
+    """``edges`` and the links between chunks of one family. All pairs inside a chunk are
+    known; a text outside the family's largest class so far meets every other chunk."""
+    ids = stored(_classes(texts.select("label", "chunk", "chunks", "doc_id"), edges, "inner"), "classed")
+    counts = ids.groupBy("label", "class").agg(F.count("*").alias("held"))
     core = counts.groupBy("label").agg(F.max_by("class", F.struct("held", F.col("class"))).alias("core"))
-    texts = texts.join(core, "label")
-    chunks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
-    outer = texts.where(F.col("class") != F.col("core"))
-    pieces = outer.select("label", "chunks", "doc_id", "text", F.col("chunk").alias("own")).withColumn("met", chunks)
-    met = pieces.select("label", F.struct("own", "met").alias("m"), "doc_id", F.lit(1).alias("side"), "text")
-    asked = outer.select("label", "chunk", "chunks").distinct().select("label", F.col("chunk").alias("own"), "chunks").withColumn("met", chunks).where("own <> met")
-    there = texts.select("label", F.col("chunk").alias("met"), "doc_id", "text").join(asked, ["label", "met"]).select("label", F.struct("own", "met").alias("m"), "doc_id", F.lit(0).alias("side"), "text")
-    both = met.where("m.own <> m.met").union(there).select("label", (F.col("m.own") * 1_000_003 + F.col("m.met")).alias("part"), "doc_id", "side", "text")
-    return stored(both.repartition("label", "part").sortWithinPartitions("label", "part").mapInArrow(tidy(_verify(width, percent)), "a long, b long"), "across")
+    outer = stored(ids.join(core, "label").where(F.col("class") != F.col("core")).select("label", "chunk", "chunks", "doc_id"), "outer")
+    if outer.isEmpty():
+        return edges
+    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+    part = (F.col("own") * 1_000_003 + F.col("met")).alias("part")
+    moved = outer.select("label", "doc_id", F.col("chunk").alias("own"), others.alias("met")).where("own <> met")
+    met = texts.select("label", "doc_id", "text").join(moved, ["label", "doc_id"]).select("label", part, "doc_id", F.lit(1).alias("side"), "text")
+    asked = outer.select("label", F.col("chunk").alias("own"), "chunks").distinct().select("label", "own", others.alias("met")).where("own <> met")
+    there = texts.select("label", F.col("chunk").alias("met"), "doc_id", "text").join(asked, ["label", "met"]).select("label", part, "doc_id", F.lit(0).alias("side"), "text")
+    both = met.union(there).repartition("label", "part").sortWithinPartitions("label", "part")
+    return edges.union(stored(both.mapInArrow(tidy(_verify(width, percent)), "a long, b long"), "across"))

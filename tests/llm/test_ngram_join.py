@@ -33,6 +33,7 @@ def test_matches_brute_force(spark):
 def test_chunks_of_a_large_family_lose_no_link(spark):
     texts = [t for s in range(2) for t in family(s, 40, 5)] + family(7, 3, 2)
     check(spark, list(enumerate(texts)), chunk_docs=6)
+    check(spark, list(enumerate(texts)), chunk_docs=9, block_docs=3)
 
 
 def test_awkward_rows(spark):
