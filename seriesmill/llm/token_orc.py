@@ -21,7 +21,7 @@ VOCABULARY, END_ID = "word_bpe_49k.json", 2
 ENCODED = "shard int, doc_id long, begin long, n_tokens long, ids array<int>"
 
 
-def _encode(name: str, end_id: int, piece: int = 1 << 22):
+def _encode(name: str, end_id: int, piece: int = 1 << 21):
     def run(batches):
         encode, begin = word_encoder(name), 0
         for batch in batches:

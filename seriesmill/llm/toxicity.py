@@ -24,6 +24,8 @@ SAMPLE_ROWS = 20_000
 LEXICON_SIZE = 4_000
 PREFIXES = (4, 5, 6)
 NEAR = 5
+#: Bytes of text whose words' arrays are held at once.
+CHUNK = 1 << 18
 
 # A seed lexicon and words of the second person.
 SEED_LEXICON = ("idiot", "idiots", "moron", "morons", "stupid", "trash", "scum", "loser", "losers", "worthless", "pathetic", "disgusting", "clown", "dumb", "fool", "garbage", "ugly", "hate", "shut", "filthy")
@@ -247,15 +249,14 @@ def _count_tokens(batches):
     scan = WordScanner(ALNUM)
     for batch in batches:
         kind = batch.column(1).to_numpy().astype(np.int64) * 2 + (batch.column(2).to_numpy() > 0)
-        parts, kinds_of = [], []
         for lo, data, offsets in text_chunks(batch.column(0)):
             row, _, _, kinds = _tokens(scan, data, offsets)
+            parts, kinds_of = [], []
             for h in kinds:
                 pair = np.unique(np.stack([row.astype(U64), h], axis=1), axis=0)
                 pair = pair[pair[:, 1] != 0]
                 parts.append(pair[:, 1])
                 kinds_of.append(kind[lo + pair[:, 0].astype(np.int64)])
-        if parts:
             token, inverse = np.unique(np.concatenate(parts), return_inverse=True)
             cell = np.bincount(inverse * 2 * FOLDS + np.concatenate(kinds_of), minlength=len(token) * 2 * FOLDS).reshape(len(token), 2 * FOLDS)
             yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), *[pa.array(cell[:, k]) for k in range(2 * FOLDS)]], ["token", *_CELLS])
@@ -289,7 +290,7 @@ def _featurise(scorers: list[Scorer]):
             for k, scorer in enumerate(scorers):
                 at = np.flatnonzero(fold == k)
                 if len(at):
-                    x[at] = np.concatenate([scorer.features(data, offsets) for _, data, offsets in text_chunks(batch.column(0).take(pa.array(at)))])
+                    x[at] = np.concatenate([scorer.features(data, offsets) for _, data, offsets in text_chunks(batch.column(0).take(pa.array(at)), CHUNK)])
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], ["toxic", "fold", "x"])
 
     return run
@@ -347,7 +348,7 @@ def fit_toxicity(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Toxicit
 def _score(model: ToxicityModel):
     def run(batches):
         for batch in batches:
-            parts = [model.scores(model.scorer.features(data, offsets)) for _, data, offsets in text_chunks(batch.column(batch.num_columns - 1))]
+            parts = [model.scores(model.scorer.features(data, offsets)) for _, data, offsets in text_chunks(batch.column(batch.num_columns - 1), CHUNK)]
             score = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, "score"])
 

@@ -106,7 +106,8 @@ def test_counts_of_awkward_rows(spark):
             at = min(int(n * share), len(text))
             text = text[:at] + new + text[at + size :]
         assert r.n_tokens_after == whole(text) and sum(r.segment_tokens) == r.n_tokens_after
-    assert token_counts.count_tokens(documents(spark, []), token_counts.standard_edits(docs["text"])).collect() == []
+    none = documents(spark, [])
+    assert token_counts.count_tokens(none, token_counts.standard_edits(none["text"])).collect() == []
 
 
 def test_unmarked_word_ends_are_refused():
