@@ -90,7 +90,7 @@ class FMIndex:
             on = np.flatnonzero((width - k <= lengths) & (lo < hi))
             if len(on) == 0:
                 break
-            c = patterns[on, k]
+            c = patterns[on, k].astype(np.int64)
             ranks = self.tree.rank(np.concatenate([c, c]), np.concatenate([lo[on], hi[on]]))
             lo[on] = self.first[c] + ranks[: len(on)]
             hi[on] = self.first[c] + ranks[len(on) :]
@@ -123,7 +123,8 @@ class Windows:
     words: np.ndarray  # sorted hashes; a word's symbol is its place + 1
     patterns: np.ndarray  # (windows, width), aligned to the right
     lengths: np.ndarray
-    items: list[np.ndarray]  # of each window, indexes into names
+    start: np.ndarray  # window k has the items members[start[k] : start[k + 1]]
+    members: np.ndarray  # indexes into names
     names: list[str]
 
 
@@ -143,13 +144,15 @@ def windows_of(items: list[tuple], width: int) -> Windows:
         size = min(width, len(symbols))
         for k in range(len(symbols) - size + 1 if size else 0):
             held.setdefault(symbols[k : k + size].tobytes(), set()).add(place[str(item)])
-    patterns = np.zeros((len(held), width), np.int64)
+    patterns = np.zeros((len(held), width), np.int32)
     lengths = np.zeros(len(held), np.int64)
     for k, w in enumerate(held):
         symbols = np.frombuffer(w, np.int64)
         lengths[k] = len(symbols)
         patterns[k, width - len(symbols) :] = symbols
-    return Windows(words, patterns, lengths, [np.array(sorted(v)) for v in held.values()], names)
+    start = np.concatenate([[0], np.cumsum([len(v) for v in held.values()])]).astype(np.int64)
+    members = np.fromiter((i for v in held.values() for i in sorted(v)), np.int32, int(start[-1]))
+    return Windows(words, patterns, lengths, start, members, names)
 
 
 def _runs(symbols: np.ndarray, rows: np.ndarray, least: int):
@@ -229,13 +232,13 @@ def _mark(found, symbols, places, ends, rows, begin, spans, items) -> None:
         r = int(rows[a])
         spans.setdefault(r, []).append({"first": a - int(begin[r]), "end": b - int(begin[r])})
     for r, w in np.unique(np.stack([rows[word], window], axis=1), axis=0).tolist():
-        items.setdefault(r, set()).update(found.items[w].tolist())
+        items.setdefault(r, set()).update(found.members[found.start[w] : found.start[w + 1]].tolist())
 
 
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<first:int,end:int>>, items array<string>"
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, percent: int = 5, slice_chars: int = 1 << 24) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, percent: int = 5, slice_chars: int = 1 << 22) -> DataFrame:
     """One row for every row of ``docs`` (doc_id, text), against ``benchmark`` (item_id,
     text): doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans, items.
 
