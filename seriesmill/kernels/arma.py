@@ -58,10 +58,12 @@ def combined(short: np.ndarray, long: np.ndarray, period: int, sign: float) -> n
 def stationary(real: np.ndarray) -> np.ndarray:
     """AR coefficients of a stationary process from any real numbers: these become
     partial autocorrelations, and these coefficients by Durbin and Levinson."""
-    out = np.zeros(0)
-    for r in real / np.sqrt(1 + real * real):
-        out = np.append(out - r * out[::-1], r)
-    return out
+    out: list[float] = []
+    for x in real.tolist():
+        r = x / math.sqrt(1 + x * x)
+        out = [a - r * b for a, b in zip(out, reversed(out))]
+        out.append(r)
+    return np.array(out)
 
 
 def unconstrained(ar: np.ndarray) -> np.ndarray:
@@ -89,20 +91,23 @@ def _is_stationary(ar: np.ndarray) -> bool:
 
 def impulse(ma: np.ndarray, n: int) -> np.ndarray:
     """Coefficients of 1 / (1 + ma_1 B + ...), as far as they matter."""
-    lags = [(j + 1, float(c)) for j, c in enumerate(ma) if c != 0.0]
+    lags = [(j + 1, float(c)) for j, c in enumerate(ma.tolist()) if c != 0.0]
     if not lags:
         return np.ones(1)
-    reach, out = lags[-1][0], [1.0]
-    for t in range(1, n):
+    reach = lags[-1][0]
+    if len(lags) == 1 and reach == 1:
+        c = -lags[0][1]
+        size = n if abs(c) >= 0.9999 else min(n, int(40 / -math.log(abs(c))) + 2)
+        return c ** np.arange(size)
+    out = [0.0] * reach + [1.0]  # zeros before the start spare a test
+    for t in range(reach + 1, reach + n):
         v = 0.0
         for j, c in lags:
-            if j > t:
-                break
             v -= c * out[t - j]
         out.append(v)
-        if t % 64 == 0 and t > reach and max(map(abs, out[-reach:])) < 1e-17:
+        if t % 64 == 0 and t > 2 * reach and max(map(abs, out[-reach:])) < 1e-17:
             break
-    return np.array(out)
+    return np.array(out[reach:])
 
 
 def _convolve(u: np.ndarray, h: np.ndarray) -> np.ndarray:

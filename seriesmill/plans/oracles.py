@@ -200,6 +200,29 @@ feature(
     "ami_timescale", "SELECT coalesce(min(k - 1), 40)::DOUBLE AS v FROM (SELECT k, i, lag(i) OVER (ORDER BY k) AS p, lead(i) OVER (ORDER BY k) AS q FROM c) WHERE i < p AND i < q",
     "c AS (SELECT k, -0.5 * ln(1 - power(corr(f.x, b.x), 2)) AS i FROM (SELECT unnest(range(1, 41)) AS k) JOIN z f ON true JOIN z b ON b.t = f.t + k GROUP BY k)",
 )
+_DFT = """size AS (SELECT any_value(n) AS n, power(2, ceil(log2(any_value(n))))::BIGINT AS m, avg(x) AS mu FROM z),
+    f AS (SELECT unnest(range(0, m // 2 + 1)) AS j, n, m, mu FROM size),
+    sp AS (SELECT j, any_value(m) AS m, (power(sum((x - mu) * cos(2 * pi() * j * t / m)), 2) + power(sum((x - mu) * sin(2 * pi() * j * t / m)), 2)) / any_value(f.n) * CASE WHEN j = 0 OR j = any_value(m) // 2 THEN 1 ELSE 2 END / (2 * pi()) AS p
+      FROM f JOIN z ON true GROUP BY j)"""
+feature("centroid_freq", "SELECT sum(p) * 2 * pi() / any_value(m) AS v FROM sp WHERE j < (m // 2 + 1) // 5", _DFT)
+feature("low_freq_power", "SELECT 2 * pi() * min(j) / any_value(m) AS v FROM (SELECT j, m, sum(p) OVER (ORDER BY j) AS c, sum(p) OVER () AS s FROM sp) WHERE c > s / 2", _DFT)
+_ZERO = _ACF + ", zero AS (SELECT coalesce(min(k), (SELECT any_value(n) FROM z))::BIGINT AS tau FROM acf WHERE k > 0 AND a <= 0)"
+feature(
+    "transition_matrix", "SELECT sum(s) AS v FROM (SELECT var_samp(c) AS s FROM g GROUP BY b)",
+    _ZERO + """, dn AS (SELECT t // tau AS t, x FROM z, zero WHERE t % tau = 0),
+    o AS (SELECT list(x ORDER BY x) AS a, count(*) AS n FROM dn), q AS (SELECT unnest([1, 2]) AS i, a, n * unnest([1, 2]) / 3.0::DOUBLE - 0.5 AS pos FROM o),
+    cut AS (SELECT i, a[floor(pos)::INT + 1] + (pos - floor(pos)) * (a[ceil(pos)::INT + 1] - a[floor(pos)::INT + 1]) AS c FROM q),
+    l AS (SELECT t, (x > (SELECT c FROM cut WHERE i = 1))::INT + (x > (SELECT c FROM cut WHERE i = 2))::INT AS b FROM dn),
+    g AS (SELECT a, b, (SELECT count(*) FROM l f JOIN l h ON h.t = f.t + 1 WHERE f.b = a AND h.b = g0.b)::DOUBLE / (SELECT count(*) - 1 FROM l) AS c FROM (SELECT unnest([0, 1, 2]) AS a) CROSS JOIN (SELECT unnest([0, 1, 2]) AS b) g0)""",
+)
+feature(
+    "embedding_dist", "SELECT avg(abs(coalesce(c, 0) / m - exp(-(lo + w * (b + 0.5)) / l) / l)) AS v FROM bins LEFT JOIN h USING (b)",
+    _ZERO + """, tau AS (SELECT CASE WHEN tau > n / 10.0 THEN n // 10 ELSE tau END AS tau FROM zero, (SELECT any_value(n) AS n FROM z)),
+    st AS (SELECT t, lead(x) OVER (ORDER BY t) - x AS d FROM z), e AS (SELECT sqrt(f.d * f.d + g.d * g.d) AS d FROM tau, st f JOIN st g ON g.t = f.t + tau.tau WHERE g.d IS NOT NULL),
+    par AS (SELECT min(d) AS lo, avg(d) AS l, count(*)::DOUBLE AS m, ceil((max(d) - min(d)) / (3.5 * stddev_samp(d) / power(count(*), 1 / 3.0::DOUBLE)))::INT AS nb, max(d) - min(d) AS span FROM e),
+    bins AS (SELECT unnest(range(0, nb)) AS b, lo, l, m, span / nb AS w FROM par),
+    h AS (SELECT least(floor((d - lo) / (span / nb)), nb - 1)::BIGINT AS b, count(*) AS c FROM e, par GROUP BY 1)""",
+)
 feature("mean", "SELECT avg(y) AS v FROM eh")
 feature("SD", "SELECT stddev_samp(y) AS v FROM eh")
 add("acf_first_zero", "eh", f"SELECT k::INT AS lag, {r('a')} AS acf, (SELECT min(k) FROM acf WHERE k > 0 AND a <= 0)::INT AS first_zero FROM acf WHERE k <= 48", _Z + ", " + _ACF)
