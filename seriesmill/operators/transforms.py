@@ -41,24 +41,19 @@ def _applied(df: DataFrame, params: DataFrame, by: list[str], names: list[str],
     return _joined(df, params, by, names).withColumn(out, value(p)).drop(*[f"__p_{n}" for n in names])
 
 
-def _nan_kept(y: Column, value: Column) -> Column:
-    """NaN stays NaN and infinity becomes NaN; null stays null."""
-    return F.when(y.isNull(), F.lit(None)).when(finite(y).isNull(), F.lit(float("nan"))).otherwise(value)
-
-
 def center(df: DataFrame, by: list[str], y: str, out: str = "centered") -> DataFrame:
     c = F.col(y).cast("double")
     return _applied(df, statistics(df, by, y), by, ["mean"], out, lambda p: c - p["mean"])
 
 
 def _z(c: Column, p: dict) -> Column:
-    scaled = F.when(p["sd"] == 0, (c - p["mean"]) * 0.0).otherwise((c - p["mean"]) * F.try_divide(F.lit(1.0), p["sd"]))
-    return _nan_kept(c, scaled)
+    # without spread the factor is 0: finite values become 0, infinite ones NaN
+    return (c - p["mean"]) * F.when(p["sd"] == 0, 0.0).otherwise(F.try_divide(F.lit(1.0), p["sd"]))
 
 
 def _unit(c: Column, p: dict) -> Column:
     spread = p["max"] - p["min"]
-    return _nan_kept(c, F.when(spread == 0, 0.0).otherwise((c - p["min"]) * F.try_divide(F.lit(1.0), spread)))
+    return (c - p["min"]) * F.when(spread == 0, 0.0).otherwise(F.try_divide(F.lit(1.0), spread))
 
 
 def z_score(df: DataFrame, by: list[str], y: str, out: str = "z") -> DataFrame:
@@ -114,18 +109,17 @@ class MinMaxScaler(_Scaler):
 
 
 def _power(c: Column, lam: Column) -> Column:
-    f = finite(c)
-    positive = F.when(f > 0, f)
-    value = F.when(lam == 0, F.log(positive)).otherwise((F.pow(positive, lam) - 1) * F.try_divide(F.lit(1.0), lam))
+    """NaN stays NaN, and what isn't finite is not checked."""
+    value = F.when(lam == 0, F.log(c)).otherwise((F.pow(c, lam) - 1) * F.try_divide(F.lit(1.0), lam))
     failed = F.raise_error(F.lit("NonPositive: Box-Cox needs values above 0")).cast("double")
-    return _nan_kept(c, F.when(f <= 0, failed).otherwise(value))
+    return F.when(F.isnan(c) | (c == float("-inf")), float("nan")).when(c <= 0, failed).otherwise(value)
 
 
 def _unpower(c: Column, lam: Column) -> Column:
-    base = 1 + lam * finite(c)
+    base = 1 + lam * c
     failed = F.raise_error(F.lit("NonInvertible: 1 + lambda y is not above 0")).cast("double")
-    value = F.when(lam == 0, F.exp(finite(c))).when(base <= 0, failed).otherwise(F.pow(base, F.try_divide(F.lit(1.0), lam)))
-    return _nan_kept(c, value)
+    value = F.when(lam == 0, F.exp(c)).when(F.isnan(base), base).when((base <= 0) & (F.abs(c) < float("inf")), failed)
+    return value.otherwise(F.pow(base, F.try_divide(F.lit(1.0), lam)))
 
 
 class BoxCox:

@@ -37,7 +37,7 @@ def test_z_score_and_scales(spark):
     got = {(r.k, r.ts): r for r in tr.z_score(df, ["k"], "y").collect()}
     sd = math.sqrt(32 / 7)
     assert [got["a", t].z for t in range(8)] == pytest.approx([(v - 5) / sd for v in y[:8]])
-    assert got["a", 8].z is None and math.isnan(got["a", 9].z) and math.isnan(got["a", 10].z)
+    assert got["a", 8].z is None and math.isnan(got["a", 9].z) and got["a", 10].z == math.inf
     assert got["flat", 0].z == 0 and got["one", 0].z == 0 and got["none", 0].z is None
     unit = {(r.k, r.ts): r.scaled for r in tr.min_max_scale(df, ["k"], "y").collect()}
     assert unit["a", 0] == 0 and unit["a", 7] == 1 and unit["flat", 1] == 0
@@ -60,6 +60,8 @@ def test_box_cox(spark):
     df = frame(spark, {"a": [1.0, 2.0, 4.0, None]})
     got = [r.transformed for r in tr.box_cox(df, "y", 0.5).orderBy("ts").collect()]
     assert got[:3] == pytest.approx([0, 2 * (math.sqrt(2) - 1), 2]) and got[3] is None
+    odd = [r.transformed for r in tr.box_cox(frame(spark, {"a": [math.nan, math.inf, -math.inf]}), "y", 0).orderBy("ts").collect()]
+    assert math.isnan(odd[0]) and odd[1] == math.inf and math.isnan(odd[2])
     back = tr.inv_box_cox(tr.box_cox(df, "y", -0.3), "transformed", -0.3).orderBy("ts").collect()
     assert [r.y_back for r in back][:3] == pytest.approx([1, 2, 4])
     with pytest.raises(Exception, match="NonPositive"):
