@@ -32,10 +32,6 @@ def rounded(df: DataFrame, *columns: str, places: int = 8) -> DataFrame:
     return df.withColumns({c: F.round(finite(F.col(c)), places) + 0.0 for c in columns})
 
 
-def _seasonal(spark, sf_dir):
-    return i.orders_month(spark, sf_dir, 79)
-
-
 # --- transforms --------------------------------------------------------------------------
 
 
@@ -160,7 +156,7 @@ def sd_batch_wide(spark, d):
 
 
 def _stl(spark, d, **options):
-    return rounded(de.stl(_seasonal(spark, d), [], "ts", "y", StlOptions(12, **options)), "trend", "seasonal", "residual", places=6).select("t", "trend", "seasonal", "residual")
+    return rounded(de.stl(i.orders_month(spark, d), [], "ts", "y", StlOptions(12, **options)), "trend", "seasonal", "residual", places=6).select("t", "trend", "seasonal", "residual")
 
 
 @query
@@ -253,7 +249,7 @@ HW = {
 
 def _hw(name):
     def run(spark, d):
-        fits = sm.holt_winters(_seasonal(spark, d), [], "ts", "y", HW[name])
+        fits = sm.holt_winters(i.orders_month(spark, d), [], "ts", "y", HW[name])
         return rounded(sm.holt_winters_fitted(fits, []), "fitted").select("t", "fitted")
 
     run.__name__ = name
@@ -266,7 +262,7 @@ for _name in HW:
 
 @query
 def hw_forecast(spark, d):
-    fits = sm.holt_winters(_seasonal(spark, d), [], "ts", "y", HW["hw_additive"])
+    fits = sm.holt_winters(i.orders_month(spark, d), [], "ts", "y", HW["hw_additive"])
     return rounded(sm.holt_winters_forecast(fits, [], 18, HW["hw_additive"]), "forecast")
 
 
@@ -338,7 +334,7 @@ def catch24_long(spark, d):
 
 @query
 def acf_first_zero(spark, d):
-    return rounded(fe.autocorrelation(i.events_hour(spark, d), [], "ts", "y").where("lag <= 48"), "acf").select("lag", "acf", "first_zero")
+    return rounded(fe.autocorrelation(i.events_hour(spark, d), [], "ts", "y"), "acf").select("lag", "acf", "first_zero")
 
 
 # --- ARIMA -------------------------------------------------------------------------------
@@ -352,13 +348,13 @@ def diff_seasonal(spark, d):
 
 @query
 def arima_010_drift(spark, d):
-    fits = ar.arima(_seasonal(spark, d), [], "ts", "y", ArimaOptions((0, 1, 0)))
+    fits = ar.arima(i.orders_month(spark, d), [], "ts", "y", ArimaOptions((0, 1, 0)))
     return rounded(ar.forecast(fits, [], 12), "mean", "variance", places=6).select("h", "mean", "variance")
 
 
 @query
 def arima_100_css(spark, d):
-    fits = ar.arima(_seasonal(spark, d), [], "ts", "y", ArimaOptions((1, 0, 0)))
+    fits = ar.arima(i.orders_month(spark, d), [], "ts", "y", ArimaOptions((1, 0, 0)))
     out = fits.select(F.col("phi")[0].alias("phi"), "intercept", "sigma2", "log_likelihood", "aic", "aicc", "bic", "n_obs")
     return rounded(out, "phi", "intercept", "sigma2", "log_likelihood", "aic", "aicc", "bic", places=5)
 
@@ -371,7 +367,7 @@ def _summary(fits: DataFrame, *keys: str) -> DataFrame:
 
 def _arima(name, options):
     def run(spark, d):
-        return _summary(ar.arima(i.lineitem_month(spark, d).where("t < 82"), ["k"], "ts", "y", options), "k")
+        return _summary(ar.arima(i.lineitem_month(spark, d), ["k"], "ts", "y", options), "k")
 
     run.__name__ = name
     return query(run)
@@ -391,7 +387,7 @@ def _exog(spark, d):
 
 @query
 def arimax(spark, d):
-    s = _exog(spark, d).where("t < 67")
+    s = _exog(spark, d)
     fits = ar.arima(s, [], "ts", "y", ArimaOptions((1, 0, 0)), ["x1", "x2"])
     out = fits.select(F.transform("beta", lambda v: F.round(v, 3)).alias("beta"), "intercept", F.transform("phi", lambda v: F.round(v, 3)).alias("phi"), "sigma2", "n_obs")
     return rounded(out, "intercept", "sigma2", places=3)
@@ -400,37 +396,37 @@ def arimax(spark, d):
 @query
 def arimax_forecast(spark, d):
     s = _exog(spark, d)
-    fits = ar.arima(s.where("t < 67"), [], "ts", "y", ArimaOptions((1, 0, 0)), ["x1", "x2"])
-    return rounded(ar.forecast(fits, [], 12, future=s.where("t >= 67 and t < 79"), ts="ts", exog=["x1", "x2"]), "mean", "variance", "lower", "upper", places=3)
+    fits = ar.arima(s.where("t < 68"), [], "ts", "y", ArimaOptions((1, 0, 0)), ["x1", "x2"])
+    return rounded(ar.forecast(fits, [], 12, future=s.where("t >= 68"), ts="ts", exog=["x1", "x2"]), "mean", "variance", "lower", "upper", places=3)
 
 
 @query
 def arima_forecast(spark, d):
-    fits = ar.arima(_seasonal(spark, d), [], "ts", "y", ArimaOptions((1, 0, 0)))
+    fits = ar.arima(i.orders_month(spark, d), [], "ts", "y", ArimaOptions((1, 0, 0)))
     return rounded(ar.forecast(fits, [], 12), "mean", places=5).select("h", "mean")
 
 
 @query
 def arima_intervals(spark, d):
-    fits = ar.arima(_seasonal(spark, d), [], "ts", "y", ArimaOptions((1, 0, 0)))
+    fits = ar.arima(i.orders_month(spark, d), [], "ts", "y", ArimaOptions((1, 0, 0)))
     return rounded(ar.forecast(fits, [], 12, 0.1), "variance", "lower", "upper", places=5).select("h", "variance", "lower", "upper")
 
 
 @query
 def arima_ljung_box(spark, d):
-    fits = ar.arima(_seasonal(spark, d), [], "ts", "y", ArimaOptions((1, 0, 0)))
+    fits = ar.arima(i.orders_month(spark, d), [], "ts", "y", ArimaOptions((1, 0, 0)))
     return rounded(ar.ljung_box(fits, [], 10), "statistic", "p_value", places=4)
 
 
 @query
 def auto_arima(spark, d):
-    fits = ar.auto_arima(i.lineitem_month(spark, d).where("t < 82"), ["k"], "ts", "y", AutoArimaOptions())
+    fits = ar.auto_arima(i.lineitem_month(spark, d), ["k"], "ts", "y", AutoArimaOptions())
     return rounded(fits.select("k", "p", "d", "q", "aicc", "n_obs"), "aicc", places=3)
 
 
 @query
 def auto_arima_seasonal(spark, d):
-    fits = ar.auto_arima(_seasonal(spark, d), [], "ts", "y", AutoArimaOptions(12, max_p=2, max_q=2, max_seasonal_p=1, max_seasonal_q=1))
+    fits = ar.auto_arima(i.orders_month(spark, d), [], "ts", "y", AutoArimaOptions(12, max_p=2, max_q=2, max_seasonal_p=1, max_seasonal_q=1))
     return rounded(fits.select("p", "d", "q", "seasonal_p", "seasonal_d", "seasonal_q", "aicc", "n_obs"), "aicc", places=3)
 
 
@@ -450,6 +446,6 @@ def sql_functions(spark, d):
 def sql_forecast_table(spark, d):
     """A table function of forecasts, lateral to packed series."""
     udfs.register(spark)
-    udfs.pack(i.lineitem_month(spark, d).where("t < 82"), ["k"], "ts", ["y"]).createOrReplaceTempView("packed_months")
+    udfs.pack(i.lineitem_month(spark, d), ["k"], "ts", ["y"]).createOrReplaceTempView("packed_months")
     out = spark.sql("SELECT k, h, mean FROM packed_months, LATERAL series_forecast(y, 1, 0, 0, 6)")
     return rounded(out, "mean", places=3)

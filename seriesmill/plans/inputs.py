@@ -15,10 +15,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def orders_month(spark, sf_dir, last: int | None = None) -> DataFrame:
-    """t, y: monthly order totals, 80 months; ``last`` cuts the series short."""
-    s = indexed(bucket(table(spark, sf_dir, "orders"), "o_orderdate", "month", {"y": F.sum("o_totalprice") / 1e6}), [], "ts")
-    return s.where(F.col("t") < last) if last else s
+def orders_month(spark, sf_dir) -> DataFrame:
+    """t, y: monthly order totals, 80 months."""
+    return indexed(bucket(table(spark, sf_dir, "orders"), "o_orderdate", "month", {"y": F.sum("o_totalprice") / 1e6}), [], "ts")
 
 
 def orders_priority(spark, sf_dir) -> DataFrame:

@@ -100,7 +100,7 @@ def _holt_winters(a: float, b: float, g: float, m: int, times: bool) -> str:
         trend = "(SELECT y FROM s WHERE t = 1) - (SELECT y FROM s WHERE t = 0)" if b else "0.0"
         start = f"SELECT -1::BIGINT AS t, NULL::DOUBLE AS fitted, (SELECT y FROM s WHERE t = 0)::DOUBLE AS l, ({trend})::DOUBLE AS b, []::DOUBLE[] AS z"
         told, seen, after = "l + b", "y", "z"
-    return f"""s AS (SELECT t, y FROM om WHERE t < 79),
+    return f"""s AS (SELECT t, y FROM om),
 hw AS ({start} UNION ALL
   SELECT t, fitted, nl, {f'{b} * (nl - l) + (1 - {b}) * b' if b else 'b'}, {after.replace('s.t', 't')} FROM
    (SELECT s.t AS t, y, {told} AS fitted, l, b, z, {a} * ({seen}) + (1 - {a}) * (l + b) AS nl FROM hw JOIN s ON s.t = hw.t + 1))"""
@@ -114,7 +114,7 @@ for _name, _args in {
     "hw_seasonal_only": (0.3, 0.0, 0.2, 12, False),
 }.items():
     add(_name, "om", f"SELECT t, {r('fitted')} AS fitted FROM hw WHERE t >= 0", _holt_winters(*_args), True)
-add("hw_forecast", "om", f"SELECT h::INT AS h, {r('l + h * b + z[((79 + h - 1) % 12 + 1)::INT]')} AS forecast FROM hw, (SELECT unnest(range(1, 19)) AS h) WHERE t = 78", _holt_winters(0.3, 0.1, 0.2, 12, False), True)
+add("hw_forecast", "om", f"SELECT h::INT AS h, {r('l + h * b + z[((t + h) % 12 + 1)::INT]')} AS forecast FROM hw, (SELECT unnest(range(1, 19)) AS h) WHERE t = (SELECT max(t) FROM om)", _holt_winters(0.3, 0.1, 0.2, 12, False), True)
 
 # --- tests -------------------------------------------------------------------------------
 
@@ -225,22 +225,22 @@ feature(
 )
 feature("mean", "SELECT avg(y) AS v FROM eh")
 feature("SD", "SELECT stddev_samp(y) AS v FROM eh")
-add("acf_first_zero", "eh", f"SELECT k::INT AS lag, {r('a')} AS acf, (SELECT min(k) FROM acf WHERE k > 0 AND a <= 0)::INT AS first_zero FROM acf WHERE k <= 48", _Z + ", " + _ACF)
+add("acf_first_zero", "eh", f"SELECT k::INT AS lag, {r('a')} AS acf, (SELECT min(k) FROM acf WHERE k > 0 AND a <= 0)::INT AS first_zero FROM acf", _Z + ", " + _ACF)
 
 # --- ARIMA -------------------------------------------------------------------------------
 
 add("diff_seasonal", "om", f"SELECT t, {r('y - lag(y) OVER w - lag(y, 12) OVER w + lag(y, 13) OVER w')} AS diff FROM om WINDOW w AS (ORDER BY t)")
 add(
     "arima_010_drift", "om", f"SELECT h::INT AS h, {r('last + h * m', 6)} AS mean, {r('s * h', 6)} AS variance FROM p, (SELECT unnest(range(1, 13)) AS h)",
-    "w AS (SELECT t, y, y - lag(y) OVER (ORDER BY t) AS w FROM om WHERE t < 79), p AS (SELECT arg_max(y, t) AS last, avg(w) AS m, var_pop(w) AS s FROM w)",
+    "w AS (SELECT t, y, y - lag(y) OVER (ORDER BY t) AS w FROM om), p AS (SELECT arg_max(y, t) AS last, avg(w) AS m, var_pop(w) AS s FROM w)",
 )
-_AR1 = """w AS (SELECT t, y, y - avg(y) OVER () AS w FROM om WHERE t < 79), l AS (SELECT t, y, w, lag(w) OVER (ORDER BY t) AS p FROM w),
-    a AS (SELECT sum(w * p) / sum(p * p) AS phi, avg(y) AS mu, arg_max(w, t) AS last FROM l WHERE p IS NOT NULL OR true),
-    v AS (SELECT phi, (SELECT avg(y) FROM w) AS mu, last, (SELECT sum(power(w - phi * p, 2)) / 78 FROM l) AS s2 FROM a),
-    m AS (SELECT *, -39 * (ln(2 * pi() * s2) + 1) AS ll FROM v)"""
+_AR1 = """w AS (SELECT t, y, y - avg(y) OVER () AS w FROM om), l AS (SELECT t, y, w, lag(w) OVER (ORDER BY t) AS p FROM w),
+    a AS (SELECT sum(w * p) / sum(p * p) AS phi, avg(y) AS mu, arg_max(w, t) AS last FROM l),
+    v AS (SELECT phi, (SELECT avg(y) FROM w) AS mu, last, (SELECT sum(power(w - phi * p, 2)) / count(p) FROM l) AS s2, (SELECT count(p)::DOUBLE FROM l) AS n FROM a),
+    m AS (SELECT *, -n / 2 * (ln(2 * pi() * s2) + 1) AS ll FROM v)"""
 add(
     "arima_100_css", "om",
-    f"SELECT {r('phi', 5)} AS phi, {r('mu', 5)} AS intercept, {r('s2', 5)} AS sigma2, {r('ll', 5)} AS log_likelihood, {r('6 - 2 * ll', 5)} AS aic, {r('6 - 2 * ll + 24 / 74.0', 5)} AS aicc, {r('ln(78) * 3 - 2 * ll', 5)} AS bic, 78 AS n_obs FROM m",
+    f"SELECT {r('phi', 5)} AS phi, {r('mu', 5)} AS intercept, {r('s2', 5)} AS sigma2, {r('ll', 5)} AS log_likelihood, {r('6 - 2 * ll', 5)} AS aic, {r('6 - 2 * ll + 24 / (n - 4)', 5)} AS aicc, {r('ln(n) * 3 - 2 * ll', 5)} AS bic, n::INT AS n_obs FROM m",
     _AR1,
 )
 add("arima_forecast", "om", f"SELECT h::INT AS h, {r('mu + power(phi, h) * last', 5)} AS mean FROM m, (SELECT unnest(range(1, 13)) AS h)", _AR1)
