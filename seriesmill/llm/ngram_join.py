@@ -408,11 +408,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = stored(texts.select("label", "chunk", "chunks", "doc_id", "text"), "family-texts")
     dealt = texts.select("label", "chunk", "doc_id", F.lit(0).alias("side"), "text").repartition("label", "chunk").sortWithinPartitions("label", "chunk")
     edges = stored(dealt.mapInArrow(tidy(_verify(width, percent)), "a long, b long"), "links")
-    if not family.where("chunks > 1").isEmpty():
-        large = texts.where("chunks > 1")
-        edges = _by_leaders(large, edges, width, percent, chunk_docs)
-        edges = _across(large, edges, width, percent)
     labels = connected(edges, "component")
+    if not family.where("chunks > 1").isEmpty():
+        labels = _joined_chunks(texts.where("chunks > 1"), edges, labels, width, percent, chunk_docs)
 
     classed = copies.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("n", "d1", "d2", "n_class", F.coalesce("label", "rep").alias("class"))
     out = sketch.select("doc_id", "n", "d1", "d2").join(classed, ["n", "d1", "d2"], "left")
@@ -432,16 +430,16 @@ def _exploded(batches):
 LEADERS = 4
 
 
-def _classes(texts: DataFrame, edges: DataFrame, name: str) -> DataFrame:
-    labels = connected(edges, name).withColumnRenamed("id", "doc_id").withColumnRenamed("label", "class")
+def _classes(texts: DataFrame, labels: DataFrame) -> DataFrame:
+    labels = labels.select(F.col("id").alias("doc_id"), F.col("label").alias("class"))
     return texts.join(labels, "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id"))
 
 
-def _by_leaders(texts: DataFrame, edges: DataFrame, width: int, percent: int, chunk_docs: int) -> DataFrame:
-    """``edges`` and the links between leaders of classes, in rounds: each deals a
-    family's leaders into chunks, until a family's leaders are one chunk."""
+def _joined_chunks(texts: DataFrame, edges: DataFrame, labels: DataFrame, width: int, percent: int, chunk_docs: int) -> DataFrame:
+    """Labels with the links across chunks. Leaders of classes meet in rounds: each deals
+    a family's leaders into chunks, until they are one chunk; ``_across`` does the rest."""
     for k in range(12):
-        classed = _classes(texts.select("label", "doc_id"), edges, "leading")
+        classed = _classes(texts.select("label", "doc_id"), labels)
         picks = [F.min_by("doc_id", F.xxhash64("doc_id", F.lit(salt))) for salt in range(LEADERS)]
         led = classed.groupBy("label", "class").agg(F.array_distinct(F.array(*picks)).alias("ids"))
         sizes = led.groupBy("label").agg(F.count("*").alias("classes"), F.ceil(F.sum(F.size("ids")) / chunk_docs).alias("parts")).where("classes > 1")
@@ -452,20 +450,23 @@ def _by_leaders(texts: DataFrame, edges: DataFrame, width: int, percent: int, ch
         dealt = texts.select("label", "doc_id", "text").join(led, ["label", "doc_id"]).select("label", part.alias("part"), "doc_id", F.lit(0).alias("side"), "text")
         met = dealt.repartition("label", "part").sortWithinPartitions("label", "part").mapInArrow(tidy(_verify(width, percent)), "a long, b long")
         edges = stored(edges.union(met), "led-links")
+        labels = connected(edges, "leading")
         if led.where("parts > 1").isEmpty():
             break
-    return edges
+    more = _across(texts, labels, width, percent)
+    return labels if more is None else connected(edges.union(more), "joined")
 
 
-def _across(texts: DataFrame, edges: DataFrame, width: int, percent: int) -> DataFrame:
-    """``edges`` and the links between chunks of one family. All pairs inside a chunk are
-    known; a text outside the family's largest class so far meets every other chunk."""
-    ids = stored(_classes(texts.select("label", "chunk", "chunks", "doc_id"), edges, "inner"), "classed")
+def _across(texts: DataFrame, labels: DataFrame, width: int, percent: int) -> DataFrame | None:
+    """Links between chunks of one family. All pairs inside a chunk are known; a text
+    outside the family's largest class so far meets every other chunk. None: there is no
+    such text."""
+    ids = stored(_classes(texts.select("label", "chunk", "chunks", "doc_id"), labels), "classed")
     counts = ids.groupBy("label", "class").agg(F.count("*").alias("held"))
     core = counts.groupBy("label").agg(F.max_by("class", F.struct("held", F.col("class"))).alias("core"))
     outer = stored(ids.join(core, "label").where(F.col("class") != F.col("core")).select("label", "chunk", "chunks", "doc_id"), "outer")
     if outer.isEmpty():
-        return edges
+        return None
     others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
     part = (F.col("own") * 1_000_003 + F.col("met")).alias("part")
     moved = outer.select("label", "doc_id", F.col("chunk").alias("own"), others.alias("met")).where("own <> met")
@@ -473,4 +474,4 @@ def _across(texts: DataFrame, edges: DataFrame, width: int, percent: int) -> Dat
     asked = outer.select("label", F.col("chunk").alias("own"), "chunks").distinct().select("label", "own", others.alias("met")).where("own <> met")
     there = texts.select("label", F.col("chunk").alias("met"), "doc_id", "text").join(asked, ["label", "met"]).select("label", part, "doc_id", F.lit(0).alias("side"), "text")
     both = met.union(there).repartition("label", "part").sortWithinPartitions("label", "part")
-    return edges.union(stored(both.mapInArrow(tidy(_verify(width, percent)), "a long, b long"), "across"))
+    return stored(both.mapInArrow(tidy(_verify(width, percent)), "a long, b long"), "across")
