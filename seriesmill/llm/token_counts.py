@@ -54,6 +54,24 @@ class TokenTree:
         self.count, self.size, self.recoded = count, size, 0
         self._build(segments(text, size))
 
+    @classmethod
+    def restored(cls, text: str, chars, tokens, count, size: int = SEGMENT) -> "TokenTree":
+        """The tree of ``text`` from its leaves' characters and tokens, encoding nothing."""
+        tree = cls.__new__(cls)
+        tree.count, tree.size, tree.recoded = count, size, 0
+        ends = [0]
+        for n in chars:
+            ends.append(ends[-1] + int(n))
+        if ends[-1] != len(text) or len(chars) != len(tokens):
+            raise ValueError("the segments are not of this text")
+        tree._build([text[a:b] for a, b in zip(ends, ends[1:])] or [""], [int(t) for t in tokens] or [0])
+        return tree
+
+    def leaves(self) -> tuple[list[int], list[int]]:
+        """Characters and tokens of the segments, for ``restored``."""
+        n = self.base + len(self.pieces)
+        return self.chars[self.base : n], self.tokens[self.base : n]
+
     def _build(self, pieces: list[str], tokens: list[int] | None = None) -> None:
         self.pieces = pieces
         self.base = 1 << max(0, (len(pieces) - 1).bit_length())
@@ -152,8 +170,7 @@ def _count(name: str):
                 edits = [] if edits is None else edits
                 for e in edits:
                     tree.replace(int(e["start"]), int(e["end"]), e["new"] or "")
-                leaves = tree.tokens[tree.base : tree.base + len(tree.pieces)]
-                rows.append((*before, len(edits), tree.length, tree.total, tree.recoded, leaves))
+                rows.append((*before, len(edits), tree.length, tree.total, tree.recoded, tree.leaves()[1]))
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in COUNTS.split(", ")])
             yield out.assign(doc_id=out["doc_id"].astype("Int64"))
 
@@ -172,6 +189,41 @@ def count_tokens(docs: DataFrame, edits: Column, vocabulary: str = VOCABULARY) -
     return rows.mapInPandas(_count(vocabulary), COUNTS)
 
 
+TREES = "doc_id long, text string, segment_chars array<int>, segment_tokens array<int>, n_tokens long, recoded_chars long"
+
+
+def token_trees(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """doc_id, text, segment_chars, segment_tokens, n_tokens, recoded_chars: the tree of
+    every row of ``docs`` (doc_id, text), to be stored and kept up to date."""
+    none = F.lit(None).cast("array<int>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), none.alias("segment_chars"), none.alias("segment_tokens"), F.lit(None).cast(EDIT).alias("edits"))
+    return rows.mapInPandas(_trees(vocabulary), TREES)
+
+
+def recount(trees: DataFrame, edits: Column, vocabulary: str = VOCABULARY) -> DataFrame:
+    """``trees`` after ``edits`` (a column as for ``count_tokens``): new texts and counts,
+    with ``recoded_chars`` the characters that had to be encoded."""
+    rows = trees.select("doc_id", "text", "segment_chars", "segment_tokens", edits.cast(EDIT).alias("edits"))
+    return rows.mapInPandas(_trees(vocabulary), TREES)
+
+
+def _trees(name: str):
+    def run(batches):
+        count = _counter(name)
+        for pdf in batches:
+            rows = []
+            for doc_id, text, chars, tokens, edits in pdf.itertuples(index=False):
+                tree = TokenTree(text or "", count) if chars is None else TokenTree.restored(text or "", chars, tokens, count)
+                recoded = tree.length if chars is None else 0
+                for e in [] if edits is None else edits:
+                    tree.replace(int(e["start"]), int(e["end"]), e["new"] or "")
+                rows.append((doc_id, tree.text(), *tree.leaves(), tree.total, recoded + tree.recoded))
+            out = pd.DataFrame(rows, columns=[c.split()[0] for c in TREES.split(", ")])
+            yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+
+    return run
+
+
 def standard_edits(text: Column) -> Column:
     """Three edits whose places follow from the text's length: a redaction at a quarter,
     an insertion at the middle, a deletion at three quarters."""

@@ -5,9 +5,10 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from seriesmill.llm import token_counts, token_orc, tokenizing
-from seriesmill.llm.common import scratch_path
+from seriesmill.llm.common import scratch_path, stored
 
 from .helpers import awkward, documents
 
@@ -110,6 +111,21 @@ def test_counts_of_awkward_rows(spark):
     assert token_counts.count_tokens(none, token_counts.standard_edits(none["text"])).collect() == []
 
 
+def test_stored_trees_take_edits_without_a_full_recount(spark):
+    text = "some ordinary words in a row " * 400
+    trees = stored(token_counts.token_trees(documents(spark, [(1, text), (2, None), (None, "a b")])), "trees")
+    assert {r.doc_id: r.recoded_chars for r in trees.collect()} == {1: len(text), 2: 0, None: 3}
+    edit = F.array(F.struct(F.lit(300).cast("long").alias("start"), F.lit(310).cast("long").alias("end"), F.lit("new text").alias("new")))
+    got = {r.doc_id: r for r in token_counts.recount(token_counts.recount(trees, edit), edit).collect()}
+    for i, before in ((1, text), (2, ""), (None, "a b")):
+        for _ in range(2):
+            before = before[:300] + "new text" + before[310:]
+        assert got[i].text == before and got[i].n_tokens == whole(before) == sum(got[i].segment_tokens)
+    assert got[1].recoded_chars < 3000
+    with pytest.raises(ValueError):
+        token_counts.TokenTree.restored("abc", [2], [1], COUNT)
+
+
 def test_unmarked_word_ends_are_refused():
     with pytest.raises(ValueError):
         encoded(tokenizing.WordEncoder(tokenizing.load("byte_bpe_50k.json")), ["some words here"])
