@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ALNUM, U64, WordScanner, stored, text_chunks, tidy
 
@@ -289,3 +290,33 @@ def _merged(spans):
 
 def digest(contamination: DataFrame) -> DataFrame:
     return contamination.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")
+
+
+def _cut(batches):
+    scan = WordScanner(ALNUM)
+    for batch in batches:
+        texts, out = batch.column(0), []
+        spans = batch.column(1).to_pylist()
+        for lo, data, offsets in text_chunks(texts):
+            row, start, end, _ = scan(data, offsets)
+            begin = np.searchsorted(row, np.arange(len(offsets)))
+            for r in range(len(offsets) - 1):
+                keep, at = [], int(offsets[r])
+                for s in spans[lo + r] or []:
+                    keep.append(data[at : start[begin[r] + s["first"]]].tobytes())
+                    at = int(end[begin[r] + s["end"] - 1])
+                keep.append(data[at : offsets[r + 1]].tobytes())
+                out.append(b"".join(keep).decode())
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *batch.columns[2:]], ["text", *batch.schema.names[2:]])
+
+
+def remove_spans(rows: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
+    """``rows`` with the words of ``spans`` (as ``find_contamination`` gives them for the
+    same text) cut out of ``text``, from a span's first letter to its last. A null text
+    becomes empty; null spans cut nothing."""
+    others = [c for c in rows.columns if c not in (text, spans)]
+    kept = F.struct(*[F.col(f"`{c}`") for c in others]).alias("row")
+    packed = rows.select(F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{spans}`").alias("spans"), *([kept] if others else []))
+    schema = T.StructType([packed.schema["text"], *([packed.schema["row"]] if others else [])])
+    cut = packed.mapInArrow(_cut, schema)
+    return cut.select(F.col("text").alias(text), *[F.col(f"row.`{c}`").alias(c) for c in others])

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from seriesmill.llm.contamination import FMIndex, find_contamination, suffix_array
+from seriesmill.llm.contamination import FMIndex, find_contamination, remove_spans, suffix_array
 
 from .helpers import awkward, documents, prose
 
@@ -56,6 +56,19 @@ def test_matches_brute_force(spark, slice_chars):
         assert sum(b - a for a, b in spans) == r.n_hit and all(x[1] < y[0] for x, y in zip(spans, spans[1:]))
 
 
+def test_spans_are_cut_out_of_texts(spark):
+    item = prose(50, 20, 60)
+    rows = [(1, "é before, " + " ".join(item[:15]) + "! after"), (2, "clean"), (3, None), (4, "-".join(item).upper())]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    docs = documents(spark, rows)
+    found = find_contamination(docs, bench).select("doc_id", "spans")
+    cut = remove_spans(docs.join(found, "doc_id"))
+    got = {r.doc_id: r.text for r in cut.collect()}
+    assert got == {1: "é before, ! after", 2: "clean", 3: "", 4: ""}
+    assert set(cut.columns) == set(docs.columns)
+    assert not [r for r in find_contamination(cut, bench).collect() if r.n_hit]
+
+
 def test_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     got = find_contamination(documents(spark, awkward()), bench).collect()
