@@ -1 +1,3 @@
+"""Operators over DataFrames of series, by family."""
 
+from . import arima, decompose, diagnostics, features, smoothing, transforms  # noqa: F401

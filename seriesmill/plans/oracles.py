@@ -35,7 +35,7 @@ _FILLED = """g AS (SELECT *, last_value(y IGNORE NULLS) OVER (PARTITION BY p ORD
   first_value(CASE WHEN y IS NOT NULL THEN t END IGNORE NULLS) OVER (PARTITION BY p ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS t1 FROM op),
 f AS (SELECT p, t, y, CASE WHEN y IS NOT NULL THEN y WHEN y0 IS NULL THEN y1 WHEN y1 IS NULL THEN y0 ELSE y0 + (y1 - y0) * (t - t0) / (t1 - t0) END AS x FROM g)"""
 
-add("interpolate_missing", "op", f"SELECT p, t, {r('x')} AS filled FROM f", _FILLED)
+add("interpolate_missing", "op", f"SELECT p, t, {r('x', 5)} AS filled FROM f", _FILLED)
 
 
 def _decomposed(source: str, key: str, period: int, times: bool) -> str:
@@ -55,14 +55,14 @@ dec AS (SELECT d2.*, d4.seasonal, CASE WHEN y IS NOT NULL THEN {'x / (trend * se
   FROM d2 JOIN d4 ON d2.phase = d4.phase {f'AND d2.{key} = d4.{key}' if key else ''})"""
 
 
-_DEC = f"t, {r('trend')} AS trend, {r('seasonal')} AS seasonal, {r('residual')} AS residual FROM dec"
+_DEC = f"t, {r('trend', 5)} AS trend, {r('seasonal', 5)} AS seasonal, {r('residual', 5)} AS residual FROM dec"
 _OMX = "omx AS (SELECT t, y, y AS x FROM om), "
 add("sd_additive", "om", f"SELECT {_DEC}", _OMX + _decomposed("omx", "", 12, False))
 add("sd_multiplicative", "om", f"SELECT {_DEC}", _OMX + _decomposed("omx", "", 12, True))
 add("sd_odd_period", "om", f"SELECT {_DEC}", _OMX + _decomposed("omx", "", 5, False))
 add("sd_interpolate", "op", f"SELECT p, {_DEC}", _FILLED + ", " + _decomposed("f", "p", 12, False))
 _NAMES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-_PIVOT = ", ".join(f"{r(f'max(CASE WHEN p = {chr(39)}{p}{chr(39)} THEN trend END)')} AS p{k + 1}" for k, p in enumerate(_NAMES))
+_PIVOT = ", ".join(f"{r(f'max(CASE WHEN p = {chr(39)}{p}{chr(39)} THEN trend END)', 5)} AS p{k + 1}" for k, p in enumerate(_NAMES))
 add("sd_batch_wide", "op", f"SELECT t, {_PIVOT} FROM dec GROUP BY t", _FILLED + ", " + _decomposed("f", "p", 12, False))
 
 # --- LOESS -------------------------------------------------------------------------------
