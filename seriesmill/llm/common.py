@@ -32,8 +32,23 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Deletes this process's scratch tables, for when all results that read them have
+    been written; returns how many there were."""
+    configuration, count = spark._jsc.hadoopConfiguration(), 0
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        count += path.getFileSystem(configuration).delete(path, True)
+    return count
 
 
 @contextlib.contextmanager
