@@ -7,7 +7,7 @@ and what several features share (its autocorrelation, quantile labels, spectrum)
 from __future__ import annotations
 
 import math
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -210,17 +210,25 @@ def embedding_distances(s: Standard) -> float:
 
 
 def gaussian_information_minimum(s: Standard, most: int = 40) -> float:
-    if s.n < 4:
+    """From all lags' correlations at once: sums over the ends come from running totals."""
+    n, x = s.n, s.x
+    if n < 4:
         return math.nan
-    lags = min(most, math.ceil(s.n / 2))
-    x, out = s.x, np.empty(lags)
-    for k in range(1, lags + 1):
-        a, b = x[:-k] - x[:-k].mean(), x[k:] - x[k:].mean()
-        spread = math.sqrt((a @ a) * (b @ b))
-        r = (a @ b) / spread if spread > 0 else math.nan
-        out[k - 1] = -0.5 * math.log(1 - r * r) if r * r < 1 else (math.inf if r * r >= 1 else math.nan)
-    k = _first((out[1:-1] < out[:-2]) & (out[1:-1] < out[2:]), None)
-    return float(lags if k is None else k + 1)
+    lags = min(most, math.ceil(n / 2))
+    k = np.arange(1, lags + 1)
+    if n * lags < 200_000:
+        cross = np.correlate(x, x, "full")[n : n + lags]
+    else:
+        cross = np.array([x[:-lag] @ x[lag:] for lag in k])
+    total, square = (np.concatenate([[0.0], np.cumsum(v)]) for v in (x, x * x))
+    m = n - k
+    head, tail = total[m], total[n] - total[k]
+    spread = (square[m] - head * head / m) * (square[n] - square[k] - tail * tail / m)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r2 = (cross - head * tail / m) ** 2 / spread
+        out = np.where(r2 < 1, -0.5 * np.log1p(-np.minimum(r2, 1)), np.where(r2 >= 1, np.inf, np.nan))
+    found = _first((out[1:-1] < out[:-2]) & (out[1:-1] < out[2:]), None)
+    return float(lags if found is None else found + 1)
 
 
 def whitening(s: Standard) -> float:
@@ -229,14 +237,34 @@ def whitening(s: Standard) -> float:
     return first_zero(autocorrelation(np.diff(s.x))) / s.zero
 
 
-def outlier_timing(s: Standard, sign: int, step: float = 0.01) -> float:
-    """Median over rising thresholds of how far off centre the values above are.
+def _ranked(at: np.ndarray, leaves: np.ndarray, alive: np.ndarray, ranks: list[np.ndarray]) -> list[np.ndarray]:
+    """For each threshold j, the places of the given ranks (from 1) among the ``at`` that
+    leave after j. Counts by block of places find the block, a look inside the place."""
+    count = len(alive)
+    width = len(at) if len(at) * count <= 60_000 else max(64, int(math.sqrt(len(at))))
+    block = np.arange(len(at)) // width
+    blocks = int(block[-1]) + 1
+    left = np.bincount(np.minimum(leaves, count) * blocks + block, minlength=(count + 1) * blocks).reshape(count + 1, blocks)
+    here = np.cumsum(left[::-1], axis=0)[::-1][1:]  # alive at j: leaves > j
+    upto = np.cumsum(here, axis=1)
+    out = []
+    for rank in ranks:
+        b = (upto >= rank[:, None]).argmax(axis=1)
+        inner = rank - (upto[np.arange(count), b] - here[np.arange(count), b])
+        place = np.zeros(count)
+        if blocks == 1:
+            seen = np.cumsum(leaves[None, :] > np.arange(count)[:, None], axis=1)
+            place = at[(seen >= inner[:, None]).argmax(axis=1)].astype(float)
+        else:
+            for j in np.flatnonzero(alive > 0).tolist():
+                a = b[j] * width
+                place[j] = at[a + np.flatnonzero(leaves[a : a + width] > j)[inner[j] - 1]]
+        out.append(place)
+    return out
+
 
-    Positions leave in order of their values. Going the other way, from the highest
-    threshold down, positions only enter, and the median of a growing set moves by a
-    place or two in a linked order; here each threshold's median comes from ranks kept
-    in a sorted block structure.
-    """
+def outlier_timing(s: Standard, sign: int, step: float = 0.01) -> float:
+    """Median over rising thresholds of how far off centre the values above are."""
     n = s.n
     if n < 4:
         return math.nan
@@ -244,31 +272,18 @@ def outlier_timing(s: Standard, sign: int, step: float = 0.01) -> float:
     if s.x.min() == s.x.max() or y.max() < step:
         return 0.0
     count = int(y.max() / step) + 1
-    levels = np.arange(count + 1) * step
-    total = int((y >= 0).sum())
     at = np.flatnonzero(y >= 0)
-    leaves = np.searchsorted(levels, y[at], "right")  # the first threshold above
-    alive = total - np.cumsum(np.bincount(np.minimum(leaves, count), minlength=count + 1))[:count]
-    gap, share, centre = np.zeros(count), (alive - 1) * (100.0 / total if total else 0.0), np.zeros(count)
-    keep = np.ones(len(at), bool)
-    order = np.argsort(leaves, kind="stable")
-    cut = np.searchsorted(leaves[order], np.arange(count), "right")
-    held, gone = at, 0
-    for j in range(count):
-        if cut[j] > gone:
-            keep[order[gone : cut[j]]] = False
-            gone = cut[j]
-            held = at[keep]
-            if len(held) * 2 < len(at):  # shrink the work with the set
-                left = np.flatnonzero(keep)
-                place = np.cumsum(keep) - 1
-                rest = order[gone:]
-                order = np.concatenate([order[:gone], place[rest]])
-                at, keep = held, np.ones(len(left), bool)
-        m = len(held)
-        gap[j] = (held[-1] - held[0]) / (m - 1) if m >= 2 else (math.nan if m == 1 else 0.0)
-        if m:
-            centre[j] = ((held[(m - 1) // 2] + held[m // 2]) / 2 + 1) / (n / 2) - 1
+    leaves = np.searchsorted(np.arange(count + 1) * step, y[at], "right")  # the first threshold above
+    left = np.bincount(np.minimum(leaves, count), minlength=count + 1)
+    alive = len(at) - np.cumsum(left)[:count]
+    low, high = np.full(count + 1, n), np.full(count + 1, -1)
+    np.minimum.at(low, np.minimum(leaves, count), at)
+    np.maximum.at(high, np.minimum(leaves, count), at)
+    low, high = np.minimum.accumulate(low[::-1])[::-1][1:], np.maximum.accumulate(high[::-1])[::-1][1:]
+    gap = np.where(alive >= 2, (high - low) / np.maximum(alive - 1, 1), np.where(alive == 1, math.nan, 0.0))
+    share = (alive - 1) * (100.0 / len(at))
+    one, two = _ranked(at, leaves, alive, [np.maximum((alive + 1) // 2, 1), np.maximum(alive // 2 + 1, 1)])
+    centre = np.where(alive > 0, ((one + two) / 2 + 1) / (n / 2) - 1, 0.0)
     dense = np.flatnonzero(share > 2.0)
     lone = np.flatnonzero(np.isnan(gap))
     last = min(dense[-1] if len(dense) else 0, lone[0] if len(lone) else count - 1)
@@ -302,22 +317,34 @@ def pair_entropy(s: Standard) -> float:
 
 def _two_lines(x: np.ndarray, y: np.ndarray, least: int = 6) -> int:
     """Where two straight lines, sharing a point, fit best: the number of points of the
-    first. Sums come from running totals."""
+    first. All splits at once, as rows of a mask."""
     n = len(x)
-    runs = [np.concatenate([[0.0], np.cumsum(v)]) for v in (x, y, x * x, x * y)]
-    best, at = math.inf, 0
-    for i in range(least, n - least + 1):
-        total = 0.0
-        for a, b in ((0, i), (i - 1, n)):
-            m = b - a
-            sx, sy, sxx, sxy = (r[b] - r[a] for r in runs)
-            det = m * sxx - sx * sx
-            slope = (m * sxy - sx * sy) / det if det else 0.0
-            level = (sy * sxx - sx * sxy) / det if det else 0.0
-            total += math.sqrt((((slope * x[a:b] + level) - y[a:b]) ** 2).sum())
-        if total < best:
-            best, at = total, i
-    return at
+    split = np.arange(least, n - least + 1)
+    place = np.arange(n)
+    total = np.zeros(len(split))
+    for mask in (place[None, :] < split[:, None], place[None, :] >= split[:, None] - 1):
+        m = mask.sum(axis=1)
+        sx, sy, sxx, sxy = (mask @ v for v in (x, y, x * x, x * y))
+        det = m * sxx - sx * sx
+        with np.errstate(divide="ignore", invalid="ignore"):
+            slope = np.where(det != 0, (m * sxy - sx * sy) / det, 0.0)
+            level = np.where(det != 0, (sy * sxx - sx * sxy) / det, 0.0)
+        rest = np.where(mask, slope[:, None] * x + level[:, None] - y, 0.0)
+        total += np.sqrt((rest * rest).sum(axis=1))
+    best = np.nanmin(total) if not np.isnan(total).all() else math.nan
+    found = _first(total == best, None)
+    return 0 if found is None or not best < math.inf else int(split[found])
+
+
+def _line_basis(t: int) -> np.ndarray:
+    """Orthonormal columns that span the straight lines over t points."""
+    return _small_basis(t) if t <= 2048 else _small_basis.__wrapped__(t)
+
+
+@lru_cache(maxsize=512)
+def _small_basis(t: int) -> np.ndarray:
+    u = np.arange(t) - (t - 1) / 2
+    return np.stack([np.full(t, 1 / math.sqrt(t)), u / math.sqrt(u @ u)], axis=1)
 
 
 def fluctuation(s: Standard, stride: int, ranges: bool) -> float:
@@ -333,15 +360,18 @@ def fluctuation(s: Standard, stride: int, ranges: bool) -> float:
         return 0.0
     path = np.cumsum(s.x[::stride][: n // stride])
     out = np.zeros(len(tau))
-    for k, t in enumerate(tau):
+    for k, t in enumerate(tau.tolist()):
         m = len(path) // t
         if m == 0:
             continue
-        cells = path[: m * t].reshape(m, t)
-        u = np.arange(t) - (t - 1) / 2
-        centred = cells - cells.mean(axis=1, keepdims=True)
-        rest = centred - np.outer(centred @ u / (u @ u), u)
-        out[k] = math.sqrt((np.ptp(rest, axis=1) ** 2).mean() if ranges else (rest**2).mean())
+        cells, basis = path[: m * t].reshape(m, t), _line_basis(t)
+        rest = cells - (cells @ basis) @ basis.T
+        if ranges:
+            reach = rest.max(axis=1) - rest.min(axis=1)
+            out[k] = math.sqrt(reach @ reach / m)
+        else:
+            rest = rest.ravel()
+            out[k] = math.sqrt(rest @ rest / (m * t))
     with np.errstate(divide="ignore"):
         return _two_lines(np.log(tau), np.log(out)) / len(tau)
 
