@@ -239,9 +239,13 @@ def whitening(s: Standard) -> float:
 
 def _ranked(at: np.ndarray, leaves: np.ndarray, alive: np.ndarray, ranks: list[np.ndarray]) -> list[np.ndarray]:
     """For each threshold j, the places of the given ranks (from 1) among the ``at`` that
-    leave after j. Counts by block of places find the block, a look inside the place."""
+    leave after j: from a whole table of counts where it is small, else counts by block of
+    places find the block, and a look inside the place."""
     count = len(alive)
-    width = len(at) if len(at) * count <= 60_000 else max(64, int(math.sqrt(len(at))))
+    if len(at) * count <= 400_000:
+        seen = np.cumsum(leaves[None, :] > np.arange(count)[:, None], axis=1, dtype=np.int32)
+        return [at[(seen >= rank[:, None]).argmax(axis=1)].astype(float) for rank in ranks]
+    width = max(64, int(math.sqrt(len(at))))
     block = np.arange(len(at)) // width
     blocks = int(block[-1]) + 1
     left = np.bincount(np.minimum(leaves, count) * blocks + block, minlength=(count + 1) * blocks).reshape(count + 1, blocks)
@@ -252,13 +256,9 @@ def _ranked(at: np.ndarray, leaves: np.ndarray, alive: np.ndarray, ranks: list[n
         b = (upto >= rank[:, None]).argmax(axis=1)
         inner = rank - (upto[np.arange(count), b] - here[np.arange(count), b])
         place = np.zeros(count)
-        if blocks == 1:
-            seen = np.cumsum(leaves[None, :] > np.arange(count)[:, None], axis=1)
-            place = at[(seen >= inner[:, None]).argmax(axis=1)].astype(float)
-        else:
-            for j in np.flatnonzero(alive > 0).tolist():
-                a = b[j] * width
-                place[j] = at[a + np.flatnonzero(leaves[a : a + width] > j)[inner[j] - 1]]
+        for j in np.flatnonzero(alive > 0).tolist():
+            a = b[j] * width
+            place[j] = at[a + np.flatnonzero(leaves[a : a + width] > j)[inner[j] - 1]]
         out.append(place)
     return out
 

@@ -41,7 +41,7 @@ def plain(y):
     return out
 
 
-@pytest.mark.parametrize("seed,n", [(0, 30), (1, 200), (2, 501)])
+@pytest.mark.parametrize("seed,n", [(0, 30), (1, 200), (2, 501), (3, 3000)])
 def test_definitions(seed, n):
     y = arma([0.6], [0.2], n, seed)
     got = dict(zip(panel.SHORT_NAMES, panel.features(y)))
