@@ -10,7 +10,6 @@ positions, and the words that they cover merge into removal spans.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from dataclasses import dataclass
 
