@@ -6,7 +6,6 @@ import numpy as np
 
 from ..errors import NonFinite, NonPositive, SeriesTooShort
 from ..params import HoltWintersOptions
-from .numbers import interpolate  # noqa: F401  (also for the streaming start)
 
 
 def check(y: np.ndarray, o: HoltWintersOptions) -> dict:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..kernels import holt
+from ..kernels.numbers import interpolate
 from ..params import HoltWintersOptions
 
 STATE = "started boolean, level double, trend double, season array<double>, phase int, held_ts array<long>, held_y array<double>, last long, late long"
@@ -75,7 +76,7 @@ def holt_winters_stream(df: DataFrame, key: str, ts: str, y: str, options: HoltW
             held_ts.append(at)
             held_y.append(value)
             if sum(map(np.isfinite, held_y)) >= need and len(held_y) >= need:
-                seen = holt.interpolate(np.array(held_y))
+                seen = interpolate(np.array(held_y))
                 holt.check(seen, o)
                 first, slope, season = holt.start(seen[None, :], o)
                 level, trend, started = float(first[0]), float(slope[0]), True
