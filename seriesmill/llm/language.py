@@ -73,7 +73,8 @@ class LanguageModel:
 def fit_language(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, landmarks: int = LANDMARKS, ridge: float = 1e-2) -> LanguageModel | None:
     """A model of at most ``sample_rows`` rows of ``docs`` (doc_id, text, lang), shared
     evenly by the languages and chosen by a hash of the text; rows that are held out or
-    lack a text or lang are left out. None if there are none."""
+    lack a text or lang are left out. It knows at most ``landmarks`` languages, the most
+    frequent ones. None if there are no rows."""
     rows = docs.where(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(landmarks).collect()}
     if not counts:

@@ -307,7 +307,8 @@ def fit_toxicity(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Toxicit
     four folds: the features of a fold come from the lexicon of the other three, and the
     calibration from trees that did not see the fold. Texts that share their rarest long
     word are of one fold and count once in the lexicon, so a much copied text lends it
-    little and proves nothing about itself. Without rows of both kinds, the score is the
+    little and proves nothing about itself. A lexicon has at most ``LEXICON_SIZE`` tokens,
+    those of most toxic texts. Without rows of both kinds, the score is the
     share of toxic rows (0 without any).
     """
     labelled = labelled.where("toxic in (0, 1)")
