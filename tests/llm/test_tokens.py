@@ -63,6 +63,14 @@ def test_files_have_stripes_in_order_and_indexes(spark):
     assert [r.doc_id for r in rows.orderBy("start").select("doc_id").collect()] == list(range(3000))
     plan = rows.where("doc_id = 7")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(doc_id,7)" in plan
+    jvm = spark._jvm
+    file = jvm.org.apache.hadoop.fs.Path(spark.read.orc(path).inputFiles()[0])
+    reader = jvm.org.apache.orc.OrcFile.createReader(file, jvm.org.apache.orc.OrcFile.readerOptions(spark._jsc.hadoopConfiguration()))
+    footer = reader.rows().readStripeFooter(reader.getStripes().get(0))
+    kinds = {str(footer.getStreams(k).getKind()) for k in range(footer.getStreamsCount())}
+    assert {"ROW_INDEX", "BLOOM_FILTER_UTF8"} <= kinds
+    codes = {str(footer.getColumns(k).getKind()) for k in range(footer.getColumnsCount())}
+    assert "DIRECT_V2" in codes  # run-length encoded integers
     ids = rows.where("doc_id = 7").first().ids
     assert ids[-1] == 2 and ids[:-1] == plain(["word7 a b c"])[0]
 
