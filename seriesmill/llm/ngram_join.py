@@ -352,12 +352,38 @@ def _verify(width: int, percent: int):
     return run
 
 
-def connected(edges: DataFrame, name: str = "labels") -> DataFrame:
+#: Edges that one task may join by union-find; more go through rounds of joins.
+ONE_TASK_EDGES = 200_000
+
+
+def _union_find(batches):
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = find(a), find(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    ids = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([find(x) for x in ids], pa.int64())], ["id", "label"])
+
+
+def connected(edges: DataFrame, name: str = "labels", one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """(id, label): the least id reachable from each id that has an edge (a, b).
 
     Hooking to the least neighbour label and pointer jumping, one stored table a
-    round; the number of rounds grows with the logarithm of the longest path.
+    round; the number of rounds grows with the logarithm of the longest path. The same
+    labels come from one task where the edges are counted to be at most ``one_task``.
     """
+    edges = stored(edges.where("a <> b"), f"{name}-given")
+    if edges.count() <= one_task:
+        return stored(edges.select("a", "b").coalesce(1).mapInArrow(_union_find, "id long, label long"), name)
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).where("u <> v").distinct()
     both = stored(both, f"{name}-edges")
     labels = stored(both.groupBy(F.col("u").alias("id")).agg(F.least(F.col("u"), F.min("v")).alias("label")), name)

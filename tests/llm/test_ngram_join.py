@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from seriesmill.llm import ngram_join
 from seriesmill.llm.ngram_join import Classes, SignatureTree, bitmap, connected, jaccard_components
 
 from .helpers import awkward, components, documents, prose
@@ -20,12 +21,18 @@ def family(seed, size, edits, words=90):
     return out
 
 
+@pytest.fixture(params=["rounds", "one task"])
+def way(request, monkeypatch):
+    """Both ways to components."""
+    monkeypatch.setattr(ngram_join.connected, "__defaults__", ("labels", 0 if request.param == "rounds" else 200_000))
+
+
 def check(spark, rows, **options):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(documents(spark, rows), **options).collect()}
     assert got == components(rows)
 
 
-def test_matches_brute_force(spark):
+def test_matches_brute_force(spark, way):
     texts = [t for s in range(6) for t in family(s, 8, 6)] + [" ".join(prose(100 + k, 50)) for k in range(20)]
     check(spark, list(enumerate(texts)))
 
@@ -57,9 +64,11 @@ def test_only_texts_without_words(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(1, 0, 1), (2, 0, 2)]
 
 
-def test_components_of_a_long_path_and_a_star(spark):
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_components_of_a_long_path_and_a_star(spark, one_task):
     edges = [(k, k + 1) for k in range(100, 140)] + [(1, k) for k in range(2, 60)]
-    got = {r.id: r.label for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.id: r.label for r in connected(spark.createDataFrame(edges, "a long, b long"), one_task=one_task).collect()}
+    assert connected(spark.createDataFrame([(1, 1)], "a long, b long"), one_task=one_task).count() == 0
     assert set(got.values()) == {1, 100} and got[140] == 100 and got[59] == 1
 
 
