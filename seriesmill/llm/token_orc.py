@@ -64,7 +64,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_i
         "orc.bloom.filter.columns": "doc_id",
         "orc.bloom.filter.fpp": "0.01",
     }
-    with small_batches(docs.sparkSession, 4000):
+    with small_batches(docs.sparkSession, 2000):
         encoded.write.options(**options).orc(path)
 
 

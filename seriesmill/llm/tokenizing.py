@@ -46,23 +46,24 @@ class WordEncoder:
     Spaces and line feeds cut a text into pieces (other white space stays inside its
     piece). Plain letters with signs behind are two words to such a tokenizer: the piece
     is looked up as these two parts, any other piece as a whole. The ids of parts are
-    remembered in two generations: when the young one is full it becomes the old one,
-    and what is met again comes back from there. All that is done for every piece runs
+    remembered once they are met in a second batch, in two generations: when the young
+    one is full it becomes the old one, and what is met again comes back from there. All that is done for every piece runs
     in Arrow and numpy; Python sees the distinct parts of a batch.
     """
 
-    def __init__(self, tokenizer, limit: int = 320_000):
+    def __init__(self, tokenizer, limit: int = 120_000):
         self.tokenizer, self.limit = tokenizer, limit
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.met, self.marks = bytearray(1 << 22), 0  # by hash: parts of earlier batches
         vocabulary = tokenizer.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def _learn(self, words: list[str], others: list[str]) -> None:
+    def _learn(self, words: list[str], others: list[str]) -> dict[str, bytes]:
         """Encodes new words of plain letters thousands at a time, as one text; the rest
         one by one."""
-        young = self.young
+        new: dict[str, bytes] = {}
         blocks = [words[k : k + 4000] for k in range(0, len(words), 4000)]
         for block, e in zip(blocks, self.tokenizer.encode_batch_fast([" ".join(b) for b in blocks], add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
@@ -71,10 +72,25 @@ class WordEncoder:
                 raise ValueError("the tokenizer does not mark word ends")
             ids, a = ids.tobytes(), 0
             for word, b in zip(block, ends):
-                young[word] = ids[a:b]
+                new[word] = ids[a:b]
                 a = b
         for x, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
-            young[x] = np.array(e.ids, "<u4").tobytes()
+            new[x] = np.array(e.ids, "<u4").tobytes()
+        self._keep(new)
+        return new
+
+    def _keep(self, new: dict[str, bytes]) -> None:
+        met, young, last = self.met, self.young, len(self.met) - 1
+        if self.marks > last // 4:
+            self.met = met = bytearray(last + 1)
+            self.marks = 0
+        for x, ids in new.items():
+            k = hash(x) & last
+            if met[k]:
+                young[x] = ids
+            else:
+                met[k] = 1
+                self.marks += 1
 
     def _ids(self, parts: list[str], plain: list[bool]) -> list[bytes]:
         young, old = self.young, self.old
@@ -87,10 +103,9 @@ class WordEncoder:
                     young[x] = z
                 else:
                     (words if plain[k] else others).append(x)
-        if words or others:
-            self._learn(words, others)
         if None in found:
-            found = [young[x] if y is None else y for x, y in zip(parts, found)]
+            new = self._learn(words, others)
+            found = [y if y is not None else new[x] if x in new else young[x] for x, y in zip(parts, found)]
         if len(young) > self.limit:
             self.old, self.young = young, {}
         return found
