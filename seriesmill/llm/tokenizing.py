@@ -51,7 +51,7 @@ class WordEncoder:
     in Arrow and numpy; Python sees the distinct parts of a batch.
     """
 
-    def __init__(self, tokenizer, limit: int = 120_000):
+    def __init__(self, tokenizer, limit: int = 300_000):
         self.tokenizer, self.limit = tokenizer, limit
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
