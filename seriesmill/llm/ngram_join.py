@@ -192,8 +192,8 @@ class SignatureTree:
         stack = [(top, i, j)]
         while stack:
             level, i, j = stack.pop()
-            if len(i) > 65536:
-                stack += [(level, i[k : k + 65536], j[k : k + 65536]) for k in range(0, len(i), 65536)]
+            if len(i) > 8192:
+                stack += [(level, i[k : k + 8192].copy(), j[k : k + 8192].copy()) for k in range(0, len(i), 8192)]
                 continue
             keep = ((uniform[level][i] != uniform[level][j]) | (uniform[level][i] < 0)) & (marked[level][i] | marked[level][j])
             keep &= (i != j) if level == 0 else True
