@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesmill.llm.common import columns, stored
-from seriesmill.llm.contamination import find_contamination
+from seriesmill.llm.contamination import drop_contaminated
 from seriesmill.llm.mixing import mix_sources
 from seriesmill.llm.ngram_join import jaccard_components
 from seriesmill.llm.token_orc import tokens_digest
@@ -24,39 +24,41 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_toxic(docs, model)
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the rows of ids whose every text is linked to one of a lesser id. Of rows
-    that share an id, the first by text stays, unless they have no words: these, and
-    rows without an id, are no one's copies."""
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """(row_id, row) of every row: a unique number, stored so that it stays with its row,
+    and the row's own columns."""
     own = [F.col(f"`{c}`") for c in docs.columns]
-    found = jaccard_components(docs).where("doc_id is not null")
-    ids = stored(found.groupBy("doc_id").agg(F.max(F.col("component_id") - F.col("doc_id")).alias("high"), F.count("*").alias("rows"), F.max("n_shingles").alias("most")), "ids")
-    dropped = stored(ids.where("high < 0").select("doc_id"), "dropped")
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*own)
-    repeated = stored(ids.where("rows > 1 and high >= 0 and most > 0").select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return kept
-    first = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*own), F.struct(F.col("text").isNull(), F.col("text"))).alias("row")).select("row.*")
-    return kept.join(repeated, "doc_id", "left_anti").select(*own).union(first)
+    return stored(docs.select(F.monotonically_increasing_id().alias("row_id"), F.struct(*own).alias("row")), name)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of linked texts, keeps the row of the least id (of several, that with
+    the least hash of its text) and drops the others, row by row. Rows without an id are
+    each other's copies, and one of a class stays, beside the one that has an id. Rows
+    without words are no one's copies."""
+    rows = _numbered(docs, "numbered")
+    found = jaccard_components(rows.select("row_id", F.col("row.text").alias("text")), "row_id").where("n_shingles > 0")
+    named = rows.select("row_id", F.col("row.doc_id").alias("named"), F.xxhash64("row.text").alias("hash"))
+    classed = stored(found.select(F.col("doc_id").alias("row_id"), "component_id").join(named, "row_id"), "classed-rows")
+    first = classed.groupBy("component_id", F.col("named").isNull()).agg(F.min(F.struct("named", "hash", "row_id")).alias("first")).select("first.row_id")
+    dropped = stored(classed.join(first, "row_id", "left_anti").select("row_id"), "dropped")
+    return rows.join(dropped, "row_id", "left_anti").select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops contaminated rows. Hits are found row by row, so the verdict joins by id."""
+    """Drops contaminated rows, each by its own text."""
     benchmark = columns(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id", "text")
-    found = find_contamination(columns(docs, "doc_id", "text"), benchmark)
-    bad = stored(found.where("contaminated").select("doc_id").distinct(), "contaminated")
-    return docs.join(bad, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return drop_contaminated(docs, benchmark)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each row as often as the mix does: not at all, once or twice. A row without
-    an id goes by a hash of its text."""
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    key = F.coalesce(F.col("doc_id"), F.xxhash64("text", F.lit("no id")))
-    taken = mix_sources(docs.select(key.alias("doc_id"), "text", "source"))
-    copies = taken.where("size > 0 and taken > 0").groupBy(F.col("doc_id").alias("key")).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("copies"))
-    row = docs.select(F.struct(*own).alias("row"), key.alias("key")).join(copies, "key")
-    return row.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
+    """Takes each row as often as the mix does: not at all, once or twice. Draws go by a
+    hash of id and text, so that they don't depend on the order of rows."""
+    rows = _numbered(docs, "to-mix")
+    key = F.xxhash64("row.doc_id", "row.text")
+    taken = mix_sources(rows.select(key.alias("doc_id"), "row.text", "row.source", "row_id"), row_col="row_id")
+    copies = taken.where("size > 0 and taken > 0").select("row_id", (F.col("taken") / F.col("size")).cast("int").alias("copies"))
+    return rows.join(copies, "row_id").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ positions, and the words that they cover merge into removal spans.
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass
 
@@ -178,6 +179,8 @@ HITS = "uid long, doc_id long, n_words long, spans array<struct<first:int,end:in
 
 
 def _search(found: Windows):
+    """Hits of batches (uid, doc_id, text); columns after these are passed on."""
+
     def run(batches):
         scan = WordScanner(ALNUM)
         least = int(found.lengths.min()) if len(found.lengths) else 0
@@ -203,6 +206,7 @@ def _search(found: Windows):
                         "n_words": pa.array(count, pa.int64()),
                         "spans": pa.array([spans.get(k, []) for k in range(n)], pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))),
                         "items": pa.array([sorted(found.names[i] for i in items.get(k, ())) for k in range(n)], pa.list_(pa.string())),
+                        **{name: batch.column(k).slice(lo, n) for k, name in enumerate(batch.schema.names) if k > 2},
                     }
                 )
 
@@ -249,30 +253,64 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, p
     no windows; repeated items and rows count each once. The benchmark is taken in slices
     of about ``slice_chars`` characters, so what a task holds of it is bounded.
     """
-    spark = docs.sparkSession
-    items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id"), F.col("text").cast("string").alias("text"))
-    chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    slices = max(1, math.ceil(chars / slice_chars))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if slices > 1:
+    slices = _sliced(benchmark, width, slice_chars)
+    if len(slices) > 1:
         docs = stored(docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text"), "numbered")
     else:
         docs = docs.select(F.lit(0).cast("long").alias("uid"), "doc_id", "text")
+    out = _hits(docs, slices)
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        _contaminated(percent).alias("contaminated"), "spans", "items",
+    )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 13, percent: int = 5, slice_chars: int = 1 << 22) -> DataFrame:
+    """The rows of ``docs`` whose text is not contaminated, with all their columns whatever
+    their names: these travel in one column past the search. Ids play no part."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    none, text = F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+    slices = _sliced(benchmark, width, slice_chars)
+    if len(slices) == 1:
+        rows = docs.select(F.lit(0).cast("long").alias("uid"), none, text, row)
+        return _hits(rows, slices).where(~_contaminated(percent)).select("row.*")
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("uid"), row), "numbered")
+    found = _hits(rows.select("uid", none, F.col("row.text").cast("string").alias("text")), slices)
+    bad = stored(found.where(_contaminated(percent)).select("uid"), "contaminated")
+    return rows.join(bad, "uid", "left_anti").select("row.*")
+
+
+def _contaminated(percent: int):
+    return (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))
+
+
+def _sliced(benchmark: DataFrame, width: int, slice_chars: int) -> list:
+    """Functions that give the windows of each slice, one slice at a time."""
+    items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id"), F.col("text").cast("string").alias("text"))
+    chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    n = max(1, math.ceil(chars / slice_chars))
+
+    def windows(k):
+        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()  # at most about slice_chars
+        return windows_of([(r.item_id, r.text) for r in own], width)
+
+    return [functools.partial(windows, k) for k in range(n)]
+
+
+def _hits(docs: DataFrame, slices: list) -> DataFrame:
+    """``docs`` (uid, doc_id, text; with one slice, further columns are passed on) ->
+    HITS and n_hit, one row a uid if there are several slices."""
+    schema = T.StructType([*T.StructType.fromDDL(HITS).fields, *docs.schema.fields[3:]])
     parts = None
-    for k in range(slices):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k).collect()  # at most about slice_chars
-        found = windows_of([(r.item_id, r.text) for r in own], width)
-        part = docs.mapInArrow(tidy(_search(found)), HITS)
+    for windows in slices:
+        part = docs.mapInArrow(tidy(_search(windows())), schema)
         parts = part if parts is None else parts.union(part)
-    if slices > 1:
+    if len(slices) > 1:
         parts = stored(parts, "hits").groupBy("uid", "doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
         parts = parts.withColumns({"spans": _merged(F.col("spans")), "items": F.array_sort(F.array_distinct("items"))})
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + (s["end"] - s["first"]).cast("long"))
-    out = parts.withColumn("n_hit", hit)
-    return out.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))).alias("contaminated"), "spans", "items",
-    )
+    return parts.withColumn("n_hit", hit)
 
 
 def _merged(spans):

@@ -121,23 +121,25 @@ def _fly(last: bool):
     return run
 
 
-def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = 1024) -> DataFrame:
+def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = 1024, row_col: str | None = None) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every row of ``docs`` (doc_id,
-    text, source).
+    text, source), and its long column ``row_col`` if one is named.
 
     size is the number of words between blanks; null texts have 0 and take 0. Repeated
     rows are documents of their own. Null is a source like another. Reruns agree: bins
     and draws derive from ids and sizes, not from the order of rows.
     """
+    own = [row_col] if row_col else []
+    schema = ", ".join([CELLS, *[f"`{c}` long" for c in own]])
     words = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    sizes = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("size"), F.col("source").cast("string").alias("source")), "sizes")
+    sizes = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("size"), F.col("source").cast("string").alias("source"), *own), "sizes")
     targets = source_targets(sizes, weights, share, most)
     factor = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    cells = sizes.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.doc_id", "d.size", "d.source", "source_size", "target", factor.alias("f"), F.col("n").alias("rows"))
+    cells = sizes.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.doc_id", "d.size", "d.source", "source_size", "target", factor.alias("f"), F.col("n").alias("rows"), *own)
     base = F.floor(F.least(F.col("f"), F.lit(most)) + 1e-12)
     cells = cells.withColumn("base", base.cast("long")).withColumn("p", F.greatest(F.col("f") - F.col("base"), F.lit(0.0)))
     cells = cells.withColumn("p", F.when((F.col("p") < 1e-9) | (F.col("size") == 0), 0.0).otherwise(F.col("p"))).drop("f")
-    settled = cells.where("p = 0").select("doc_id", "size", "source_size", "target", (F.col("base") * F.col("size")).alias("taken"))
+    settled = cells.where("p = 0").select("doc_id", "size", "source_size", "target", (F.col("base") * F.col("size")).alias("taken"), *own)
     parts = [settled]
     open_ = cells.where("p > 0")
     rounds = 0
@@ -146,10 +148,10 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: floa
         bins = F.ceil(F.col("rows") / block)
         salt = F.xxhash64("doc_id", "size", F.lit(rounds))
         dealt = open_.withColumn("bin", F.when(bins > 1, F.pmod(salt, bins) + 1).otherwise(F.lit(0)).cast("long"))
-        landing = dealt.where("bin = 0").groupBy("source", "bin").applyInPandas(_fly(True), CELLS)
-        flying = dealt.where("bin > 0").groupBy("source", "bin").applyInPandas(_fly(False), CELLS)
+        landing = dealt.where("bin = 0").groupBy("source", "bin").applyInPandas(_fly(True), schema)
+        flying = dealt.where("bin > 0").groupBy("source", "bin").applyInPandas(_fly(False), schema)
         done = stored(landing.union(flying), f"mix-{rounds}")
-        parts.append(done.where("p = 0 or p = 1").select("doc_id", "size", "source_size", "target", ((F.col("base") + F.col("p").cast("long")) * F.col("size")).alias("taken")))
+        parts.append(done.where("p = 0 or p = 1").select("doc_id", "size", "source_size", "target", ((F.col("base") + F.col("p").cast("long")) * F.col("size")).alias("taken"), *own))
         open_ = done.where("p > 0 and p < 1").drop("bin")
         counts = open_.groupBy("source").agg(F.count("*").alias("rows"))
         if counts.isEmpty():

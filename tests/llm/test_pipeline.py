@@ -59,3 +59,30 @@ def test_queries_have_their_columns(spark, small, name):
     got = QUERIES[name](spark, small)
     assert set(want) <= set(got.columns) and got.count() > 0
     assert name in ORACLES or name.split("_")[0] in ("op2", "op3", "op6", "op7", "op8", "op9", "op10")
+
+
+def test_rows_without_an_id_pass_every_filter(spark, small, tmp_path):
+    item = " ".join(prose(70, 40))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = " ".join(prose(71, 60))
+    rows = [(None, item), (None, clean), (7, item), (7, clean)]
+    kept = pipeline.decontamination(spark, documents(spark, rows), str(tmp_path))
+    assert kept.columns == documents(spark, []).columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect() if r.doc_id) == [(7, clean)]
+    assert [r.text for r in kept.collect() if r.doc_id is None] == [clean]
+
+    rows = [(None, clean), (None, clean), (None, clean + " more"), (None, item), (None, ""), (None, ""), (1, clean)]
+    kept = pipeline.near_duplicates(spark, documents(spark, rows), small).collect()
+    assert [r.text for r in kept if r.doc_id == 1] == [clean]
+    unnamed = [r.text for r in kept if r.doc_id is None]
+    assert len(unnamed) == 4 and unnamed.count("") == 2 and item in unnamed
+
+
+def test_copies_without_an_id_are_mixed_each_on_its_own(spark, small):
+    rows = [(None, "a b c", None, "s") for _ in range(200)] + [(None, "d e f", None, "t") for _ in range(200)]
+    got = [r.source for r in pipeline.mixing(spark, documents(spark, rows), small).collect()]
+    # 5 to 2 of 1.5 times 400 rows, at most twice as many as there are
+    assert abs(got.count("s") - 400) <= 2 and abs(got.count("t") - 200) <= 2
+    rows = [(None, "a b c", None, "s") for _ in range(100)] + [(None, "d e f", None, "t") for _ in range(300)]
+    got = [r.source for r in pipeline.mixing(spark, documents(spark, rows), small).collect()]
+    assert abs(got.count("s") - 200) <= 2 and abs(got.count("t") - 400) <= 2
