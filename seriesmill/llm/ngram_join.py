@@ -430,7 +430,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     family = family.join(reps.groupBy(F.col("doc_id").alias("id")).agg(F.max("n").alias("n")), "id")
     sizes = family.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / chunk_docs), F.ceil(F.sum("n") / chunk_tokens)).alias("chunks"))
     family = stored(family.join(sizes, "label").select("id", "label", "chunks", F.pmod(F.xxhash64("id"), "chunks").alias("chunk")), "chunks")
-    texts = docs.join(family.withColumnRenamed("id", "doc_id"), "doc_id").dropDuplicates(["doc_id", "text"])
+    worded = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))  # an id may have wordless texts too
+    texts = worded.join(family.withColumnRenamed("id", "doc_id"), "doc_id").dropDuplicates(["doc_id", "text"])
     texts = stored(texts.select("label", "chunk", "chunks", "doc_id", "text"), "family-texts")
     dealt = texts.select("label", "chunk", "doc_id", F.lit(0).alias("side"), "text").repartition("label", "chunk").sortWithinPartitions("label", "chunk")
     edges = stored(dealt.mapInArrow(tidy(_verify(width, percent)), "a long, b long"), "links")

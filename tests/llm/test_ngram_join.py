@@ -90,3 +90,10 @@ def test_tree_finds_every_linked_pair(percent):
             if linked(i, j):
                 brute.join(i, j)
     assert [classes.find(i) for i in range(60)] == [brute.find(i) for i in range(60)]
+
+
+def test_an_id_with_a_linked_and_a_wordless_text(spark):
+    text = " ".join(prose(90, 60))
+    rows = [(1, text), (1, ""), (1, None), (1, " \t"), (2, text + " more"), (3, None)]
+    got = sorted((r.doc_id, r.n_shingles > 0, r.component_id) for r in jaccard_components(documents(spark, rows)).collect())
+    assert got == [(1, False, 1)] * 3 + [(1, True, 1), (2, True, 1), (3, False, 3)]

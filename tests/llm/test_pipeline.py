@@ -86,3 +86,10 @@ def test_copies_without_an_id_are_mixed_each_on_its_own(spark, small):
     rows = [(None, "a b c", None, "s") for _ in range(100)] + [(None, "d e f", None, "t") for _ in range(300)]
     got = [r.source for r in pipeline.mixing(spark, documents(spark, rows), small).collect()]
     assert abs(got.count("s") - 200) <= 2 and abs(got.count("t") - 400) <= 2
+
+
+def test_rows_that_share_an_id_are_judged_by_their_own_text(spark, small):
+    a, b, c = sorted(" ".join(prose(k, 40)) for k in (80, 81, 82))
+    rows = [(5, a), (5, b), (9, b), (11, c), (11, c), (12, c + " more"), (13, None), (13, a + " end")]
+    kept = pipeline.near_duplicates(spark, documents(spark, rows), small).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(5, a), (5, b), (11, c), (13, None)], key=str)
