@@ -222,7 +222,8 @@ _FRONT = _silent()
 
 def to_audio(payload: bytes) -> bytes:
     """A stream whose frames hold ``payload`` (a multiple of 192 bytes): a tag with its
-    length and checksum, a frame with the Info table, then the frames."""
+    length and checksum, a frame with the Info table, the frames, and an empty ID3v1 tag,
+    without which a reader would take payload that spells TAG at its place for one."""
     frames = len(payload) // PAYLOAD
     text = f"{len(payload)} {zlib.crc32(payload):08x}".encode()
     body = b"TXXX" + len(b"\x03payload\0" + text).to_bytes(4, "big") + b"\0\0" + b"\x03payload\0" + text
@@ -232,7 +233,7 @@ def to_audio(payload: bytes) -> bytes:
     cells = np.zeros((frames, UNIT), np.uint8)
     cells[:, : len(_FRONT)] = np.frombuffer(_FRONT, np.uint8)
     cells[:, len(_FRONT) : len(_FRONT) + PAYLOAD] = np.frombuffer(payload, np.uint8).reshape(frames, PAYLOAD)
-    return tag + info + cells.tobytes()
+    return tag + info + cells.tobytes() + b"TAG".ljust(128, b"\0")
 
 
 def _uniform(b: bytes) -> tuple[Audio, bytes] | None:

@@ -80,3 +80,13 @@ def test_headers_tags_and_tables():
 def test_garbage_has_no_frames(data):
     audio, payload = media.from_audio(data)
     assert audio.frames == 0 and payload == b"" and audio.duration == 0
+
+
+def test_payload_that_spells_a_tag_is_kept(spark):
+    texts = ["x" * (192 * n + k) + "TAG" + "y" * 100 for n in (0, 2) for k in range(86, 93)]
+    got = media.media_round_trip(documents(spark, list(enumerate(texts)))).collect()
+    for r in got:
+        payload = padded(texts[r.doc_id])[1]
+        assert (r.payload_bytes, r.payload_sha256) == (len(payload), hashlib.sha256(payload).hexdigest())
+        assert r.frames == len(payload) // 192 and "bad=0 skipped=0" in r.feature
+    assert len(got) == len(texts)
