@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from .common import U64, held_out, mix, text_chunks
 
 SAMPLE_ROWS, LANDMARKS, PLACES, LONGEST = 4_000, 128, 1 << 14, 4
+#: Rows of a language at least, as far as it has them, however many languages there are.
+LEAST_ROWS = 4
 _FACTORS = mix(np.arange(1, LONGEST + 1, dtype=U64)) | U64(1)
 
 
@@ -71,19 +73,23 @@ class LanguageModel:
 
 
 def fit_language(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, landmarks: int = LANDMARKS, ridge: float = 1e-2) -> LanguageModel | None:
-    """A model of at most ``sample_rows`` rows of ``docs`` (doc_id, text, lang), shared
+    """A model of about ``sample_rows`` rows of ``docs`` (doc_id, text, lang), shared
     evenly by the languages and chosen by a hash of the text; rows that are held out or
-    lack a text or lang are left out. It knows at most ``landmarks`` languages, the most
-    frequent ones. None if there are no rows."""
-    rows = docs.where(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(landmarks).collect()}
+    lack a text or lang are left out. It knows every language of the other rows: with many,
+    rows grow to about ``LEAST_ROWS`` and landmarks to one a language. None if there are no
+    rows."""
+    place = F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 20))
+    rows = docs.where(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text", place.alias("place"))
+    counts = {r["lang"]: (r["n"], r["least"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("place").alias("least")).collect()}
     if not counts:
         return None
     names = sorted(counts)
-    each = max(1, sample_rows // len(names))
-    place = F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 20))
-    share = F.element_at(F.create_map(*[F.lit(v) for k in names for v in (k, min(1 << 20, int((1 << 20) * each / counts[k]) + 1))]), F.col("lang"))
-    sample = rows.where(F.col("lang").isin(names) & (place < share)).select("lang", "text").orderBy("lang", F.xxhash64("text", F.lit(4)), "text")
+    each = max(LEAST_ROWS, sample_rows // len(names))
+    shares = [(k, min(1 << 20, int((1 << 20) * each / counts[k][0]) + 1), counts[k][1]) for k in names]
+    shared = rows.join(F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, share long, least long")), "lang")
+    # a language of which the share would take no row gives one text
+    lone = shared.where("least >= share and place = least").groupBy("lang").agg(F.min("text").alias("text"))
+    sample = shared.where("place < share").select("lang", "text").union(lone).orderBy("lang", F.xxhash64("text", F.lit(4)), "text")
 
     def features(batches):
         for batch in batches:

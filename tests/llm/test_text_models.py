@@ -120,6 +120,18 @@ def test_language_without_any_labelled_row(spark):
     assert {r.lang_pred for r in language.predict_language(docs, None).collect()} == {"und"}
 
 
+def test_every_one_of_many_languages_is_learned(spark):
+    names = [f"l{k:03d}" for k in range(150)]
+    rows = [(i * 150 + k, " ".join([f"{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(122 - k % 26)}q"] * (5 + i)), lang) for i in range(8) for k, lang in enumerate(names)]
+    docs = documents(spark, rows)
+    model = language.fit_language(docs)
+    got = language.predict_language(docs, model).collect()
+    assert model.names == names and {r.lang_pred for r in got} == set(names)
+    copies = documents(spark, [(k, "the same", "aa") for k in range(400)] + [(1000 + k, f"other {k}", "bb") for k in range(400)])
+    assert (language.fit_language(copies, sample_rows=8).weights.shape[1]) == 2
+    assert np.isfinite(language.fit_language(copies, sample_rows=8).weights).all()
+
+
 def test_presence_is_of_whole_texts_and_ignores_case():
     one = "ÀBC xyz".encode()
     two = "àbc XYZ, and".encode()
