@@ -110,6 +110,7 @@ class Audio:
     offsets: list[int] = field(default_factory=list)
     table: dict | None = None
     tags: dict[str, str] = field(default_factory=dict)
+    payload_ok: bool | None = None  # as the tag of a stored payload says, where there is one
 
     @property
     def duration(self) -> float:
@@ -254,13 +255,16 @@ def _uniform(b: bytes) -> tuple[Audio, bytes] | None:
 
 
 def from_audio(b: bytes) -> tuple[Audio, bytes]:
-    """What ``parse_audio`` finds, and the payload of the frames."""
-    if (quick := _uniform(b)) is not None:
-        return quick
+    """What ``parse_audio`` finds, and the payload of the frames, held against the length
+    and checksum of the tag."""
     parts = []
     skip = len(_FRONT)
     audio = parse_audio(b, lambda at, n, h: parts.append(b[at + skip : at + skip + PAYLOAD]) if n == UNIT else None)
-    return audio, b"".join(parts)
+    payload = b"".join(parts)
+    name, _, told = audio.tags.get("TXXX", "").partition("\0")
+    if name == "payload":
+        audio.payload_ok = told == f"{len(payload)} {zlib.crc32(payload):08x}"
+    return audio, payload
 
 
 def _store(batches):
@@ -295,7 +299,7 @@ def _describe(every: int):
                 h = audio.headers
                 us = audio.samples * 1_000_000 // audio.rate if audio.rate else 0
                 seek = audio.offsets[::every]
-                feature = f"mpeg{h.version}.{h.layer} {h.kbps}k {h.rate}Hz ch{h.channels} frames={audio.frames} us={us} table={(audio.table or {}).get('kind')}:{(audio.table or {}).get('frames')} checked={audio.checked} bad={audio.bad_checksums} skipped={audio.skipped} last={audio.offsets[-1]}" if h else "none"
+                feature = f"mpeg{h.version}.{h.layer} {h.kbps}k {h.rate}Hz ch{h.channels} frames={audio.frames} us={us} table={(audio.table or {}).get('kind')}:{(audio.table or {}).get('frames')} checked={audio.checked} bad={audio.bad_checksums} skipped={audio.skipped} payload_ok={audio.payload_ok} last={audio.offsets[-1]}" if h else "none"
                 rows.append((doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature, us, audio.frames, seek))
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in FEATURES.split(", ")])
             yield out.assign(doc_id=out["doc_id"].astype("Int64"))
@@ -312,5 +316,5 @@ def describe_media(media: DataFrame, seek_every: int = 50) -> DataFrame:
 
 def media_round_trip(docs: DataFrame) -> DataFrame:
     """Stores the texts as a table with a media column, reads the stored bytes and
-    describes them."""
-    return describe_media(stored(store_media(docs), "media"))
+    describes them, with the offset of every frame."""
+    return describe_media(stored(store_media(docs), "media"), seek_every=1)

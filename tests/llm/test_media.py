@@ -90,3 +90,16 @@ def test_payload_that_spells_a_tag_is_kept(spark):
         assert (r.payload_bytes, r.payload_sha256) == (len(payload), hashlib.sha256(payload).hexdigest())
         assert r.frames == len(payload) // 192 and "bad=0 skipped=0" in r.feature
     assert len(got) == len(texts)
+
+
+def test_query_walks_checks_the_payload_and_has_every_offset(spark, monkeypatch):
+    payload = padded("abc" * 300)[1]
+    stream = bytearray(media.to_audio(payload))
+    monkeypatch.setattr(media, "_uniform", lambda b: pytest.fail("not the walk"))
+    assert media.from_audio(bytes(stream))[0].payload_ok is True
+    start = media.parse_tags(bytes(stream))[1]
+    stream[start + 240 + 100] ^= 1
+    audio, read = media.from_audio(bytes(stream))
+    assert audio.payload_ok is False and read != payload and audio.bad_checksums == 0
+    (row,) = media.media_round_trip(documents(spark, [(1, "word " * 4000)])).collect()
+    assert len(row.seek) == row.frames > 50 and set(b - a for a, b in zip(row.seek, row.seek[1:])) == {240} and "payload_ok=True" in row.feature
