@@ -138,13 +138,13 @@ def windows_of(items: list[tuple], width: int) -> Windows:
         hashes += [h[ends[k] : ends[k + 1]] for k in range(len(offsets) - 1)]
     words = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, U64)
     held: dict[bytes, set[int]] = {}
-    names = sorted({str(i) for i, _ in items})
+    names = sorted({str(i) for i, _ in items if i is not None})
     place = {x: k for k, x in enumerate(names)}
     for (item, _), h in zip(items, hashes):
         symbols = (np.searchsorted(words, h) + 1).astype(np.int64)
         size = min(width, len(symbols))
         for k in range(len(symbols) - size + 1 if size else 0):
-            held.setdefault(symbols[k : k + size].tobytes(), set()).add(place[str(item)])
+            held.setdefault(symbols[k : k + size].tobytes(), set()).update(() if item is None else (place[str(item)],))
     patterns = np.zeros((len(held), width), np.int32)
     lengths = np.zeros(len(held), np.int64)
     for k, w in enumerate(held):
@@ -242,19 +242,20 @@ def _mark(found, symbols, places, ends, rows, begin, spans, items) -> None:
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<first:int,end:int>>, items array<string>"
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, percent: int = 5, slice_chars: int = 1 << 22) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, percent: int = 5, slice_chars: int = 1 << 22, unnamed: bool = False) -> DataFrame:
     """One row for every row of ``docs`` (doc_id, text), against ``benchmark`` (item_id,
     text): doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans, items.
 
     spans are the merged removal spans, [first, end) in words of the text; items has the
     ids of the items with a window in the text, sorted as strings. A text is contaminated
     if its hit words are at least ``percent`` in a hundred of its words, and not none.
-    Null and empty texts have no words and no hits; null, empty and wordless items have
-    no windows; repeated items and rows count each once. The benchmark is taken in slices
+    Null and empty texts have no words and no hits; items with a null, empty or
+    wordless text have no windows; items with a null item_id are left out, or with
+    ``unnamed`` count in n_hit, spans and contaminated but not in items; repeated items and rows count each once. The benchmark is taken in slices
     of about ``slice_chars`` characters, so what a task holds of it is bounded.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    slices = _sliced(benchmark, width, slice_chars)
+    slices = _sliced(benchmark, width, slice_chars, unnamed)
     if len(slices) > 1:
         docs = stored(docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text"), "numbered")
     else:
@@ -268,10 +269,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, p
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 13, percent: int = 5, slice_chars: int = 1 << 22) -> DataFrame:
     """The rows of ``docs`` whose text is not contaminated, with all their columns whatever
-    their names: these travel in one column past the search. Ids play no part."""
+    their names: these travel in one column past the search. Ids play no part,
+    neither of texts nor of items."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     none, text = F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
-    slices = _sliced(benchmark, width, slice_chars)
+    slices = _sliced(benchmark, width, slice_chars, True)
     if len(slices) == 1:
         rows = docs.select(F.lit(0).cast("long").alias("uid"), none, text, row)
         return _hits(rows, slices).where(~_contaminated(percent)).select("row.*")
@@ -285,14 +287,16 @@ def _contaminated(percent: int):
     return (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))
 
 
-def _sliced(benchmark: DataFrame, width: int, slice_chars: int) -> list:
+def _sliced(benchmark: DataFrame, width: int, slice_chars: int, unnamed: bool) -> list:
     """Functions that give the windows of each slice, one slice at a time."""
-    items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id"), F.col("text").cast("string").alias("text"))
+    items = benchmark.where(F.col("text").isNotNull() & (F.lit(unnamed) | F.col("item_id").isNotNull())).select(F.col("item_id"), F.col("text").cast("string").alias("text"))
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = max(1, math.ceil(chars / slice_chars))
 
+    place = F.when(F.col("item_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("item_id"))
+
     def windows(k):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()  # at most about slice_chars
+        own = items.where(F.pmod(place, F.lit(n)) == k).collect()  # at most about slice_chars
         return windows_of([(r.item_id, r.text) for r in own], width)
 
     return [functools.partial(windows, k) for k in range(n)]

@@ -49,7 +49,7 @@ def op5_url_filters(spark, sf_dir):
 
 def op6_decontamination(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
-    return digest(find_contamination(docs, _table(spark, sf_dir, "benchmark", "item_id", "text")))
+    return digest(find_contamination(docs, _table(spark, sf_dir, "benchmark", "item_id", "text"), unnamed=True))
 
 
 def op7_token_counts(spark, sf_dir):

@@ -4,7 +4,8 @@ import re
 import numpy as np
 import pytest
 
-from seriesmill.llm.contamination import FMIndex, find_contamination, remove_spans, suffix_array
+from seriesmill.llm.contamination import FMIndex, drop_contaminated, find_contamination, remove_spans, suffix_array
+from seriesmill.llm.queries import QUERIES
 
 from .helpers import awkward, documents, prose
 
@@ -99,3 +100,14 @@ def test_suffixes_are_sorted():
     order = suffix_array(s)
     key = lambda k: [(-100 + j) if s[j] == 0 else int(s[j]) for j in range(k, len(s))]
     assert order.tolist() == sorted(range(len(s)), key=key)
+
+
+def test_items_without_an_id_count_as_hits(spark, tmp_path):
+    item, named = prose(52, 20, 60), prose(53, 20, 60)
+    documents(spark, [(1, " ".join(item)), (2, " ".join(named)), (3, "clean")]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, " ".join(item)), (5, " ".join(named))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in QUERIES["op6_decontamination"](spark, str(tmp_path)).collect()}
+    assert got == {1: (20, 0, True), 2: (20, 1, True), 3: (0, 0, False)}
+    docs, items = (spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("documents", "benchmark"))
+    for slice_chars in (1 << 22, 60):
+        assert [r.doc_id for r in drop_contaminated(docs, items, slice_chars=slice_chars).collect()] == [3]
