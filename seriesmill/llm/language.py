@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, held_out, mix, text_chunks
@@ -19,6 +19,8 @@ from .common import U64, held_out, mix, text_chunks
 SAMPLE_ROWS, LANDMARKS, PLACES, LONGEST = 4_000, 128, 1 << 14, 4
 #: Rows of a language at least, as far as it has them, however many languages there are.
 LEAST_ROWS = 4
+#: Hashes of texts by which the sample is cut.
+SPACE = 1 << 40
 _FACTORS = mix(np.arange(1, LONGEST + 1, dtype=U64)) | U64(1)
 
 
@@ -73,23 +75,25 @@ class LanguageModel:
 
 
 def fit_language(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, landmarks: int = LANDMARKS, ridge: float = 1e-2) -> LanguageModel | None:
-    """A model of about ``sample_rows`` rows of ``docs`` (doc_id, text, lang), shared
-    evenly by the languages and chosen by a hash of the text; rows that are held out or
-    lack a text or lang are left out. It knows every language of the other rows: with many,
-    rows grow to about ``LEAST_ROWS`` and landmarks to one a language. None if there are no
-    rows."""
-    place = F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 20))
-    rows = docs.where(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text", place.alias("place"))
-    counts = {r["lang"]: (r["n"], r["least"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("place").alias("least")).collect()}
+    """A model of distinct texts of ``docs`` (doc_id, text, lang): of each language the
+    ``sample_rows // languages`` (``LEAST_ROWS`` at least) whose hashes are least, all if it
+    has fewer, however often each is repeated. Rows that are held out or lack a text or
+    lang are left out. It knows every language of the other rows: with many, landmarks
+    grow to one a language. No more than that share of any language reaches the driver.
+    None if there are no rows."""
+    place = F.pmod(F.xxhash64("text", F.lit(3)), F.lit(SPACE)).alias("place")
+    rows = docs.where(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text", place)
+    counts = {r["lang"]: (r["texts"], r["least"]) for r in rows.groupBy("lang").agg(F.approx_count_distinct("place").alias("texts"), F.min("place").alias("least")).collect()}
     if not counts:
         return None
     names = sorted(counts)
     each = max(LEAST_ROWS, sample_rows // len(names))
-    shares = [(k, min(1 << 20, int((1 << 20) * each / counts[k][0]) + 1), counts[k][1]) for k in names]
-    shared = rows.join(F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, share long, least long")), "lang")
-    # a language of which the share would take no row gives one text
-    lone = shared.where("least >= share and place = least").groupBy("lang").agg(F.min("text").alias("text"))
-    sample = shared.where("place < share").select("lang", "text").union(lone).orderBy("lang", F.xxhash64("text", F.lit(4)), "text")
+    # a cut that lets some four times as many pass as are wanted, and always the least
+    shares = [(k, max(min(SPACE, 4 * each * SPACE // max(counts[k][0], 1)), counts[k][1] + 1)) for k in names]
+    near = rows.join(F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, share long")), "lang").where("place < share")
+    texts = near.groupBy("lang", "place").agg(F.min("text").alias("text"))
+    ranked = texts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place")))
+    sample = ranked.where(F.col("rank") <= each).select("lang", "text", "place").orderBy("lang", "place").select("lang", "text")
 
     def features(batches):
         for batch in batches:

@@ -132,6 +132,25 @@ def test_every_one_of_many_languages_is_learned(spark):
     assert np.isfinite(language.fit_language(copies, sample_rows=8).weights).all()
 
 
+def test_a_text_repeated_without_end_is_one_of_the_sample(spark):
+    texts = spark.range(40_000).selectExpr("id doc_id", "'one text of this language' text", "'aa' lang")
+    alone = language.fit_language(texts)
+    assert alone.names == ["aa"] and alone.landmarks.shape[0] == 1
+    other = spark.createDataFrame([(50_000, "autre chose encore", "bb"), (50_001, "autre chose encore", "bb")], "doc_id long, text string, lang string")
+    model = language.fit_language(texts.union(other))
+    assert model.names == ["aa", "bb"] and model.landmarks.shape[0] == 2
+    got = language.predict_language(other.limit(1).union(texts.limit(1)), model).collect()
+    assert [r.lang_pred for r in got] == ["bb", "aa"]
+
+
+def test_the_language_sample_has_a_hard_bound(spark):
+    rows = [(k, f"words {'abcdefghij'[k % 10] * (k % 37 + 1)} number {chr(97 + k % 26)}{k}", "aa" if k % 5 else "bb") for k in range(6000)]
+    model = language.fit_language(documents(spark, rows), sample_rows=200, landmarks=1000)
+    assert model.landmarks.shape[0] == 200  # every row of the sample is a landmark: 100 a language
+    again = language.fit_language(documents(spark, rows[::-1]).repartition(5), sample_rows=200, landmarks=1000)
+    assert np.array_equal(model.weights, again.weights)
+
+
 def test_presence_is_of_whole_texts_and_ignores_case():
     one = "ÀBC xyz".encode()
     two = "àbc XYZ, and".encode()
