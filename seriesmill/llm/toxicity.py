@@ -216,19 +216,28 @@ class BoostedTrees:
         return score
 
 
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of the non-decreasing step function nearest to y (pool adjacent violators)."""
+def isotonic(x: np.ndarray, y: np.ndarray) -> list[tuple[float, float, float]]:
+    """The non-decreasing step function nearest to y (pool adjacent violators), as blocks
+    of equal value in order: value, number of rows and mean x of each."""
     order = np.argsort(x, kind="stable")
     at, first = np.unique(x[order], return_index=True)
     weight = np.diff(np.append(first, len(x))).astype(float)
     value = np.add.reduceat(y[order].astype(float), first) / weight
-    blocks: list[list[float]] = []
-    for k in range(len(at)):
-        blocks.append([value[k], weight[k], 1])
-        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
-            v, w, c = blocks.pop()
-            blocks[-1] = [(blocks[-1][0] * blocks[-1][1] + v * w) / (blocks[-1][1] + w), blocks[-1][1] + w, blocks[-1][2] + c]
-    return at, np.repeat([b[0] for b in blocks], [int(b[2]) for b in blocks])
+    blocks: list[tuple[float, float, float]] = []
+    for v, w, m in zip(value.tolist(), weight.tolist(), at.tolist()):
+        while blocks and blocks[-1][0] >= v:
+            v0, w0, m0 = blocks.pop()
+            v, m, w = (v0 * w0 + v * w) / (w0 + w), (m0 * w0 + m * w) / (w0 + w), w0 + w
+        blocks.append((v, w, m))
+    return blocks
+
+
+def calibration(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Knots of the centred isotonic regression: the isotonic value of each block stands at
+    the block's mean, and between two blocks the calibration is a straight line, so that it
+    rises strictly there."""
+    blocks = isotonic(x, y)
+    return np.array([m for _, _, m in blocks]), np.array([v for v, _, _ in blocks])
 
 
 class ToxicityModel:
@@ -238,10 +247,7 @@ class ToxicityModel:
     def scores(self, features: np.ndarray) -> np.ndarray:
         if self.trees is None:
             return np.full(len(features), float(self.values[0]))
-        raw = self.trees.raw(features)
-        # between the knots along a line, and a little of the trees' own order
-        own = 1 / (1 + np.exp(-raw))
-        return np.clip(0.98 * np.interp(raw, self.knots, self.values) + 0.02 * own, 0.0, 1.0)
+        return np.clip(np.interp(self.trees.raw(features), self.knots, self.values), 0.0, 1.0)
 
 
 def _count_tokens(batches):
@@ -303,25 +309,29 @@ def _constant(rate: float) -> ToxicityModel:
 def fit_toxicity(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """A model of ``labelled`` (doc_id, text, toxic): toxic 0 or 1, other rows ignored.
 
-    Of all rows, about ``sample_rows`` chosen by a hash of the id are learned from, in
+    Of all rows, about ``sample_rows`` chosen by a hash of id and text are learned from, in
     four folds: the features of a fold come from the lexicon of the other three, and the
-    calibration from trees that did not see the fold. Texts that share their rarest long
-    word are of one fold and count once in the lexicon, so a much copied text lends it
-    little and proves nothing about itself. A lexicon has at most ``LEXICON_SIZE`` tokens,
-    those of most toxic texts. Without rows of both kinds, the score is the
-    share of toxic rows (0 without any).
+    calibration from trees that did not see the fold. Texts whose long words have the same
+    least hash (copies, near copies, and some others) are of one fold, and of them one a
+    label, that with the least hash, counts in the lexicon: a much copied text lends it
+    little and proves nothing about itself. Repeated rows (id, text and label equal) are
+    learned from once. A lexicon has at most ``LEXICON_SIZE`` tokens, those of most toxic
+    texts. Without rows of both kinds, the score is the share of toxic rows (0 without
+    any). The order of rows makes no difference.
     """
     labelled = labelled.where("toxic in (0, 1)")
     n = labelled.count()
     if n == 0:
         return _constant(0.0)
-    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1 << 20))
+    place = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(11)), F.lit(1 << 20))
     long_words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) >= 9)
     key = F.coalesce(F.array_min(F.transform(long_words, lambda w: F.xxhash64(w))), F.xxhash64("text"))
     sample = labelled.where(place < min(1 << 20, max(1, int((1 << 20) * sample_rows / n)))).select("text", F.col("toxic").cast("int").alias("toxic"), key.alias("key"), "doc_id")
+    sample = sample.dropDuplicates(["doc_id", "text", "toxic"])
     sample = stored(sample.withColumn("fold", F.pmod("key", F.lit(FOLDS)).cast("int")), "toxic-sample")
 
-    words = stored(sample.dropDuplicates(["key", "toxic"]).select("text", "fold", "toxic"), "toxic-words")
+    first = F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text")
+    words = stored(sample.groupBy("key", "toxic").agg(first, F.min("fold").alias("fold")).select("text", "fold", "toxic"), "toxic-words")
     held = {(r.fold, r.toxic): r["count"] for r in words.groupBy("fold", "toxic").count().collect()}
     bad, good = (np.array([held.get((k, kind), 0) for k in range(FOLDS)]) for kind in (1, 0))
     if not bad.sum() or not good.sum():
@@ -342,7 +352,7 @@ def fit_toxicity(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Toxicit
             raw[own] = BoostedTrees().fit(x[seen], y[seen]).raw(x[own])
     trees = BoostedTrees().fit(x, y)
     known = ~np.isnan(raw)
-    knots, values = isotonic(raw[known], y[known]) if len(set(y[known])) == 2 else isotonic(trees.raw(x), y)
+    knots, values = calibration(raw[known], y[known]) if len(set(y[known])) == 2 else calibration(trees.raw(x), y)
     return ToxicityModel(_lexicon(counts, bad, good, range(FOLDS)), trees, knots, values)
 
 

@@ -1,3 +1,8 @@
+import math
+import random
+import zlib
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -68,9 +73,70 @@ def test_features_count_what_they_name():
     assert x["mixed_words"] == pytest.approx(2 / 8) and x["stretched"] == pytest.approx(1 / 8)
 
 
+def nearest_rising(x, y):
+    """The isotonic value at each place: the greatest of the least means around it."""
+    at = sorted(set(x.tolist()))
+    groups = [y[x == v].tolist() for v in at]
+
+    def mean(a, b):
+        held = [v for g in groups[a : b + 1] for v in g]
+        return sum(held) / len(held)
+
+    return at, [max(min(mean(a, b) for b in range(k, len(at))) for a in range(k + 1)) for k in range(len(at))]
+
+
 def test_isotonic_is_the_nearest_rising_function():
-    knots, values = toxicity.isotonic(np.array([1.0, 2, 3, 4, 4]), np.array([0, 1, 0, 1, 1]))
-    assert knots.tolist() == [1, 2, 3, 4] and values.tolist() == [0, 0.5, 0.5, 1]
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 7, 40):
+        x, y = rng.integers(0, 12, n).astype(float), rng.integers(0, 2, n).astype(float)
+        at, want = nearest_rising(x, y)
+        got, k = [], 0
+        for value, weight, centre in toxicity.isotonic(x, y):
+            rows = 0
+            own = []
+            while rows < weight:
+                rows += (x == at[k]).sum()
+                own += [at[k]] * int((x == at[k]).sum())
+                got.append(value)
+                k += 1
+            assert centre == pytest.approx(np.mean(own))
+        assert got == pytest.approx(want)
+    knots, values = toxicity.calibration(np.array([1.0, 2, 3, 4, 4]), np.array([0, 1, 0, 1, 1]))
+    assert knots.tolist() == [1, 2.5, 4] and values.tolist() == [0, 0.5, 1]
+
+
+def test_the_lexicon_is_what_plain_counting_gives(spark):
+    alone = [f"{''.join(random.Random(k).choices('aeiourstl', k=11))}" for k in range(160)]  # a long word of its own a text
+    rows = [(k, " ".join([alone[k], *prose(k, 12), *(["grunt", "snarky", f"scoff{'abc'[k % 9 // 3]}"] if k % 3 == 0 else ["kindly"])])) for k in range(160)]
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(160)], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(toxicity.labelled_rows(documents(spark, rows), labels))
+    held = {0: Counter(), 1: Counter()}
+    n = Counter()
+    for k, text in rows:
+        if zlib.crc32(str(k).encode()) % 4 != 2:
+            n[k % 3 == 0] += 1
+            held[k % 3 == 0].update({w for w in text.split()} | {(w[:m], m) for w in text.split() for m in toxicity.PREFIXES if len(w) > m})
+    want = []
+    for token, b in held[1].items():
+        weight = math.log((b + 0.1) / (n[1] + 1)) - math.log((held[0][token] + 0.5) / (n[0] + 1))
+        if b >= max(2, round(n[1] / 200)) and weight > 2.5:
+            want.append(weight * math.log2(1 + b) / math.log2(1 + n[1]))
+    assert len(want) >= 6 and sorted(model.scorer.weights.tolist()) == pytest.approx(sorted(want))
+    assert set(toxicity.hashes_of(["grunt", "snarky", "scoffa", "scoffb", "scoffc"]) ^ toxicity._KIND[0]) <= set(model.scorer.lexicon)
+
+
+def test_row_order_makes_no_difference_to_toxicity(spark):
+    rows, labels = labelled(spark)
+    shared = [(1000 + k, f"incomprehensible {' '.join(prose(k, 30))}") for k in range(40)]
+    marks = spark.createDataFrame([(1000 + k, 0, k % 2) for k in range(40)], "doc_id long, quality int, toxic int")
+    rows = rows + shared + rows[:30]
+    seen = []
+    for order, parts in ((rows, 1), (rows[::-1], 3), (rows[100:] + rows[:100], 7)):
+        docs = documents(spark, order).repartition(parts)
+        model = toxicity.fit_toxicity(toxicity.labelled_rows(docs, labels.union(marks).repartition(parts)))
+        got = toxicity.score_toxicity(docs, model).collect()
+        seen.append((model.scorer.lexicon.tolist(), model.scorer.weights.tolist(), sorted((r.doc_id, r.score) for r in got)))
+    assert seen[0] == seen[1] == seen[2]
 
 
 def test_trees_learn_an_interaction():
