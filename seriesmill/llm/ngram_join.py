@@ -10,15 +10,20 @@ is verified on the exact sets.
 Routing: 72 keys a text, each of 6 minimum hashes. A pair of Jaccard similarity 0.8
 shares none of its keys with a probability below 3e-10 (2e-13 at 0.85).
 
-Memory: a family of candidates above ``chunk_docs`` texts is dealt into chunks. Links
-inside a chunk come first. Then a few leaders of each class meet, chunk by chunk again,
-and again, until they fit one chunk, which joins the classes of a huge group of near
-copies in time proportional to its size. What is still apart from its family's largest
-class meets every chunk of the family, so that no link is lost.
+Memory: a family of candidates above ``chunk_docs`` texts is routed once more, by
+prefixes: two linked texts share one of the rarest fifth of their shingles (rare within
+the family), so texts that share a template alone, or candidates of candidates, part
+before their texts travel. What is still large is dealt into chunks by size and hash.
+Links inside a chunk come first. Then a few leaders of each class meet, chunk by chunk
+again, which joins the classes of a huge group of near copies in time proportional to
+its size. A text still apart from its family's largest class then meets every chunk
+whose sizes and shared shingles allow a link, so that none is lost.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +32,8 @@ from pyspark.sql import functions as F
 from .common import NOT_BLANK, U64, WordScanner, mix, stored, text_chunks, tidy
 
 BANDS, ROWS = 72, 6
-ROUTE_BITS, EXACT_BITS = 1024, 4096
+#: Bits of a bitmap for routing, and at least and at most for verification.
+ROUTE_BITS, EXACT_BITS, MOST_BITS = 1024, 4096, 1 << 16
 
 
 # --- sets --------------------------------------------------------------------------
@@ -341,7 +347,8 @@ def _verify(width: int, percent: int):
                 both = _shared(sets[i], sets[j])
                 return 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both)
 
-            tree = SignatureTree(np.stack([bitmap(s, EXACT_BITS) for s in sets]), sizes, percent)
+            bits = min(MOST_BITS, max(EXACT_BITS, 2 << int(sizes.max()).bit_length()))
+            tree = SignatureTree(np.stack([bitmap(s, bits) for s in sets]), sizes, percent)
             tree.link(classes, verify, side == 1 if side.any() else None)
             done.append(_edges(ids, classes))
             if len(done) >= 1000:
@@ -352,40 +359,15 @@ def _verify(width: int, percent: int):
     return run
 
 
-#: Edges that one task may join by union-find; more go through rounds of joins.
-ONE_TASK_EDGES = 200_000
-
-
-def _union_find(batches):
-    up: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while up.setdefault(x, x) != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            a, b = find(a), find(b)
-            if a != b:
-                up[max(a, b)] = min(a, b)
-    ids = list(up)
-    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([find(x) for x in ids], pa.int64())], ["id", "label"])
-
-
-def connected(edges: DataFrame, name: str = "labels", one_task: int = ONE_TASK_EDGES) -> DataFrame:
+def connected(edges: DataFrame, name: str = "labels") -> DataFrame:
     """(id, label): the least id reachable from each id that has an edge (a, b).
 
     Hooking to the least neighbour label and pointer jumping, one stored table a
-    round; the number of rounds grows with the logarithm of the longest path. The same
-    labels come from one task where the edges are counted to be at most ``one_task``.
+    round; the number of rounds grows with the logarithm of the longest path.
     """
-    edges = stored(edges.where("a <> b"), f"{name}-given")
-    if edges.count() <= one_task:
-        return stored(edges.select("a", "b").coalesce(1).mapInArrow(_union_find, "id long, label long"), name)
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).where("u <> v").distinct()
-    both = stored(both, f"{name}-edges")
+    edges = edges.where("a <> b")
+    both = edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.u", "e.v")
+    both = stored(both.distinct(), f"{name}-edges")
     labels = stored(both.groupBy(F.col("u").alias("id")).agg(F.least(F.col("u"), F.min("v")).alias("label")), name)
     while True:
         heard = both.join(labels.select(F.col("id").alias("v"), "label"), "v").groupBy(F.col("u").alias("id")).agg(F.min("label").alias("heard"))
@@ -425,19 +407,32 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     small = blocks.join(large, "block", "left_anti").join(reps.select("doc_id", "n", "bits"), "doc_id")
     routed = small.select("block", F.lit(0).cast("long").alias("part"), "doc_id", "n", "bits").repartition("block").sortWithinPartitions("block").mapInArrow(tidy(_route(percent)), "a long, b long")
     family = connected(routed.union(stars), "family")
-
-    # verification: whole families of texts, dealt into chunks of bounded size
-    family = family.join(reps.groupBy(F.col("doc_id").alias("id")).agg(F.max("n").alias("n")), "id")
-    sizes = family.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / chunk_docs), F.ceil(F.sum("n") / chunk_tokens)).alias("chunks"))
-    family = stored(family.join(sizes, "label").select("id", "label", "chunks", F.pmod(F.xxhash64("id"), "chunks").alias("chunk")), "chunks")
+    # sizes by strata that a link can't reach past the next of; an id with several texts is in the stratum of each
+    stratum = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) + 0.001)).alias("stratum")
+    sized = reps.groupBy(F.col("doc_id").alias("id"), stratum).agg(F.max("n").alias("n"), F.min("n").alias("least"))
+    family = stored(family.join(sized, "id").select("id", "label", "stratum", "n", "least", F.col("n").alias("shared")), "families")
     worded = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))  # an id may have wordless texts too
-    texts = worded.join(family.withColumnRenamed("id", "doc_id"), "doc_id").dropDuplicates(["doc_id", "text"])
-    texts = stored(texts.select("label", "chunk", "chunks", "doc_id", "text"), "family-texts")
+
+    # large families once more, by what their texts share
+    large = stored(family.join(_chunks(family, ["label"], chunk_docs, chunk_tokens).where("chunks > 1").select("label"), "label"), "large")
+    if not large.isEmpty():
+        members = large.select(F.col("id").alias("doc_id"), "label").distinct()
+        smaller = _rerouted(worded.join(members, "doc_id").select("label", "doc_id", "text"), width, percent)
+        rerouted = smaller.join(large.drop("label", "shared"), "id").select("id", "label", "stratum", "n", "least", "shared")
+        family = stored(family.join(members, family["id"] == members["doc_id"], "left_anti").union(rerouted), "rerouted")
+
+    # verification: whole families of texts; large ones dealt into chunks by size and hash
+    family = family.join(_chunks(family, ["label"], chunk_docs, chunk_tokens), "label").withColumn("stratum", F.when(F.col("chunks") > 1, F.col("stratum")).otherwise(0))
+    parts = _chunks(family, ["label", "stratum"], chunk_docs, chunk_tokens).withColumnRenamed("chunks", "parts")
+    chunk = F.col("stratum") * (1 << 40) + F.pmod(F.xxhash64("id"), "parts")
+    family = stored(family.join(parts, ["label", "stratum"]).select("label", F.col("id").alias("doc_id"), "n", "least", "shared", "chunks", "stratum", chunk.alias("chunk")), "chunks")
+    texts = worded.join(family, "doc_id").select("label", "chunk", "chunks", "doc_id", "text").dropDuplicates(["doc_id", "chunk", "text"])
+    texts = stored(texts, "family-texts")
     dealt = texts.select("label", "chunk", "doc_id", F.lit(0).alias("side"), "text").repartition("label", "chunk").sortWithinPartitions("label", "chunk")
     edges = stored(dealt.mapInArrow(tidy(_verify(width, percent)), "a long, b long"), "links")
     labels = connected(edges, "component")
     if not family.where("chunks > 1").isEmpty():
-        labels = _joined_chunks(texts.where("chunks > 1"), edges, labels, width, percent, chunk_docs)
+        labels = _joined_chunks(texts.where("chunks > 1"), family.where("chunks > 1"), edges, labels, width, percent, chunk_docs)
 
     classed = copies.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("n", "d1", "d2", "n_class", F.coalesce("label", "rep").alias("class"))
     out = sketch.select("doc_id", "n", "d1", "d2").join(classed, ["n", "d1", "d2"], "left")
@@ -454,6 +449,69 @@ def _exploded(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids)], ["key", "doc_id"])
 
 
+def _chunks(family: DataFrame, by: list[str], chunk_docs: int, chunk_tokens: int) -> DataFrame:
+    """Into how many chunks each group of texts of ``n`` shingles has to be dealt."""
+    return family.groupBy(*by).agg(F.greatest(F.ceil(F.count("*") / chunk_docs), F.ceil(F.sum("n") / chunk_tokens)).alias("chunks"))
+
+
+# --- large families ----------------------------------------------------------------------
+
+
+def _shingles(width: int, percent: int):
+    """Texts -> their shingles, with how many of them a prefix has."""
+
+    def run(batches):
+        for batch in batches:
+            label, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            rows, sets, held = [], [], 0
+            for r, tokens in shingle_sets(batch.column(2), width):
+                if len(tokens):
+                    rows.append(r)
+                    sets.append(tokens)
+                    held += len(tokens)
+                if held >= 100_000:
+                    yield _listed(label, ids, rows, sets, percent)
+                    rows, sets, held = [], [], 0
+            if sets:
+                yield _listed(label, ids, rows, sets, percent)
+
+    return run
+
+
+SHINGLES = "label long, doc_id long, d1 long, n int, token long"
+
+
+def _listed(label, ids, rows, sets, percent):
+    size = np.array([len(s) for s in sets])
+    at = np.repeat(np.array(rows), size)
+    d1 = np.array([mix(s).sum(dtype=U64) for s in sets], U64).view(np.int64)
+    columns = [label[at], ids[at], np.repeat(d1, size), np.repeat(size, size).astype(np.int32), np.concatenate(sets).view(np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["label", "doc_id", "d1", "n", "token"])
+
+
+def _rerouted(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(id, label, shared) of the texts of families (label, doc_id, text) that have a
+    candidate left, under the labels of smaller families; ``shared`` is the largest number
+    of a text's shingles that any other text of its old family has.
+
+    In one order of all shingles (rarer ones within the family first), two linked texts
+    share a shingle among the first n - ceil(n * percent / 100) + 1 of each. Shingles of
+    one text alone come first and can meet nobody; texts that share one of the others in
+    these prefixes make a family.
+    """
+    tokens = stored(texts.mapInArrow(tidy(_shingles(width, percent)), SHINGLES), "shingles")
+    common = tokens.groupBy("label", "token").agg(F.count("*").alias("df")).where("df > 1")
+    held = tokens.join(common, ["label", "token"]).groupBy("label", "doc_id", "d1", "n").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("held"))
+    # of the prefix, the shingles of this text alone have the first places
+    reach = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("held"))
+    held = stored(held.select("label", "doc_id", F.size("held").cast("long").alias("shared"), F.slice("held.token", 1, F.greatest(reach, F.lit(0)).cast("int")).alias("prefix")), "prefixes")
+    keys = held.select("label", "doc_id", F.explode("prefix").alias("token"))
+    hubs = keys.groupBy("label", "token").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last")).where("a <> last").select("label", "token", "a")
+    stars = keys.join(hubs, ["label", "token"]).select("a", F.col("doc_id").alias("b")).where("a <> b")
+    shared = held.groupBy(F.col("doc_id").alias("id")).agg(F.max("shared").alias("shared"))
+    return connected(stars, "smaller").join(shared, "id")
+
+
 LEADERS = 4
 
 
@@ -462,43 +520,61 @@ def _classes(texts: DataFrame, labels: DataFrame) -> DataFrame:
     return texts.join(labels, "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id"))
 
 
-def _joined_chunks(texts: DataFrame, edges: DataFrame, labels: DataFrame, width: int, percent: int, chunk_docs: int) -> DataFrame:
+def _joined_chunks(texts: DataFrame, family: DataFrame, edges: DataFrame, labels: DataFrame, width: int, percent: int, chunk_docs: int) -> DataFrame:
     """Labels with the links across chunks. Leaders of classes meet in rounds: each deals
-    a family's leaders into chunks, until they are one chunk; ``_across`` does the rest."""
-    for k in range(12):
+    a family's leaders into chunks, until they are one chunk or a round joins less than a
+    tenth of the classes that are left; ``_across`` does the rest."""
+    k, before = 0, None
+    while True:
         classed = _classes(texts.select("label", "doc_id"), labels)
         picks = [F.min_by("doc_id", F.xxhash64("doc_id", F.lit(salt))) for salt in range(LEADERS)]
         led = classed.groupBy("label", "class").agg(F.array_distinct(F.array(*picks)).alias("ids"))
         sizes = led.groupBy("label").agg(F.count("*").alias("classes"), F.ceil(F.sum(F.size("ids")) / chunk_docs).alias("parts")).where("classes > 1")
-        led = stored(led.join(sizes, "label").select("label", "parts", F.explode("ids").alias("doc_id")), "leaders")
-        if led.isEmpty():
+        led = stored(led.join(sizes, "label").select("label", "class", "parts", F.explode("ids").alias("doc_id")), "leaders")
+        left, most = led.agg(F.count_distinct("class"), F.max("parts")).first()
+        if left == 0 or (before is not None and left > 0.9 * before):
             break
         part = F.pmod(F.xxhash64("doc_id", F.lit(100 + k)), F.col("parts"))
         dealt = texts.select("label", "doc_id", "text").join(led, ["label", "doc_id"]).select("label", part.alias("part"), "doc_id", F.lit(0).alias("side"), "text")
         met = dealt.repartition("label", "part").sortWithinPartitions("label", "part").mapInArrow(tidy(_verify(width, percent)), "a long, b long")
         edges = stored(edges.union(met), "led-links")
         labels = connected(edges, "leading")
-        if led.where("parts > 1").isEmpty():
+        if most == 1:
             break
-    more = _across(texts, labels, width, percent)
-    return labels if more is None else connected(edges.union(more), "joined")
+        k, before = k + 1, left
+    meetings = _meetings(texts, family, labels, percent, chunk_docs)
+    return labels if meetings is None else connected(edges.union(_across(texts, *meetings, width, percent)), "joined")
 
 
-def _across(texts: DataFrame, labels: DataFrame, width: int, percent: int) -> DataFrame | None:
-    """Links between chunks of one family. All pairs inside a chunk are known; a text
-    outside the family's largest class so far meets every other chunk. None: there is no
-    such text."""
-    ids = stored(_classes(texts.select("label", "chunk", "chunks", "doc_id"), labels), "classed")
+def _meetings(texts: DataFrame, family: DataFrame, labels: DataFrame, percent: int, chunk_docs: int) -> tuple[DataFrame, DataFrame] | None:
+    """Which texts travel to which meetings, (label, part, doc_id) of texts outside their
+    family's largest class and (label, part, chunk) of the chunks that these may have links
+    with; None if there is no such text.
+
+    Such texts are dealt into groups of one stratum of sizes. A group meets a chunk of its
+    or a neighbouring stratum (others are too large or too small) if the shingles that
+    either side shares with anyone suffice for a link.
+    """
+    ids = _classes(family, labels)
     counts = ids.groupBy("label", "class").agg(F.count("*").alias("held"))
     core = counts.groupBy("label").agg(F.max_by("class", F.struct("held", F.col("class"))).alias("core"))
-    outer = stored(ids.join(core, "label").where(F.col("class") != F.col("core")).select("label", "chunk", "chunks", "doc_id"), "outer")
+    outer = stored(ids.join(core, "label").where(F.col("class") != F.col("core")).select("label", "stratum", "least", "shared", "doc_id"), "outer")
     if outer.isEmpty():
         return None
-    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
-    part = (F.col("own") * 1_000_003 + F.col("met")).alias("part")
-    moved = outer.select("label", "doc_id", F.col("chunk").alias("own"), others.alias("met")).where("own <> met")
-    met = texts.select("label", "doc_id", "text").join(moved, ["label", "doc_id"]).select("label", part, "doc_id", F.lit(1).alias("side"), "text")
-    asked = outer.select("label", F.col("chunk").alias("own"), "chunks").distinct().select("label", "own", others.alias("met")).where("own <> met")
-    there = texts.select("label", F.col("chunk").alias("met"), "doc_id", "text").join(asked, ["label", "met"]).select("label", part, "doc_id", F.lit(0).alias("side"), "text")
+    groups = outer.groupBy("label", "stratum").agg(F.ceil(F.count("*") / chunk_docs).alias("groups"))
+    outer = outer.join(groups, ["label", "stratum"]).withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(7)), "groups"))
+    chunks = family.groupBy("label", "stratum", "chunk").agg(F.min("least").alias("there"), F.max("shared").alias("most"))
+    near = F.explode(F.array(F.col("stratum") - 1, F.col("stratum"), F.col("stratum") + 1))
+    met = outer.select("label", F.col("stratum").alias("from"), "own", "doc_id", "least", "shared", near.alias("stratum")).join(chunks, ["label", "stratum"])
+    met = met.where((100 + percent) * F.least("shared", "most") >= percent * (F.col("least") + F.col("there")))
+    part = F.xxhash64("from", "own", "chunk").alias("part")
+    moved = stored(met.select("label", part, "chunk", "doc_id"), "meetings")
+    return moved.select("label", "part", "doc_id"), moved.select("label", "part", "chunk").distinct()
+
+
+def _across(texts: DataFrame, moved: DataFrame, asked: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links of the texts that travel with the chunks that they meet."""
+    met = texts.select("label", "doc_id", "text").join(moved, ["label", "doc_id"]).select("label", "part", "doc_id", F.lit(1).alias("side"), "text")
+    there = texts.select("label", "chunk", "doc_id", "text").join(asked, ["label", "chunk"]).select("label", "part", "doc_id", F.lit(0).alias("side"), "text")
     both = met.union(there).repartition("label", "part").sortWithinPartitions("label", "part")
     return stored(both.mapInArrow(tidy(_verify(width, percent)), "a long, b long"), "across")

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from seriesmill.llm import ngram_join
+from seriesmill.llm import common, ngram_join
 from seriesmill.llm.ngram_join import Classes, SignatureTree, bitmap, connected, jaccard_components
 
 from .helpers import awkward, components, documents, prose
@@ -21,18 +21,12 @@ def family(seed, size, edits, words=90):
     return out
 
 
-@pytest.fixture(params=["rounds", "one task"])
-def way(request, monkeypatch):
-    """Both ways to components."""
-    monkeypatch.setattr(ngram_join.connected, "__defaults__", ("labels", 0 if request.param == "rounds" else 200_000))
-
-
 def check(spark, rows, **options):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(documents(spark, rows), **options).collect()}
     assert got == components(rows)
 
 
-def test_matches_brute_force(spark, way):
+def test_matches_brute_force(spark):
     texts = [t for s in range(6) for t in family(s, 8, 6)] + [" ".join(prose(100 + k, 50)) for k in range(20)]
     check(spark, list(enumerate(texts)))
 
@@ -64,11 +58,10 @@ def test_only_texts_without_words(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(1, 0, 1), (2, 0, 2)]
 
 
-@pytest.mark.parametrize("one_task", [0, 1000])
-def test_components_of_a_long_path_and_a_star(spark, one_task):
+def test_components_of_a_long_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(100, 140)] + [(1, k) for k in range(2, 60)]
-    got = {r.id: r.label for r in connected(spark.createDataFrame(edges, "a long, b long"), one_task=one_task).collect()}
-    assert connected(spark.createDataFrame([(1, 1)], "a long, b long"), one_task=one_task).count() == 0
+    got = {r.id: r.label for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert connected(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
     assert set(got.values()) == {1, 100} and got[140] == 100 and got[59] == 1
 
 
@@ -97,3 +90,51 @@ def test_an_id_with_a_linked_and_a_wordless_text(spark):
     rows = [(1, text), (1, ""), (1, None), (1, " \t"), (2, text + " more"), (3, None)]
     got = sorted((r.doc_id, r.n_shingles > 0, r.component_id) for r in jaccard_components(documents(spark, rows)).collect())
     assert got == [(1, False, 1)] * 3 + [(1, True, 1), (2, True, 1), (3, False, 3)]
+
+
+def template(k, shared=90, own=30):
+    """A page of a site: three quarters are the site's words."""
+    return " ".join(prose(500, shared) + prose(1000 + k, own, 3000))
+
+
+def counted(spark, monkeypatch, rows, **options):
+    """Components of rows, and how many rows each scratch table had."""
+    held = {}
+
+    def stored(df, name, **more):
+        out = common.stored(df, name, **more)
+        held[name] = held.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", stored)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(documents(spark, rows), **options).collect()}
+    return got, held
+
+
+@pytest.mark.parametrize("paired", [False, True])
+def test_an_unlinked_template_family_ships_few_texts(spark, monkeypatch, paired):
+    shipped = []
+    for n in (48, 96):
+        rows = [(k, template(k // 2 if paired else k) + (f" end{k}" if paired else "")) for k in range(n)]
+        got, held = counted(spark, monkeypatch, rows, chunk_docs=8, block_docs=2)
+        assert got == components(rows)
+        assert held["large"] == n  # the candidates were one family
+        shipped.append(held["family-texts"] + held.get("leaders", 0) + held.get("meetings", 0))
+    assert shipped == ([48, 96] if paired else [0, 0])
+
+
+def test_a_chain_of_links_through_chunks_and_strata(spark, monkeypatch):
+    words = prose(77, 900, 5000)
+    rows = [(500 - k, " ".join(words[4 * k : 4 * k + 60 + k // 3])) for k in range(60)]  # each linked with its neighbours alone
+    rows += [(900 + k, " ".join(words[:60] + prose(2000 + k, 9 + k, 3000))) for k in range(12)]
+    got, held = counted(spark, monkeypatch, rows, chunk_docs=6)
+    assert got == components(rows) and held["leaders"] > 0
+    got, held = counted(spark, monkeypatch, [(i, t) for i, t in rows if i < 900 and i % 2], chunk_docs=4)
+    assert got == components([(i, t) for i, t in rows if i < 900 and i % 2])
+
+
+def test_texts_of_one_id_of_different_sizes(spark):
+    a, b = prose(21, 60, 3000), prose(22, 200, 3000)
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(a[:58])), (3, " ".join(b[4:])), *[(10 + k, " ".join(a[: 45 - k] + prose(90 + k, 15, 3000))) for k in range(12)]]
+    got = jaccard_components(documents(spark, rows), chunk_docs=2).collect()
+    assert {r.doc_id: r.component_id for r in got if r.doc_id < 4} == {1: 1, 2: 1, 3: 1}
