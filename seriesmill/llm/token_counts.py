@@ -1,7 +1,8 @@
 """Edit-aware token counts.
 
 A document is cut into segments at places that no word of the tokenizer spans: before a
-single space between two ASCII letters. A segment tree holds the characters and tokens
+single space between two letters or digits of any script, and behind a full-width mark
+that a letter or digit follows, where scripts do without spaces. A segment tree holds the characters and tokens
 below each node. An edit finds its segments by going down the tree, re-encodes them with
 as many neighbours as the cuts need to stay such places, and updates the sums above.
 """
@@ -11,6 +12,7 @@ from __future__ import annotations
 import base64
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +20,10 @@ from pyspark.sql import functions as F
 from .tokenizing import vocabulary_path
 
 VOCABULARY, SEGMENT = "byte_bpe_50k.tiktoken", 512
-_CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
-_OPENS = re.compile(r" [A-Za-z]")
+# Marks of scripts without spaces.
+MARKS = "、。，．・：；？！…（）「」『』《》【】"
+_CUT = re.compile(rf"(?<=[^\W_]) (?=[^\W_])|(?<=[{MARKS}])(?=[^\W_])")
+_JOINT = re.compile(rf"[^\W_] [^\W_]|[{MARKS}][^\W_]")
 _encodings: dict = {}
 
 
@@ -47,6 +51,11 @@ def segments(text: str, size: int = SEGMENT) -> list[str]:
         at = cut.start()
 
 
+def parted(left: str, right: str) -> bool:
+    """Whether a cut is allowed between two texts that aren't empty."""
+    return _JOINT.match(left[-1] + right[:2]) is not None
+
+
 class TokenTree:
     """Token counts of one text under edits. ``count(texts)`` gives a list of counts."""
 
@@ -133,9 +142,9 @@ class TokenTree:
         last, last_at = self._find(max(end - 1, start)) if end > start else (first, at)
         local = "".join(self.pieces[first : last + 1])
         local = local[: start - at] + new + local[end - at :]
-        while (left := self._beside(first, -1)) is not None and not _OPENS.match(local):
+        while (left := self._beside(first, -1)) is not None and not (local and parted(self.pieces[left], local)):
             local, first = self.pieces[left] + local, left
-        while (right := self._beside(last, 1)) is not None and not (local and local[-1].isascii() and local[-1].isalpha() and _OPENS.match(self.pieces[right])):
+        while (right := self._beside(last, 1)) is not None and not (local and parted(local, self.pieces[right])):
             local, last = local + self.pieces[right], right
         self.recoded += len(local)
         pieces = segments(local, self.size)
@@ -150,9 +159,29 @@ class TokenTree:
         return len(local)
 
 
+_lengths: dict = {}
+
+
 def _counter(name: str):
+    """Counts of the pieces of one text, encoded in one go: their ends are ends of tokens."""
     encode = encoding(name).encode_ordinary
-    return lambda pieces: [len(encode(p)) for p in pieces]
+    if name not in _lengths:
+        _lengths[name] = np.array([len(t) for t in _token_values(name)], np.int64)
+    lengths = _lengths[name]
+
+    def count(pieces: list[str]) -> list[int]:
+        if len(pieces) == 1:
+            return [len(encode(pieces[0]))]
+        ends = np.cumsum(lengths[encode("".join(pieces))])
+        bounds = np.cumsum([len(p.encode()) for p in pieces])
+        return np.diff(np.searchsorted(ends, bounds, "right"), prepend=0).tolist()
+
+    return count
+
+
+def _token_values(name: str) -> list[bytes]:
+    known = encoding(name)
+    return [known.decode_single_token_bytes(k) for k in range(known.n_vocab)]
 
 
 EDIT = "array<struct<start:long,end:long,new:string>>"

@@ -76,7 +76,7 @@ def test_files_have_stripes_in_order_and_indexes(spark):
 
 
 COUNT = token_counts._counter(token_counts.VOCABULARY)
-ALPHABET = "ab cd'é1.\n "
+ALPHABET = "ab cd'é1.\n жα漢。、２ "
 
 
 def whole(text):
@@ -102,6 +102,22 @@ def test_an_edit_reads_a_small_part():
     assert tree.total == whole(tree.text())
 
 
+@pytest.mark.parametrize("words", ["одни простые слова подряд и ещё ", "μερικές απλές λέξεις στη σειρά ", "كلمات عادية في صف واحد ", "いくつかの普通の言葉。続く、", "कुछ साधारण शब्द एक पंक्ति में "])
+def test_an_edit_reads_a_small_part_in_other_scripts(words):
+    text = words * 2000
+    tree = token_counts.TokenTree(text, COUNT)
+    assert len(tree.pieces) > len(text) // 600
+    assert tree.replace(len(text) // 2, len(text) // 2 + 10, words[:5]) < 3000
+    assert tree.total == whole(tree.text())
+
+
+def test_pieces_are_counted_as_if_encoded_alone():
+    encode = token_counts.encoding().encode_ordinary
+    for _, text in awkward():
+        pieces = token_counts.segments(text or "", 40)
+        assert COUNT(pieces) == [len(encode(p)) for p in pieces]
+
+
 def test_counts_of_awkward_rows(spark):
     docs = documents(spark, awkward())
     got = token_counts.count_tokens(docs, token_counts.standard_edits(docs["text"])).collect()
