@@ -52,14 +52,30 @@ def _crc_table() -> list[int]:
 _CRC = _crc_table()
 
 
-def frame_crc(data: bytes) -> int:
-    """The 16-bit checksum of MPEG audio (polynomial 0x8005, all ones at the start)."""
+def frame_crc(data: bytes, bits: int | None = None) -> int:
+    """The 16-bit checksum of MPEG audio (polynomial 0x8005, all ones at the start) over
+    the first ``bits`` of ``data``, or all."""
+    bits = 8 * len(data) if bits is None else bits
     crc = 0xFFFF
-    for b in data:
+    for b in data[: bits // 8]:
         crc = ((crc << 8) & 0xFFFF) ^ _CRC[(crc >> 8) ^ b]
+    for k in range(bits % 8):
+        bit = data[bits // 8] >> 7 - k & 1
+        crc = (crc << 1 & 0xFFFF) ^ (0x8005 if (crc >> 15) ^ bit else 0)
     return crc
 
 
+# Fixed values of the format: bits of the allocation of each subband of layer II, as runs
+# of (subbands, bits), by the table that bitrate and rate choose.
+ALLOCATIONS = {
+    "a": ((11, 4), (12, 3), (4, 2)),
+    "b": ((11, 4), (12, 3), (7, 2)),
+    "c": ((2, 4), (6, 3)),
+    "d": ((2, 4), (10, 3)),
+    "lsf": ((4, 4), (7, 3), (19, 2)),
+}
+
+
 @dataclass(frozen=True)
 class Header:
     version: int  # 1, 2, or 25 for 2.5
@@ -70,6 +86,19 @@ class Header:
     channels: int
     length: int
     samples: int
+    shared_from: int = 32  # the first subband that both channels share (joint stereo of layers I and II)
+
+    @property
+    def allocations(self) -> list[int]:
+        """Bits of the allocation of each subband of layers I and II."""
+        if self.layer == 1:
+            return [4] * 32
+        if self.version != 1:
+            table = "lsf"
+        else:
+            each = self.kbps // self.channels
+            table = ("d" if self.rate == 32000 else "c") if each < 56 else "a" if each <= 80 or self.rate == 48000 else "b"
+        return [bits for count, bits in ALLOCATIONS[table] for _ in range(count)]
 
     @property
     def side_bytes(self) -> int:
@@ -93,7 +122,37 @@ def parse_header(b: bytes, at: int = 0) -> Header | None:
     pad = two >> 1 & 1
     samples = 384 if layer == 1 else 576 if layer == 3 and version != 1 else 1152
     length = (kbps * 12000 // hertz + pad) * 4 if layer == 1 else samples // 8 * kbps * 1000 // hertz + pad
-    return Header(version, layer, not one & 1, kbps, hertz, 1 if three >> 6 == 3 else 2, length, samples)
+    joint = three >> 6 == 1 and layer != 3
+    return Header(version, layer, not one & 1, kbps, hertz, 1 if three >> 6 == 3 else 2, length, samples, 4 * (three >> 4 & 3) + 4 if joint else 32)
+
+
+def protected_bits(b: bytes, at: int, h: Header) -> int | None:
+    """How many bits behind the checksum of the frame at ``at`` it covers, besides the
+    header's last 16; None if the frame is too short for them.
+
+    Layer III: the side information. Layer I: the allocation. Layer II: the allocation and
+    two bits of scale factor selection for each subband and channel that has any.
+    """
+    room = 8 * (min(at + h.length, len(b)) - at - 6)
+    if h.layer == 3:
+        bits = 8 * h.side_bytes
+        return bits if bits <= room else None
+    allocations = h.allocations
+    shared = min(h.shared_from, len(allocations)) if h.channels == 2 else len(allocations)
+    bits = sum(allocations[:shared]) * h.channels + sum(allocations[shared:])
+    if bits > room or bits <= 0:
+        return None
+    if h.layer == 1:
+        return bits
+    value = int.from_bytes(b[at + 6 : at + 6 + -(-bits // 8)], "big") >> -bits % 8
+    left, chosen = bits, 0
+    for k, width in enumerate(allocations):
+        for _ in range(h.channels if k < shared else 1):
+            left -= width
+            used = value >> left & (1 << width) - 1
+            chosen += (1 if k < shared else h.channels) * (used != 0)
+    bits += 2 * chosen
+    return bits if bits <= room else None
 
 
 @dataclass
@@ -148,23 +207,23 @@ def parse_tags(b: bytes) -> tuple[dict[str, str], int, int]:
 
 
 def _bitrate_table(b: bytes, at: int, h: Header) -> dict | None:
-    """A Xing, Info or VBRI table in the frame at ``at``."""
-    xing = at + 4 + 2 * h.protected + h.side_bytes
-    if h.layer == 3 and b[xing : xing + 4] in (b"Xing", b"Info") and xing + 8 <= len(b):
-        flags = struct.unpack(">I", b[xing + 4 : xing + 8])[0]
-        out, p = {"kind": b[xing : xing + 4].decode()}, xing + 8
+    """A Xing, Info or VBRI table in the frame at ``at``, or what of it the frame holds."""
+    frame = b[at : at + h.length]
+    xing = 4 + 2 * h.protected + h.side_bytes
+    if h.layer == 3 and frame[xing : xing + 4] in (b"Xing", b"Info") and xing + 8 <= len(frame):
+        flags = struct.unpack(">I", frame[xing + 4 : xing + 8])[0]
+        out, p = {"kind": frame[xing : xing + 4].decode()}, xing + 8
         for bit, name in ((1, "frames"), (2, "bytes")):
-            if flags & bit:
-                out[name] = struct.unpack(">I", b[p : p + 4])[0]
+            if flags & bit and p + 4 <= len(frame):
+                out[name] = struct.unpack(">I", frame[p : p + 4])[0]
                 p += 4
-        if flags & 4:
-            out["toc"] = list(b[p : p + 100])
+        if flags & 4 and p + 100 <= len(frame):
+            out["toc"] = list(frame[p : p + 100])
         return out
-    vbri = at + 36
-    if b[vbri : vbri + 4] == b"VBRI" and vbri + 26 <= len(b):
-        size, frames, entries, scale, width, per = struct.unpack(">IIHHHH", b[vbri + 10 : vbri + 26])
-        body = b[vbri + 26 : vbri + 26 + entries * width]
-        toc = [int.from_bytes(body[k : k + width], "big") * scale for k in range(0, len(body), max(width, 1))]
+    if frame[36:40] == b"VBRI" and len(frame) >= 62:
+        size, frames, entries, scale, width, per = struct.unpack(">IIHHHH", frame[46:62])
+        body = frame[62 : 62 + entries * width]
+        toc = [int.from_bytes(body[k : k + width], "big") * scale for k in range(0, len(body) - width + 1, max(width, 1))] if width else []
         return {"kind": "VBRI", "frames": frames, "bytes": size, "toc": toc, "frames_per_entry": per}
     return None
 
@@ -172,6 +231,7 @@ def _bitrate_table(b: bytes, at: int, h: Header) -> dict | None:
 def parse_audio(b: bytes, on_frame=None) -> Audio:
     """Walks the frames. Where no frame continues, it looks for the next header that
     another header of the same kind (or the end) follows, and counts the bytes between.
+    A protected frame that is too short for what its checksum covers counts as bad.
     ``on_frame(start, length, header)`` sees each frame of sound."""
     out = Audio()
     out.tags, at, end = parse_tags(b)
@@ -190,10 +250,12 @@ def parse_audio(b: bytes, on_frame=None) -> Audio:
             at = nxt
             continue
         locked = True
-        if h.protected and h.layer == 3 and at + 6 + h.side_bytes <= end:
+        if h.protected:
             out.checked += 1
-            told = b[at + 4] << 8 | b[at + 5]
-            out.bad_checksums += told != frame_crc(b[at + 2 : at + 4] + b[at + 6 : at + 6 + h.side_bytes])
+            bits = protected_bits(b, at, h)
+            told = b[at + 4 : at + 6]
+            covered = b[at + 2 : at + 4] + b[at + 6 : at + 6 + -(-(bits or 0) // 8)]
+            out.bad_checksums += bits is None or told != frame_crc(covered, 16 + bits).to_bytes(2, "big")
         table = None if out.frames or out.table else _bitrate_table(b, at, h)
         if table:
             out.table = table
@@ -237,23 +299,6 @@ def to_audio(payload: bytes) -> bytes:
     return tag + info + cells.tobytes() + b"TAG".ljust(128, b"\0")
 
 
-def _uniform(b: bytes) -> tuple[Audio, bytes] | None:
-    """The same result as the walk, at once, for a stream of equal frames such as
-    ``to_audio`` makes: every header and checksum is compared. Else None."""
-    tags, at, end = parse_tags(b)
-    h = parse_header(b, at)
-    if h is None or h.length != UNIT or b[at : at + len(_FRONT)] != _FRONT or (end - at) % UNIT:
-        return None
-    table = _bitrate_table(b, at, h)
-    cells = np.frombuffer(b, np.uint8, end - at, at).reshape(-1, UNIT)
-    if table is None or not (cells[:, : len(_FRONT)] == np.frombuffer(_FRONT, np.uint8)).all():
-        return None
-    n = len(cells) - 1
-    first = at + UNIT
-    out = Audio(h, n, n * h.samples, h.rate, 0, n + 1, 0, list(range(first, first + n * UNIT, UNIT)), table, tags)
-    return out, cells[1:, len(_FRONT) : len(_FRONT) + PAYLOAD].tobytes()
-
-
 def from_audio(b: bytes) -> tuple[Audio, bytes]:
     """What ``parse_audio`` finds, and the payload of the frames, held against the length
     and checksum of the tag."""

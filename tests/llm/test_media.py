@@ -1,4 +1,5 @@
 import hashlib
+import random
 import struct
 import zlib
 
@@ -31,15 +32,6 @@ def test_round_trip_of_awkward_rows(spark):
     assert media.media_round_trip(documents(spark, [])).collect() == []
 
 
-def test_walk_and_quick_reading_agree():
-    stream = media.to_audio(padded("text " * 300)[1])
-    parts = []
-    walked = media.parse_audio(stream, lambda at, n, h: parts.append(stream[at + 23 : at + 215]))
-    quick, payload = media._uniform(stream)
-    assert walked == quick and b"".join(parts) == payload == padded("text " * 300)[1]
-    assert walked.table["frames"] == walked.frames and walked.tags["TXXX"].startswith("payload")
-
-
 def test_resynchronises_over_junk_and_counts_it():
     stream = media.to_audio(padded("abc" * 300)[1])
     tags, start, _ = media.parse_tags(stream)
@@ -92,10 +84,9 @@ def test_payload_that_spells_a_tag_is_kept(spark):
     assert len(got) == len(texts)
 
 
-def test_query_walks_checks_the_payload_and_has_every_offset(spark, monkeypatch):
+def test_query_walks_checks_the_payload_and_has_every_offset(spark):
     payload = padded("abc" * 300)[1]
     stream = bytearray(media.to_audio(payload))
-    monkeypatch.setattr(media, "_uniform", lambda b: pytest.fail("not the walk"))
     assert media.from_audio(bytes(stream))[0].payload_ok is True
     start = media.parse_tags(bytes(stream))[1]
     stream[start + 240 + 100] ^= 1
@@ -103,3 +94,79 @@ def test_query_walks_checks_the_payload_and_has_every_offset(spark, monkeypatch)
     assert audio.payload_ok is False and read != payload and audio.bad_checksums == 0
     (row,) = media.media_round_trip(documents(spark, [(1, "word " * 4000)])).collect()
     assert len(row.seek) == row.frames > 50 and set(b - a for a, b in zip(row.seek, row.seek[1:])) == {240} and "payload_ok=True" in row.feature
+
+
+def bits(value, width):
+    return f"{value:0{width}b}"
+
+
+def frame(header, body_bits):
+    """A frame of zeros behind its checksum and the bits that this covers."""
+    covered = bits(int.from_bytes(header[2:], "big"), 16) + body_bits
+    crc = 0xFFFF
+    for bit in covered:  # the division, bit by bit
+        top = crc >> 15 ^ int(bit)
+        crc = crc << 1 & 0xFFFF ^ (0x8005 if top else 0)
+    packed = int(body_bits.ljust(-(-len(body_bits) // 8) * 8, "0"), 2).to_bytes(-(-len(body_bits) // 8), "big")
+    return (header + crc.to_bytes(2, "big") + packed).ljust(media.parse_header(header).length, b"\0")
+
+
+LAYER_1_STEREO = bytes([0xFF, 0xFE, 0x94, 0x00])  # 288 kbit/s, 48 kHz
+LAYER_1_JOINT = bytes([0xFF, 0xFE, 0x94, 0x50])  # the first 8 subbands apart
+LAYER_2_MONO = bytes([0xFF, 0xFC, 0x54, 0xC0])  # 80 kbit/s, 48 kHz: 27 subbands
+LAYER_2_JOINT = bytes([0xFF, 0xFC, 0x90, 0x60])  # 160 kbit/s, 44.1 kHz: 27 subbands, 12 apart
+LAYER_2_HALF = bytes([0xFF, 0xF4, 0x80, 0xC0])  # MPEG-2, 64 kbit/s, 22.05 kHz: 30 subbands
+
+
+@pytest.mark.parametrize(
+    "header, allocation, selected",
+    [
+        (LAYER_1_STEREO, [4] * 64, 0),
+        (LAYER_1_JOINT, [4] * 16 + [4] * 24, 0),
+        (LAYER_2_MONO, [4] * 11 + [3] * 12 + [2] * 4, 2),
+        (LAYER_2_HALF, [4] * 4 + [3] * 7 + [2] * 19, 2),
+        (LAYER_2_JOINT, [w for w in [4] * 11 + [3] for _ in range(2)] + [3] * 11 + [2] * 4, 4),
+    ],
+)
+def test_checksums_of_layers_one_and_two(header, allocation, selected):
+    used = [k % 3 == 1 for k in range(len(allocation))]
+    body = "".join(bits(int(u), w) for u, w in zip(used, allocation))
+    if header == LAYER_2_JOINT:  # two bits for each channel of a used subband; shared subbands have two channels
+        body += "01" * (sum(used[:24]) + 2 * sum(used[24:]))
+    elif selected:
+        body += "10" * sum(used)
+    one = frame(header, body)
+    good = media.parse_audio(one * 3)
+    assert (good.frames, good.checked, good.bad_checksums) == (3, 3, 0)
+    assert media.protected_bits(one, 0, media.parse_header(one)) == len(body)
+    broken = bytearray(one)
+    broken[6] ^= 0x80
+    assert media.parse_audio(one + bytes(broken) + one).bad_checksums == 1
+
+
+def test_truncated_tables_and_damaged_streams_are_read_as_far_as_they_go():
+    header = bytes([0xFF, 0xFB, 0x10, 0xC0])  # 32 kbit/s mono: 104 bytes
+    h = media.parse_header(header)
+    for kind in (b"Xing", b"Info"):
+        whole = header + bytes(17) + kind + struct.pack(">III", 7, 5, 500) + bytes(range(100))
+        assert media._bitrate_table(whole + bytes(50), 0, h)["frames"] == 5
+        assert "toc" not in media._bitrate_table(whole + bytes(50), 0, h)  # the frame ends before it does
+        for n in range(len(whole)):
+            table = media._bitrate_table(whole[:n], 0, h)
+            assert (table is None) == (n < 29) and (table is None or ("frames" in table) == (n >= 33))
+    short = bytes([0xFF, 0xF3, 0x14, 0xC0])  # MPEG-2, 8 kbit/s, 24 kHz: 24 bytes, 9 of side information
+    tiny = (short + bytes(9) + b"Xing" + struct.pack(">I", 7)).ljust(24, b"\0")
+    audio = media.parse_audio(tiny + (short + bytes(20)) * 3)
+    assert audio.table == {"kind": "Xing"} and audio.frames == 3
+    vbri = header + bytes(32) + b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 0, 1000, 7, 60, 1, 2, 3) + bytes(120)
+    for n in range(len(vbri)):
+        media._bitrate_table(vbri[:n], 0, h)
+    rng = random.Random(4)
+    stream = media.to_audio(padded("abc" * 300)[1])
+    for _ in range(300):
+        part = bytearray(stream[: rng.randrange(len(stream))])
+        for _ in range(rng.randrange(20)):
+            if part:
+                part[rng.randrange(len(part))] = rng.randrange(256)
+        audio, _ = media.from_audio(bytes(part))
+        assert audio.frames == len(audio.offsets) and audio.bad_checksums <= audio.checked
