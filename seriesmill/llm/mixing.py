@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 WEIGHTS = (5, 2, 1)
-CELLS = "doc_id long, size long, source string, source_size long, target double, base long, p double, rows long, bin long"
+CELLS = "doc_id long, size long, source string, source_size long, target double, base long, p double, rows long, place long, bin long"
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -106,7 +106,7 @@ RESERVED = 10
 
 def _fly(last: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "doc_id"], ascending=[False, True], na_position="first", kind="stable")
+        pdf = pdf.sort_values(["size", "doc_id", "place"], ascending=[False, True, True], na_position="first", kind="stable")
         p, size = pdf["p"].to_numpy(copy=True), pdf["size"].to_numpy()
         seed = int(np.uint64((int(pdf["bin"].iloc[0]) * 2654435761 + len(pdf) * 40503 + int(size.sum())) & (2**63 - 1)))
         if last:
@@ -121,21 +121,41 @@ def _fly(last: bool):
     return run
 
 
+def _placed(sizes: DataFrame) -> DataFrame:
+    """``sizes`` (source, doc_id, size, ...) with ``place``, which numbers from 0 the rows
+    that are equal in these. It counts within each partition of the table first, so that
+    rows of which a third are equal meet in no one task."""
+    keys = ["source", "doc_id", "size"]
+    parts = stored(sizes.withColumn("part", F.spark_partition_id()), "sizes-by-part")
+    inner = Window.partitionBy("part", *keys).orderBy(F.lit(1))
+    numbered = parts.withColumn("inner", F.row_number().over(inner).cast("long") - 1)
+    held = parts.groupBy("part", *keys).agg(F.count("*").alias("held"))
+    before = F.sum("held").over(Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    later = held.withColumn("before", before).where("before > 0").drop("held")
+    on = (F.col("n.part") == F.col("l.part")) & (F.col("n.size") == F.col("l.size"))
+    for k in ("source", "doc_id"):
+        on = on & F.col(f"n.{k}").eqNullSafe(F.col(f"l.{k}"))
+    placed = numbered.alias("n").join(later.alias("l"), on, "left")
+    return placed.select(*[f"n.`{c}`" for c in sizes.columns], (F.col("inner") + F.coalesce("before", F.lit(0).cast("long"))).alias("place"))
+
+
 def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = 1024, row_col: str | None = None) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every row of ``docs`` (doc_id,
     text, source), and its long column ``row_col`` if one is named.
 
     size is the number of words between blanks; null texts have 0 and take 0. Repeated
     rows are documents of their own. Null is a source like another. Reruns agree: bins
-    and draws derive from ids and sizes, not from the order of rows.
+    and draws derive from ids, sizes and, among rows equal in both, their number, not from
+    the order of rows; no bin is much larger than ``block`` however many rows are equal.
     """
     own = [row_col] if row_col else []
     schema = ", ".join([CELLS, *[f"`{c}` long" for c in own]])
     words = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    sizes = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("size"), F.col("source").cast("string").alias("source"), *own), "sizes")
+    sizes = _placed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("size"), F.col("source").cast("string").alias("source"), *own))
+    sizes = stored(sizes, "sizes")
     targets = source_targets(sizes, weights, share, most)
     factor = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    cells = sizes.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.doc_id", "d.size", "d.source", "source_size", "target", factor.alias("f"), F.col("n").alias("rows"), *own)
+    cells = sizes.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.doc_id", "d.size", "d.source", "source_size", "target", factor.alias("f"), F.col("n").alias("rows"), "place", *own)
     base = F.floor(F.least(F.col("f"), F.lit(most)) + 1e-12)
     cells = cells.withColumn("base", base.cast("long")).withColumn("p", F.greatest(F.col("f") - F.col("base"), F.lit(0.0)))
     cells = cells.withColumn("p", F.when((F.col("p") < 1e-9) | (F.col("size") == 0), 0.0).otherwise(F.col("p"))).drop("f")
@@ -146,7 +166,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: floa
     while True:
         # 0 is the source's only bin: the last round lands
         bins = F.ceil(F.col("rows") / block)
-        salt = F.xxhash64("doc_id", "size", F.lit(rounds))
+        salt = F.xxhash64("doc_id", "size", "place", F.lit(rounds))
         dealt = open_.withColumn("bin", F.when(bins > 1, F.pmod(salt, bins) + 1).otherwise(F.lit(0)).cast("long"))
         landing = dealt.where("bin = 0").groupBy("source", "bin").applyInPandas(_fly(True), schema)
         flying = dealt.where("bin > 0").groupBy("source", "bin").applyInPandas(_fly(False), schema)

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from seriesmill.llm import common, mixing
 from seriesmill.llm.mixing import flight, land, mix_sources
 
 from .helpers import awkward, documents, jaccard_words
@@ -95,3 +96,29 @@ def test_landing_takes_the_nearest_outcome():
     assert land(np.array([1.0, 0.5, 0.5, 0.0]), np.array([9, 10, 4, 7]))[[0, 3]].tolist() == [1, 0]
     out = land(np.array([0.5, 0.5]), np.array([10, 10]))
     assert sorted(out.tolist()) == [0, 1]
+
+
+def test_rows_equal_in_everything_fill_no_bin_beyond_its_size(spark, monkeypatch):
+    """A third of the rows have no id and one size."""
+    seen = []
+
+    def fly(last, make=mixing._fly):
+        run = make(last)
+
+        def counted(pdf):
+            return run(pdf).assign(rows=len(pdf))
+
+        return counted
+
+    monkeypatch.setattr(mixing, "_fly", fly)
+    monkeypatch.setattr(mixing, "stored", lambda df, name, **o: (seen.append((name, common.stored(df, name, **o))), seen[-1][1])[1])
+    rows = [(None if k % 3 == 0 else k, "w " * (10 if k % 3 == 0 else k % 50 + 1), None, "a") for k in range(3000)]
+    taken = []
+    for order, parts in ((rows, 1), (rows[::-1], 7)):
+        got = mix_sources(documents(spark, order).repartition(parts), block=64).collect()
+        assert len(got) == len(rows)
+        taken.append(sorted(map(tuple, got), key=str))
+    assert taken[0] == taken[1]
+    assert abs(sum(r[4] for r in taken[0]) - taken[0][0][3]) <= 0.01 * taken[0][0][3]
+    bins = [df for name, df in seen if name == "mix-0"]
+    assert bins and all(df.agg({"rows": "max"}).first()[0] < 2 * 64 for df in bins)
