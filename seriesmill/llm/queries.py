@@ -107,32 +107,35 @@ FROM turns GROUP BY conv_id
 """
 
 
-def _op5_sql(damping=0.85, rounds=20, threshold=0.5) -> str:
+def _op5_sql(damping=0.85, threshold=0.5, rounds=86) -> str:
     def low(x):
         return _LOWER.format(x)
 
     fits = [(r, f"((host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}'))") for r in sorted(RULES, key=lambda r: (-len(r.name), r.name))]
     name = " ".join(f"WHEN {f} THEN '{r.name}'" for r, f in fits)
     verdict = " ".join(f"WHEN {f} THEN '{r.verdict}'" for r, f in fits)
-    steps = ""
-    for kind, share in (("t", "allowed"), ("d", "blocked")):
-        steps += f", {kind}0 AS (SELECT host, {1 - damping} * {share} AS score FROM hosts)"
-        for k in range(rounds):
-            src, dst, total = ("src", "dst", "outs") if kind == "t" else ("dst", "src", "ins")
-            steps += f""", {kind}{k + 1} AS (SELECT host, sum(score) AS score FROM (
-              SELECT host, {1 - damping} * {share} AS score FROM hosts UNION ALL
-              SELECT e.{dst}, {damping} * s.score * e.weight / e.{total} FROM edges e JOIN {kind}{k} s ON s.host = e.{src}) GROUP BY host)"""
     return rf"""
-WITH p AS (SELECT page_id, html, {low("regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1)")} AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+WITH RECURSIVE p AS (SELECT page_id, html, {low("regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1)")} AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 judged AS (SELECT page_id, html, host, path, CASE {name} END AS rule, CASE {verdict} END AS ruled FROM p),
-hosts AS (SELECT host, avg(CASE WHEN ruled = 'allow' THEN 1.0::DOUBLE ELSE 0 END) AS allowed, avg(CASE WHEN ruled = 'block' THEN 1.0::DOUBLE ELSE 0 END) AS blocked FROM judged WHERE host <> '' GROUP BY host),
-targets AS (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), 'href\s*=\s*["'']([^"''>]*)', 1)) AS url FROM judged WHERE host <> ''),
+seeds AS (
+  SELECT 't' AS kind, host, avg(CASE WHEN ruled = 'allow' THEN 1.0::DOUBLE ELSE 0 END) AS seed FROM judged WHERE host <> '' GROUP BY host
+  UNION ALL SELECT 'd', host, avg(CASE WHEN ruled = 'block' THEN 1.0::DOUBLE ELSE 0 END) FROM judged WHERE host <> '' GROUP BY host),
+targets AS (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '(?i:href)\s*=\s*["'']?([^"''>\s]*)', 1)) AS url FROM judged WHERE host <> ''),
 links AS (SELECT src, {low("regexp_extract(CASE WHEN starts_with(url, '//') THEN 'http:' || url ELSE url END, '://([^/?#]*)', 1)")} AS dst FROM targets),
-raw_edges AS (SELECT src, dst, count(*)::DOUBLE AS weight FROM links WHERE dst <> '' AND dst <> src GROUP BY ALL),
-edges AS (SELECT *, sum(weight) OVER (PARTITION BY src) AS outs, sum(weight) OVER (PARTITION BY dst) AS ins FROM raw_edges)
-{steps}
-SELECT page_id, j.host, path, rule, coalesce(ruled, CASE WHEN d.score >= {threshold} * (1 - {damping}::DOUBLE) - 1e-12 AND d.score > coalesce(t.score, 0) THEN 'block' END, 'allow') AS verdict
-FROM judged j LEFT JOIN d{rounds} d ON d.host = j.host LEFT JOIN t{rounds} t ON t.host = j.host
+weights AS (SELECT src, dst, count(*)::DOUBLE AS weight FROM links WHERE dst <> '' AND dst <> src GROUP BY ALL),
+edges AS MATERIALIZED (
+  SELECT 't' AS kind, src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM weights
+  UNION ALL SELECT 'd', dst, src, weight / sum(weight) OVER (PARTITION BY dst) FROM weights),
+flow AS (
+  SELECT 0 AS k, kind, host, {1 - damping} * seed AS flow FROM seeds WHERE seed > 0
+  UNION ALL SELECT f.k + 1, f.kind, e.dst, {damping} * sum(f.flow * e.share) FROM flow f JOIN edges e ON e.kind = f.kind AND e.src = f.host WHERE f.k < {rounds} GROUP BY f.k, f.kind, e.dst),
+raw AS (SELECT kind, host, sum(flow) AS score FROM flow GROUP BY kind, host),
+scale AS (SELECT kind, (SELECT sum(seed) FROM seeds s WHERE s.kind = r.kind) / sum(score) AS scale FROM raw r GROUP BY kind),
+scores AS (SELECT kind, host, score * scale AS score, scale FROM raw JOIN scale USING (kind)),
+bad AS (
+  SELECT d.host FROM scores d LEFT JOIN scores t ON t.kind = 't' AND t.host = d.host
+  WHERE d.kind = 'd' AND d.score >= {threshold} * (1 - {damping}::DOUBLE) * d.scale - 1e-12 AND d.score > coalesce(t.score, 0))
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' END, 'allow') AS verdict FROM judged
 """
 
 

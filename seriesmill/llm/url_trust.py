@@ -8,6 +8,7 @@ operations alone; a host whose distrust is high enough and above its trust is bl
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 from .common import stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LINK = r"""href\s*=\s*["']([^"'>]*)"""
+#: The target of a link, in double, single or no quotes, the name in any case.
+LINK = r"""(?i:href)\s*=\s*["']?([^"'>\s]*)"""
 
 
 @dataclass(frozen=True)
@@ -62,28 +64,45 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float, rounds: int, tolerance: float = 1e-9) -> DataFrame:
-    """(host, score): score = (1 - damping) seed + damping * inflow, over edges (src,
-    dst, share). What flows into a host without out-edges ends there."""
-    base = stored(seeds.select("host", (F.col("seed") * (1 - damping)).alias("base")), "trust-seeds")
-    score = base.select("host", F.col("base").alias("score"))
-    for _ in range(rounds):
-        inflow = edges.join(score.withColumnRenamed("host", "src"), "src").groupBy(F.col("dst").alias("host")).agg((F.sum(F.col("score") * F.col("share")) * damping).alias("inflow"))
-        new = base.join(inflow, "host", "full").select("host", (F.coalesce("base", F.lit(0.0)) + F.coalesce("inflow", F.lit(0.0))).alias("score"))
-        change = new.join(score.withColumnRenamed("score", "was"), "host", "full").select("host", "score", F.abs(F.col("score") - F.coalesce("was", F.lit(0.0))).alias("change"))
-        change = stored(change, "trust-round")
-        score = change.select("host", "score")
-        if change.where(F.col("change") > tolerance).isEmpty():
+#: Rounds of propagation in one plan; between two plans the state is a stored table.
+STRIDE = 8
+
+
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
+    """(kind, host, score): personalised PageRank of each kind at once, from ``seeds``
+    (kind, host, seed) over ``edges`` (kind, src, dst, share), whose shares add up to 1 for
+    each kind and src.
+
+    A round moves what the last one brought: flow = damping * inflow, starting with
+    (1 - damping) * seed, and a score is the sum of a host's flows. What flows in a round
+    is at most ``damping`` times that of the round before, so after
+    log(tolerance) / log(damping) rounds, 86 by default, less than ``tolerance`` of the
+    seeds' mass is still to come; rounds stop before that if no flow is above a thousandth
+    of ``tolerance``. What ends in hosts without out-edges returns to the seeds: the
+    limit of that is the same scores, scaled to have the seeds' sum.
+    """
+    seeds = stored(seeds.where("seed > 0").select("kind", "host", "seed"), "trust-seeds")
+    state = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"), (F.col("seed") * (1 - damping)).alias("flow"))
+    rounds = max(1, math.ceil(math.log(tolerance) / math.log(damping)))
+    for at in range(0, rounds, STRIDE):
+        for _ in range(min(STRIDE, rounds - at)):
+            sent = state.where("flow > 0").select("kind", F.col("host").alias("src"), "flow").join(edges, ["kind", "src"])
+            inflow = sent.select("kind", F.col("dst").alias("host"), F.lit(0.0).alias("score"), (F.col("flow") * F.col("share") * damping).alias("flow"))
+            both = state.select("kind", "host", "score", F.lit(0.0).alias("flow")).union(inflow)
+            state = both.groupBy("kind", "host").agg((F.sum("score") + F.sum("flow")).alias("score"), F.sum("flow").alias("flow"))
+        state = stored(state, "trust-rounds")
+        if state.where(F.col("flow") > tolerance / 1000).isEmpty():
             break
-    return score
+    sums = state.groupBy("kind").agg(F.sum("score").alias("held")).join(seeds.groupBy("kind").agg(F.sum("seed").alias("given")), "kind")  # a row a kind
+    return state.join(sums, "kind").select("kind", "host", (F.col("score") * F.col("given") / F.col("held")).alias("score"), (F.col("given") / F.col("held")).alias("scale"))
 
 
-def judge_urls(pages: DataFrame, rules=RULES, damping: float = 0.85, rounds: int = 20, threshold: float = 0.5) -> DataFrame:
+def judge_urls(pages: DataFrame, rules=RULES, damping: float = 0.85, threshold: float = 0.5, tolerance: float = 1e-6) -> DataFrame:
     """(page_id, host, path, rule, verdict) for every row of ``pages``.
 
     A page that a rule fits has the rule's verdict. Another is blocked if its host's
-    distrust is at least ``threshold`` times that of a host all of whose pages are
-    blocked, and above its trust. Null urls and urls without ``://`` have an empty host
+    distrust is at least ``threshold`` times what a host of blocked pages alone has of its
+    own, and above its trust. Null urls and urls without ``://`` have an empty host
     and path, which no link reaches: allowed. Null html has no links. Repeated rows
     count as pages of their own.
     """
@@ -92,14 +111,17 @@ def judge_urls(pages: DataFrame, rules=RULES, damping: float = 0.85, rounds: int
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     judged = pages.withColumns({"rule": name, "ruled": verdict})
     share = lambda v: F.avg(F.when(F.col("ruled") == v, 1.0).otherwise(0.0))
-    hosts = stored(judged.where("host <> ''").groupBy("host").agg(share("allow").alias("allowed"), share("block").alias("blocked")), "hosts")
-    edges = stored(host_edges(pages), "host-edges")
-    out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    back = edges.groupBy("dst").agg(F.sum("weight").alias("total"))
-    forward = edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share"))
-    reverse = edges.join(back, "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("weight") / F.col("total")).alias("share"))
-    trust = propagate(hosts.where("allowed > 0").select("host", F.col("allowed").alias("seed")), stored(forward, "links"), damping, rounds)
-    distrust = propagate(hosts.where("blocked > 0").select("host", F.col("blocked").alias("seed")), stored(reverse, "links-back"), damping, rounds)
-    scored = distrust.withColumnRenamed("score", "distrust").join(trust.withColumnRenamed("score", "trust"), "host", "left")
-    bad = scored.where((F.col("distrust") >= threshold * (1 - damping) - 1e-12) & (F.col("distrust") > F.coalesce("trust", F.lit(0.0)))).select("host", F.lit("block").alias("spread"))
+    hosts = stored(judged.where("host <> ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust")), "hosts")
+    seeds = hosts.unpivot("host", ["trust", "distrust"], "kind", "seed")
+    links = stored(host_edges(pages), "host-edges")
+    forward = links.select(F.lit("trust").alias("kind"), "src", "dst", "weight")
+    back = links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+    both = forward.union(back)
+    total = both.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
+    edges = stored(both.join(total, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("total")).alias("share")), "links")
+    scores = stored(propagate(seeds, edges, damping, tolerance), "trust")
+    distrust = scores.where("kind = 'distrust'").select("host", F.col("score").alias("distrust"), "scale")
+    trust = scores.where("kind = 'trust'").select("host", F.col("score").alias("trust"))
+    enough = F.col("distrust") >= threshold * (1 - damping) * F.col("scale") - 1e-12
+    bad = distrust.join(trust, "host", "left").where(enough & (F.col("distrust") > F.coalesce("trust", F.lit(0.0)))).select("host", F.lit("block").alias("spread"))
     return judged.select("page_id", "host", "path", "rule", "ruled").join(bad, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", "spread", F.lit("allow")).alias("verdict"))
