@@ -21,11 +21,14 @@ U64 = np.uint64
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none (as in tests, on one machine) is an own
-    folder made and set.
+    Where the session names none, an own folder is made and set, on one machine alone (as
+    in tests): on a cluster that is an error, as no machine would see another's files.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="corpus-shared-")
         spark.conf.set("spark.checkpoint.dir", named)
         spark.sparkContext.setCheckpointDir(named)
@@ -35,18 +38,31 @@ def shared_dir(spark: SparkSession) -> str:
 _made: list[str] = []
 
 
+def output_path(spark: SparkSession, name: str) -> str:
+    """A new folder beside the scratch tables, for files that are to stay."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = output_path(spark, name)
     _made.append(path)
     return path
 
 
-def drop_scratch(spark: SparkSession) -> int:
-    """Deletes this process's scratch tables, for when all results that read them have
-    been written; returns how many there were."""
-    configuration, count = spark._jsc.hadoopConfiguration(), 0
-    while _made:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+def scratch_mark() -> int:
+    """The number of scratch tables so far, for ``drop_scratch``."""
+    return len(_made)
+
+
+def drop_scratch(spark: SparkSession, since: int = 0, but: int = 0) -> int:
+    """Deletes this process's scratch tables from ``since`` on, but the last ``but``, for
+    when all results that read them have been written; returns how many there were."""
+    configuration = spark._jsc.hadoopConfiguration()
+    end = max(since, len(_made) - but)
+    gone, _made[since:end] = _made[since:end], []
+    count = 0
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         count += path.getFileSystem(configuration).delete(path, True)
     return count
 

@@ -252,7 +252,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, p
     Null and empty texts have no words and no hits; items with a null, empty or
     wordless text have no windows; items with a null item_id are left out, or with
     ``unnamed`` count in n_hit, spans and contaminated but not in items; repeated items and rows count each once. The benchmark is taken in slices
-    of about ``slice_chars`` characters, so what a task holds of it is bounded.
+    of about ``slice_chars`` characters, one after the other, so what the driver and a task
+    hold of it is bounded; a benchmark of several slices costs as many passes.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     slices = _sliced(benchmark, width, slice_chars, unnamed)
@@ -309,9 +310,11 @@ def _hits(docs: DataFrame, slices: list) -> DataFrame:
     parts = None
     for windows in slices:
         part = docs.mapInArrow(tidy(_search(windows())), schema)
+        if len(slices) > 1:  # written now, so that the plan holds the windows of one slice alone
+            part = stored(part, "hits")
         parts = part if parts is None else parts.union(part)
     if len(slices) > 1:
-        parts = stored(parts, "hits").groupBy("uid", "doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+        parts = parts.groupBy("uid", "doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
         parts = parts.withColumns({"spans": _merged(F.col("spans")), "items": F.array_sort(F.array_distinct("items"))})
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + (s["end"] - s["first"]).cast("long"))
     return parts.withColumn("n_hit", hit)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path, small_batches, tidy
+from .common import output_path, small_batches, tidy
 from .tokenizing import word_encoder
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
@@ -74,7 +74,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.schema(ENCODED).orc(path)
     totals = files.groupBy("shard").agg(F.sum("n_tokens").alias("held"))
     order = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select("shard", F.coalesce(F.sum("held").over(order), F.lit(0)).alias("before"))  # one row a shard
+    before = totals.select("shard", F.coalesce(F.sum("held").over(order), F.lit(0)).alias("before"))  # one row a shard: as many as the write had partitions
     return files.join(F.broadcast(before), "shard").select("doc_id", (F.col("before") + F.col("begin")).alias("start"), "n_tokens", "ids")
 
 
@@ -91,6 +91,6 @@ def tokens_digest(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = E
     """Writes ``docs``, reads the files back and returns (doc_id, start, n_tokens,
     ids_crc32) from them."""
     spark = docs.sparkSession
-    path = scratch_path(spark, "tokens-orc")
+    path = output_path(spark, "tokens-orc")
     write_tokens(docs, path, vocabulary, end_id)
     return read_tokens(spark, path).mapInArrow(_checksums, "doc_id long, start long, n_tokens long, ids_crc32 long")
