@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesmill.llm.common import columns, stored
+from seriesmill.llm.common import columns, drop_scratch, scratch_mark, stored
 from seriesmill.llm.contamination import drop_contaminated
 from seriesmill.llm.mixing import mix_sources
 from seriesmill.llm.ngram_join import jaccard_components
@@ -80,7 +80,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Once a stage is written, its scratch tables and the rows of
+    the stage before are deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mark = scratch_mark()
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop_scratch(spark, since=mark, but=1)
     return docs
