@@ -90,20 +90,37 @@ def stored(df: DataFrame, name: str, batch_rows: int = 2000, **options) -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
+@functools.cache
+def _libc():
+    """The C library, told to give large blocks back as soon as they are free; Arrow takes
+    its memory from there too, as its own pool keeps what it has had."""
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):
+        libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+    pa.set_memory_pool(pa.system_memory_pool())
+    return libc
+
+
+def trim() -> None:
+    """Gives free memory of this worker back to the machine."""
+    libc = _libc()
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def tidy(run):
     """A mapper of batches that gives its freed memory back at the end: a worker process
     serves many tasks, and what one leaves in its heap counts against the next."""
 
     @functools.wraps(run)
     def wrapped(batches):
+        _libc()
         try:
             yield from run(batches)
         finally:
             gc.collect()
             pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            trim()
 
     return wrapped
 

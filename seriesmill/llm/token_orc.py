@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import output_path, small_batches, tidy
+from .common import output_path, small_batches, tidy, trim
 from .tokenizing import word_encoder
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
@@ -40,6 +40,7 @@ def _encode(name: str, end_id: int, piece: int = 1 << 22):
                     ["shard", "doc_id", "begin", "n_tokens", "ids"],
                 )
                 begin += int(offsets[-1])
+                trim()
 
     return run
 

@@ -94,18 +94,20 @@ class WordEncoder:
 
     def _ids(self, parts: list[str], plain: list[bool]) -> list[bytes]:
         young, old = self.young, self.old
-        found = [young.get(x) for x in parts]
+        found = list(map(young.get, parts))
+        missing = [k for k, y in enumerate(found) if y is None]
         words, others = [], []
-        for k, y in enumerate(found):
-            if y is None:
-                x = parts[k]
-                if (z := old.get(x)) is not None:
-                    young[x] = z
-                else:
-                    (words if plain[k] else others).append(x)
-        if None in found:
+        for k in missing:
+            x = parts[k]
+            if (y := old.get(x)) is not None:
+                young[x] = found[k] = y
+            else:
+                (words if plain[k] else others).append(x)
+        if words or others:
             new = self._learn(words, others)
-            found = [y if y is not None else new[x] if x in new else young[x] for x, y in zip(parts, found)]
+            for k in missing:
+                if found[k] is None:
+                    found[k] = new[parts[k]]
         if len(young) > self.limit:
             self.old, self.young = young, {}
         return found
@@ -135,8 +137,10 @@ class WordEncoder:
         else:
             blobs = [*blobs, b""]
 
-        size = np.array([len(b) for b in blobs], np.int64) // 4
-        pool, start = np.frombuffer(b"".join(blobs), "<u4"), np.cumsum(size) - size
+        held = pa.array(blobs, pa.binary())
+        _, ends, pool = held.buffers()
+        start = np.frombuffer(ends, np.int32, len(blobs) + 1) // 4
+        size, pool = np.diff(start), np.frombuffer(pool, "<u4", start[-1]) if start[-1] else np.zeros(0, "<u4")
         order = np.empty(2 * len(code), np.int64)
         order[0::2], order[1::2] = first[code], second[code]
         n = size[order]
