@@ -49,21 +49,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def scratch_mark() -> int:
-    """The number of scratch tables so far, for ``drop_scratch``."""
-    return len(_made)
-
-
-def drop_scratch(spark: SparkSession, since: int = 0, but: int = 0) -> int:
-    """Deletes this process's scratch tables from ``since`` on, but the last ``but``, for
-    when all results that read them have been written; returns how many there were."""
-    configuration = spark._jsc.hadoopConfiguration()
-    end = max(since, len(_made) - but)
-    gone, _made[since:end] = _made[since:end], []
-    count = 0
-    for name in gone:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        count += path.getFileSystem(configuration).delete(path, True)
+def scratch_made(since: int = 0) -> list[str]:
+    """This process's scratch tables in the order they were made."""
+    return _made[since:]
+
+
+def drop_scratch(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Deletes scratch tables (all of this process without ``paths``), for when all results
+    that read them have been written; returns how many there were."""
+    configuration, count = spark._jsc.hadoopConfiguration(), 0
+    for name in list(_made) if paths is None else paths:
+        if name in _made:
+            _made.remove(name)
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            count += path.getFileSystem(configuration).delete(path, True)
     return count
 
 

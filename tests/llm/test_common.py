@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import pytest
 
-from seriesmill.llm.common import drop_scratch, held_out, output_path, scratch_mark, shared_dir, stored
+from seriesmill.llm.common import drop_scratch, held_out, output_path, scratch_made, shared_dir, stored
 
 
 def test_tables_go_to_the_shared_folder_and_away(spark):
@@ -24,11 +24,11 @@ def test_held_out_rows_follow_the_checksum_of_the_id(spark):
 def test_some_scratch_may_stay(spark):
     drop_scratch(spark)
     first = stored(spark.range(3), "first")
-    mark = scratch_mark()
+    mark = len(scratch_made())
     stored(spark.range(4), "second")
     third = stored(spark.range(5), "third")
     assert output_path(spark, "x") != output_path(spark, "x")
-    assert drop_scratch(spark, since=mark, but=1) == 1 and (first.count(), third.count()) == (3, 5)
+    assert drop_scratch(spark, scratch_made(mark)[:-1]) == 1 and (first.count(), third.count()) == (3, 5)
     assert drop_scratch(spark) == 2
 
 
