@@ -392,18 +392,23 @@ FEATURES = (
 _WITHOUT_SPREAD = {2: 0.0, 3: 0.0, 9: 0.0}
 
 
-def features(y: np.ndarray, extras: bool = True) -> np.ndarray:
-    """The panel of one series; of a constant one, and one of a single value, all but
-    three features are NaN."""
+def _moments(y: np.ndarray) -> tuple[float, float, bool]:
+    """Mean, standard deviation, and whether the series has no spread."""
     if not np.isfinite(y).all():
         raise NonFinite("the series has missing or infinite values")
     n = len(y)
     mean = float(np.cumsum(y)[-1] / n) if n else math.nan
     sd = float(y.std(ddof=1)) if n >= 2 else math.nan
     flat = n < 2 or sd == 0 or y.min() == y.max()
+    return mean, (0.0 if n >= 2 else sd) if flat else sd, flat
+
+
+def features(y: np.ndarray, extras: bool = True) -> np.ndarray:
+    """The panel of one series; of a constant one, and one of a single value, all but
+    three features are NaN."""
+    mean, sd, flat = _moments(y)
     if flat:
         out = np.array([_WITHOUT_SPREAD.get(k, math.nan) for k in range(22)])
-        sd = 0.0 if n >= 2 else sd
     else:
         s = Standard((y - mean) / sd)
         out = np.array([f(s) for f in FEATURES])
@@ -411,6 +416,9 @@ def features(y: np.ndarray, extras: bool = True) -> np.ndarray:
 
 
 def feature(y: np.ndarray, name: str) -> float:
-    """One feature by its name or short name."""
+    """One feature by its name or short name, without the others."""
     k = NAMES.index(name) if name in NAMES else SHORT_NAMES.index(name)
-    return float(features(y)[k])
+    mean, sd, flat = _moments(y)
+    if k >= 22:
+        return (mean, sd)[k - 22]
+    return _WITHOUT_SPREAD.get(k, math.nan) if flat else float(FEATURES[k](Standard((y - mean) / sd)))

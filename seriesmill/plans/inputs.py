@@ -56,4 +56,13 @@ SQL = {
       (SELECT p, m FROM (SELECT DISTINCT o_orderpriority AS p FROM orders),
         (SELECT unnest(generate_series(date_trunc('month', min(o_orderdate))::TIMESTAMP, date_trunc('month', max(o_orderdate))::TIMESTAMP, INTERVAL 1 MONTH)) AS m FROM orders))
       LEFT JOIN (SELECT o_orderpriority AS p, date_trunc('month', o_orderdate)::TIMESTAMP AS m, sum(o_totalprice) / 1e6 AS y FROM orders GROUP BY 1, 2) USING (p, m))""",
+    "et": """et AS MATERIALIZED (SELECT k, row_number() OVER (PARTITION BY k ORDER BY h) - 1 AS t, coalesce(v, 0.0) AS y FROM
+      (SELECT k, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS h FROM
+        (SELECT event_type AS k, date_trunc('hour', min(ts))::TIMESTAMP AS lo, date_trunc('hour', max(ts))::TIMESTAMP AS hi FROM events GROUP BY 1))
+      LEFT JOIN (SELECT event_type AS k, date_trunc('hour', ts)::TIMESTAMP AS h, sum(value) AS v FROM events GROUP BY 1, 2) USING (k, h))""",
+    "lm": """lm AS MATERIALIZED (SELECT k, row_number() OVER (PARTITION BY k ORDER BY m) - 1 AS t, y FROM
+      (SELECT l_returnflag AS k, date_trunc('month', l_shipdate) AS m, sum(l_extendedprice * (1 - l_discount)) / 1e6 AS y FROM lineitem GROUP BY 1, 2))""",
 }
+
+#: The event types, in order.
+TYPES = ["click", "error", "purchase", "signup", "view"]

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from ..kernels import numbers
+from ..kernels.panel import SHORT_NAMES
 from .inputs import SQL as SERIES
+from .inputs import TYPES
 
 ORACLES: dict[str, str] = {}
 
@@ -84,6 +87,19 @@ for _d in (0, 1, 2):
     add(f"loess_d{_d}", "eh", f"SELECT x::BIGINT AS t, {r('smoothed', 6)} AS smoothed FROM fit", _loess("eh", "SELECT t AS x FROM eh", 0.3, _d))
 add("loess_at", "om", f"SELECT x, {r('smoothed', 6)} AS smoothed FROM fit", _loess("om", "SELECT unnest([-2.0, 0.5, 10.25, 39.5, 79.0, 83.0])::DOUBLE AS x", 0.4, 1))
 
+_WIDE = ", ".join(f"max(CASE WHEN k = '{k}' THEN v END) AS {k}" for k in TYPES)
+
+
+def _each_type(select: str, more: str) -> str:
+    """``select`` (columns) over the CTEs ``more`` of every type's series ``eh``, one after the other."""
+    return " UNION ALL ".join(f"SELECT '{k}' AS k, * FROM (WITH eh AS (SELECT t, y FROM every WHERE k = '{k}'), {more} {select})" for k in TYPES)
+
+
+add(
+    "loess_batch_wide", "et", "SELECT t, " + _WIDE + " FROM (" + _each_type(f"SELECT x::BIGINT AS t, {r('smoothed', 6)} AS v FROM fit", _loess("eh", "SELECT t AS x FROM eh", 0.2, 1)) + ") GROUP BY t",
+    "every AS MATERIALIZED (SELECT k, t, coalesce(y, 0.0) AS y FROM (SELECT DISTINCT t FROM et) CROSS JOIN (SELECT DISTINCT k FROM et) LEFT JOIN et USING (k, t))",
+)
+
 # --- exponential smoothing ---------------------------------------------------------------
 
 
@@ -155,13 +171,58 @@ add(
     _kpss("om", False) + ", om1 AS (SELECT t, y FROM (SELECT t, y - lag(y) OVER (ORDER BY t) AS y FROM om) WHERE y IS NOT NULL), " + _kpss("om1", False, "j"),
 )
 
+# --- choosing exponents ------------------------------------------------------------------
+
+
+def _least(low: float, high: float, source: str, loss: str, levels: int = 8) -> str:
+    """CTE ``best`` (k, lam): the least ``loss`` (an aggregate over ``source`` with lam) by
+    grids of 21 places, each ten times as fine as the one before and around its best."""
+    step = (high - low) / 20
+    out = f"g0 AS (SELECT k, {low} + i * {step}::DOUBLE AS lam FROM (SELECT DISTINCT k FROM {source}), (SELECT unnest(range(0, 21)) AS i))"
+    for n in range(levels):
+        out += f", o{n} AS (SELECT k, lam, {loss} AS v FROM g{n} JOIN {source} USING (k) GROUP BY k, lam), b{n} AS (SELECT k, arg_min(lam, v) AS lam FROM o{n} GROUP BY k)"
+        step /= 10
+        out += f", g{n + 1} AS (SELECT DISTINCT k, least(greatest(lam + (i - 10) * {step:.3e}, {low}), {high}) AS lam FROM b{n}, (SELECT unnest(range(0, 21)) AS i))"
+    return out + f", best AS (SELECT * FROM b{levels - 1})"
+
+
+_BC = "CASE WHEN lam = 0 THEN ln(y) ELSE (power(y, lam) - 1) / lam END"
+_LAM = f"SELECT k, {r('lam', 4)} AS lam FROM best"
+add("box_cox_mle", "lm", _LAM, _least(-2, 2, "lm", f"0.5 * count(*) * ln(var_pop({_BC})) - (lam - 1) * sum(ln(y))"))
+
+
+def _polynomial(c: tuple[float, ...], x: str) -> str:
+    out = repr(c[0]) + "::DOUBLE"
+    for v in c[1:]:
+        out = f"({out} * {x} + {v!r}::DOUBLE)"
+    return out
+
+
+_TAIL = f"{_polynomial(numbers._C, 's')} / {_polynomial((*numbers._D, 1.0), 's')}"
+add(
+    "box_cox_pearsonr", "lm", _LAM,
+    f"""lq AS MATERIALIZED (SELECT k, y, CASE WHEN p < 0.02425 THEN {_TAIL} WHEN p > 1 - 0.02425 THEN -({_TAIL}) ELSE {_polynomial(numbers._A, 'power(p - 0.5, 2)')} * (p - 0.5) / {_polynomial((*numbers._B, 1.0), 'power(p - 0.5, 2)')} END AS q
+    FROM (SELECT *, sqrt(-2 * ln(least(p, 1 - p))) AS s FROM (SELECT k, y, (row_number() OVER (PARTITION BY k ORDER BY y) - 0.375) / (count(*) OVER (PARTITION BY k) + 0.25)::DOUBLE AS p FROM lm))), """
+    + _least(-2, 2, "lq", f"-corr({_BC}, q)"),
+)
+add(
+    "box_cox_guerrero", "lm", _LAM,
+    "cl AS MATERIALIZED (SELECT k, avg(y) AS m, stddev_samp(y) AS s FROM (SELECT *, count(*) OVER (PARTITION BY k) AS n FROM lm) WHERE t < n // 12 * 12 GROUP BY k, t // 12), "
+    + _least(-1, 2, "cl", "stddev_samp(s / power(m, 1 - lam)) / abs(avg(s / power(m, 1 - lam)))"),
+)
+add("box_cox_fitted_roundtrip", "lm", f"SELECT k, t, {r('y', 6)} AS y_back FROM lm")
+
 # --- features ----------------------------------------------------------------------------
 
 _Z = "z AS (SELECT t, (y - avg(y) OVER ()) / stddev_samp(y) OVER () AS x, count(*) OVER () AS n FROM eh)"
 
 
+FEATURES: dict[str, tuple[str, str]] = {}
+
+
 def feature(name: str, value: str, more: str = "") -> None:
     """``value`` is a SELECT of one column ``v``."""
+    FEATURES[name] = value, more
     add(f"c22_{name}", "eh", f"SELECT {r('v', 6)} AS value FROM ({value})", _Z + (", " + more if more else ""))
 
 
@@ -223,8 +284,60 @@ feature(
     bins AS (SELECT unnest(range(0, nb)) AS b, lo, l, m, span / nb AS w FROM par),
     h AS (SELECT least(floor((d - lo) / (span / nb)), nb - 1)::BIGINT AS b, count(*) AS c FROM e, par GROUP BY 1)""",
 )
+for _name, _sign in (("pos", ""), ("neg", "-")):
+    feature(
+        f"outlier_timing_{_name}",
+        """SELECT coalesce(median(c), 0.0) AS v FROM al, (SELECT least(coalesce(max(j) FILTER ((alive - 1) * 100.0 / tot > 2), 0), coalesce(min(j) FILTER (alive = 1), max(j))) AS last FROM al, tot) WHERE j <= last""",
+        f"""u AS (SELECT t, {_sign}x AS y, n FROM z), tot AS (SELECT count(*) AS tot FROM u WHERE y >= 0),
+        th AS (SELECT unnest(range(0, floor(max(y) / 0.01::DOUBLE)::BIGINT + 1)) AS j FROM u),
+        al AS (SELECT j, count(*) AS alive, (median(t) + 1) / (any_value(n) / 2.0::DOUBLE) - 1 AS c FROM th JOIN u ON y >= j * 0.01::DOUBLE GROUP BY j)""",
+    )
+
+
+def _fluctuation(stride: int, ranges: bool) -> tuple[str, str]:
+    size = "sqrt(avg(power(hi - lo, 2)))" if ranges else "sqrt(sum(ss) / sum(c))"
+    left, right = (f"(SELECT sqrt(greatest(sum(power(y, 2)) - 2 * sl * sum(x * y) - 2 * ic * sum(y) + sl * sl * sum(x * x) + 2 * sl * ic * sum(x) + ic * ic * count(*), 0)) FROM lg, (SELECT regr_slope(y, x) AS sl, regr_intercept(y, x) AS ic FROM lg WHERE {w}) WHERE {w} GROUP BY sl, ic)" for w in ("i < s", "i >= s - 1"))
+    return (
+        "SELECT arg_min(s, e1 + e2)::DOUBLE / (SELECT count(*) FROM lg) AS v FROM two",
+        f"""size AS (SELECT any_value(n) AS n FROM z), tau AS (SELECT DISTINCT floor(exp(ln(5) + i * (ln(n // 2) - ln(5)) / 49) + 0.5)::BIGINT AS tau FROM size, (SELECT unnest(range(0, 50)) AS i)),
+        path AS (SELECT t // {stride} AS i, sum(x) OVER (ORDER BY t) AS p FROM z WHERE t % {stride} = 0 AND t // {stride} < n // {stride}), len AS (SELECT count(*) AS m FROM path),
+        wnd AS (SELECT tau, i // tau AS w, i, p FROM tau, len, path WHERE i < m // tau * tau),
+        ln AS (SELECT tau, w, regr_slope(p, i) AS sl, regr_intercept(p, i) AS ic FROM wnd GROUP BY 1, 2),
+        rs AS (SELECT tau, w, max(p - sl * i - ic) AS hi, min(p - sl * i - ic) AS lo, sum(power(p - sl * i - ic, 2)) AS ss, count(*) AS c FROM wnd JOIN ln USING (tau, w) GROUP BY 1, 2),
+        lg AS MATERIALIZED (SELECT row_number() OVER (ORDER BY tau) - 1 AS i, ln(tau) AS x, ln(f) AS y FROM (SELECT tau, {size} AS f FROM rs GROUP BY tau)),
+        two AS (SELECT s, {left} AS e1, {right} AS e2 FROM (SELECT unnest(range(6, (SELECT count(*) FROM lg) - 5)) AS s))""",
+    )
+
+
+feature("rs_range", *_fluctuation(1, True))
+feature("dfa", *_fluctuation(2, False))
+
+
+def _without_spline() -> str:
+    """CTEs up to ``g5`` (t, r): what a cubic spline with a knot in the middle leaves of x,
+    its five columns made orthogonal one after the other."""
+    out = "g0 AS (SELECT t, 1.0::DOUBLE AS e0, u AS e1, u * u AS e2, u * u * u AS e3, power(greatest(u - (n // 2 - 1) / (n - 1.0::DOUBLE), 0), 3) AS e4, x AS r FROM (SELECT t, n, x, t / (n - 1.0::DOUBLE) AS u FROM z))"
+    for k in range(5):
+        rest = [*(f"e{j}" for j in range(k + 1, 5)), "r"]
+        out += f", g{k + 1} AS (SELECT t, " + ", ".join(f"{c} - e{k} * sum(e{k} * {c}) OVER () / sum(e{k} * e{k}) OVER () AS {c}" for c in rest) + f" FROM g{k})"
+    return out
+
+
+feature(
+    "periodicity", "SELECT coalesce(min(k) FILTER (a - low >= 0.01 AND a >= 0), 0)::DOUBLE AS v FROM (SELECT *, last_value(CASE WHEN a < p AND a < q THEN a END IGNORE NULLS) OVER (ORDER BY k) AS low FROM nb) WHERE a > p AND a > q",
+    _without_spline() + """, lim AS (SELECT count(*) AS n, ceil(count(*) / 3.0::DOUBLE)::BIGINT AS lags FROM g5), res AS MATERIALIZED (SELECT t, r FROM g5),
+    cv AS (SELECT f.tau - 1 AS k, sum(a.r * b.r) / (any_value(n) - f.tau) AS a FROM (SELECT unnest(range(1, lags + 1)) AS tau, n FROM lim) f JOIN res a ON true JOIN res b ON b.t = a.t + f.tau GROUP BY f.tau),
+    nb AS (SELECT k, a, lag(a) OVER (ORDER BY k) AS p, lead(a) OVER (ORDER BY k) AS q FROM cv)""",
+)
 feature("mean", "SELECT avg(y) AS v FROM eh")
 feature("SD", "SELECT stddev_samp(y) AS v FROM eh")
+_LONG = " UNION ALL ".join(
+    f"SELECT '{k}' AS k, {n}::INT AS idx, '{name}' AS feature, (WITH eh AS (SELECT t, y FROM et WHERE k = '{k}'), {_Z}{', ' + FEATURES[name][1] if FEATURES[name][1] else ''} {FEATURES[name][0]}) AS v"
+    for k in TYPES
+    for n, name in enumerate(SHORT_NAMES)
+)
+add("catch24_long", "et", f"SELECT k, idx, feature, {r('v', 6)} AS value FROM ({_LONG})")
+add("catch22_panel", "et", "SELECT k, " + ", ".join(f"max(CASE WHEN idx = {n} THEN {r('v', 6)} END) AS f{n:02d}" for n in range(22)) + f" FROM ({_LONG}) GROUP BY k")
 add("acf_first_zero", "eh", f"SELECT k::INT AS lag, {r('a')} AS acf, (SELECT min(k) FROM acf WHERE k > 0 AND a <= 0)::INT AS first_zero FROM acf", _Z + ", " + _ACF)
 
 # --- ARIMA -------------------------------------------------------------------------------
@@ -250,3 +363,31 @@ add(
     f"SELECT h::INT AS h, {r(_VAR, 5)} AS variance, {r(f'mu + power(phi, h) * last - 1.6448536269514722 * sqrt({_VAR})', 5)} AS lower, {r(f'mu + power(phi, h) * last + 1.6448536269514722 * sqrt({_VAR})', 5)} AS upper FROM m, (SELECT unnest(range(1, 13)) AS h)",
     _AR1,
 )
+
+_AR1_EACH = """w AS (SELECT k, t, y - avg(y) OVER (PARTITION BY k) AS w, avg(y) OVER (PARTITION BY k) AS mu FROM lm), l AS (SELECT *, lag(w) OVER (PARTITION BY k ORDER BY t) AS p FROM w),
+    m AS (SELECT k, sum(w * p) / sum(p * p) AS phi, any_value(mu) AS mu, arg_max(w, t) AS last FROM l GROUP BY k)"""
+add("sql_forecast_table", "lm", f"SELECT k, h::INT AS h, {r('mu + power(phi, h) * last', 3)} AS mean FROM m, (SELECT unnest(range(1, 7)) AS h)", _AR1_EACH)
+add(
+    "arima_ljung_box", "om",
+    f"""SELECT {r('statistic', 4)} AS statistic, 9 AS df, {r('1 - 0.5 * (1 + sign(z) * (1 - u * (0.254829592 + u * (-0.284496736 + u * (1.421413741 + u * (-1.453152027 + u * 1.061405429)))) * exp(-x * x)))', 4)} AS p_value, 10 AS lags
+    FROM (SELECT *, abs(z) / sqrt(2.0) AS x, 1 / (1 + 0.3275911 * abs(z) / sqrt(2.0)) AS u FROM (SELECT statistic, (cbrt(statistic / 9) - (1 - 2 / 81.0)) / sqrt(2 / 81.0) AS z FROM q))""",
+    _AR1 + """, r0 AS (SELECT l.t, l.w - m.phi * l.p AS r FROM l, m WHERE l.p IS NOT NULL), e AS (SELECT t, r - avg(r) OVER () AS e FROM r0), g AS (SELECT count(*)::DOUBLE AS n, sum(e * e) AS s FROM e),
+    c AS (SELECT k, sum(x.e * z.e) AS c FROM (SELECT unnest(range(1, 11)) AS k) JOIN e x ON true JOIN e z ON z.t = x.t - k GROUP BY k),
+    q AS (SELECT n * (n + 2) * (SELECT sum(power(c / s, 2) / (n - k)) FROM c) AS statistic FROM g)""",
+)
+
+# --- SQL functions -----------------------------------------------------------------------
+
+
+def _of_type(k: str, ctes: str, value: str, recursive: bool = False) -> str:
+    return f"(WITH {'RECURSIVE ' if recursive else ''}eh AS (SELECT t, y FROM et WHERE k = '{k}'), om AS (SELECT t, y FROM eh), {ctes} {value})"
+
+
+add(
+    "sql_functions", "et",
+    f"SELECT k, {', '.join(f'{r(c, 6)} AS {c}' for c in ('trev', 'first_smooth', 'third', 'kpss'))} FROM (" + " UNION ALL ".join(
+        f"SELECT '{k}' AS k, {_of_type(k, _Z + ', ' + FEATURES['trev'][1], FEATURES['trev'][0])} AS trev, {_of_type(k, _loess('eh', 'SELECT t AS x FROM eh', 0.3, 1), 'SELECT smoothed FROM fit WHERE x = 0')} AS first_smooth, "
+        f"{_of_type(k, _holt_winters(0.4, 0.1, 0.0, 0, False), 'SELECT fitted FROM hw WHERE t = 2', True)} AS third, {_of_type(k, _kpss('eh', False, 'kp'), 'SELECT statistic FROM kp')} AS kpss"
+        for k in TYPES
+    ) + ")",
+)
