@@ -203,6 +203,73 @@ def likelihood(w: np.ndarray, ar: np.ndarray, ma: np.ndarray) -> tuple[float, fl
     return len(w) * math.log(s2) + float(np.log(f).sum()), s2
 
 
+def _stacked(rows: list[np.ndarray], width: int) -> np.ndarray:
+    out = np.zeros((len(rows), width))
+    for k, row in enumerate(rows):
+        out[k, : len(row)] = row
+    return out
+
+
+def likelihoods(w: np.ndarray, ar: list[np.ndarray], ma: list[np.ndarray]) -> np.ndarray:
+    """What ``likelihood`` gives for each row of ``w`` and its polynomials, with the filter's
+    steps taken for all rows at once."""
+    count, n = w.shape
+    r = max(len(ar[0]), len(ma[0]) + 1)
+    ar, load = _stacked(ar, r), _stacked([np.concatenate([[1.0], m]) for m in ma], r)
+    step = np.zeros((count, r, r))
+    step[:, np.arange(r - 1), np.arange(1, r)] = 1.0
+    step[:, :, 0] += ar
+    noise = load[:, :, None] * load[:, None, :]
+    p, a = noise.copy(), step.copy()
+    good = np.ones(count, bool)
+    with np.errstate(all="ignore"):
+        for _ in range(60):  # the stationary covariance, doubling the horizon
+            add = a @ p @ a.transpose(0, 2, 1)
+            good &= np.isfinite(add).all(axis=(1, 2))
+            add[~good], a[~good] = 0.0, 0.0
+            p = p + add
+            if (np.abs(add).max(axis=(1, 2)) <= 1e-14 * np.abs(p).max(axis=(1, 2))).all():
+                break
+            a = a @ a
+        fs, gains = [], []
+        back = step.transpose(0, 2, 1)
+        for _ in range(n):
+            f = p[:, 0, 0]
+            good &= f > 0
+            k = (step @ p[:, :, :1])[:, :, 0] / f[:, None]
+            fs.append(f)
+            gains.append(k)
+            new = step @ p @ back - k[:, :, None] * k[:, None, :] * f[:, None, None] + noise
+            steady = np.abs(new - p).max(axis=(1, 2)) < 1e-13 * np.maximum(1.0, np.abs(p).max(axis=(1, 2)))
+            if (steady | ~good).all():
+                break
+            p = new
+        f = np.stack(fs, axis=1)
+        steps = min(n, f.shape[1] + r)
+        out = np.zeros((count, n))
+        state = np.zeros((count, r + 1))
+        for t in range(steps):
+            first = state[:, :1].copy()
+            out[:, t] = v = w[:, t] - first[:, 0]
+            state[:, :r] = state[:, 1:] + ar * first + gains[min(t, len(gains) - 1)] * v[:, None]
+        if steps < n:
+            late = gains[-1] - ar
+            u = w[:, steps:].copy()
+            for j in range(r):
+                u -= ar[:, j : j + 1] * w[:, steps - j - 1 : n - j - 1]
+            tail = out[:, max(0, steps - r) : steps][:, ::-1]
+            for j in range(min(r, n - steps)):  # errors from before the steady stretch
+                known = tail[:, : r - j]
+                u[:, j] -= (late[:, j : j + known.shape[1]] * known).sum(axis=1)
+            for k in np.flatnonzero(good).tolist():
+                out[k, steps:] = _convolve(u[k], impulse(late[k], n - steps))
+        logs = np.log(f)
+        ends = np.concatenate([out[:, : f.shape[1]] ** 2 / f, out[:, f.shape[1] :] ** 2 / f[:, -1:]], axis=1)
+        s2 = ends.mean(axis=1)
+        value = n * np.log(s2) + logs.sum(axis=1) + (n - f.shape[1]) * logs[:, -1]
+    return np.where(good & np.isfinite(s2) & (s2 > 0), value, math.inf)
+
+
 # --- estimation --------------------------------------------------------------------------
 
 
@@ -343,13 +410,18 @@ def fit_arima(y: np.ndarray, o: ArimaOptions, exog: np.ndarray | None = None, er
         b, *blocks = shape.natural(x)
         return likelihood(differences(b), *shape.polynomials(*blocks))[0]
 
+    def exact_at(points) -> np.ndarray:
+        found = [shape.natural(p) for p in points]
+        polynomials = [shape.polynomials(*blocks) for _, *blocks in found]
+        return likelihoods(np.stack([differences(b) for b, *_ in found]), [a for a, _ in polynomials], [m for _, m in polynomials])
+
     settled = True
     if o.method != "mle" and len(x):
         x, settled = least_squares(conditional, x)
         if not settled:
             x, settled = simplex(lambda v: float((conditional(v) ** 2).sum()), x)
     if o.method != "css" and len(x):
-        best, settled = quasi_newton(exact, x)
+        best, settled = quasi_newton(exact, x, many=exact_at)
         if not settled:
             best, settled = simplex(exact, best)
         x = best
@@ -402,15 +474,19 @@ def _standard_errors(y: np.ndarray, exog: np.ndarray | None, fit: Fit, conventio
     wx = None if exog is None else np.stack([difference(c, d, sd, m) for c in exog.T], axis=1)
     shape = _Shape(o, 0)
 
-    def objective(v: np.ndarray) -> float:
-        c, b, *blocks = np.split(v, cuts[:-1])
-        w = wy - (c if d + sd == 0 else 0.0)
-        if wx is not None:
-            w = w - wx @ b
-        return likelihood(w, *shape.polynomials(*blocks))[0]
+    def objective(points) -> np.ndarray:
+        ws, ars, mas = [], [], []
+        for v in points:
+            c, b, *blocks = np.split(v, cuts[:-1])
+            w = wy - (c if d + sd == 0 else 0.0)
+            ws.append(w if wx is None else w - wx @ b)
+            ar, ma = shape.polynomials(*blocks)
+            ars.append(ar)
+            mas.append(ma)
+        return likelihoods(np.stack(ws), ars, mas)
 
     x = np.concatenate(parts)
-    h = hessian(objective, x)
+    h = hessian(None, x, objective)
     on = np.arange(len(x)) if d + sd == 0 else np.arange(1, len(x))
     se = np.full(len(x), np.nan)
     if len(on) and np.isfinite(h[np.ix_(on, on)]).all():

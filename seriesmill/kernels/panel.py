@@ -131,7 +131,10 @@ def histogram_information(s: Standard, lag: int = 2, bins: int = 5) -> float:
 
 
 def time_reversal(s: Standard) -> float:
-    return float((np.diff(s.x) ** 3).mean()) if s.n >= 2 else math.nan
+    if s.n < 2:
+        return math.nan
+    step = np.diff(s.x)
+    return float((step * step * step).mean())
 
 
 def large_steps(s: Standard) -> float:
@@ -140,8 +143,8 @@ def large_steps(s: Standard) -> float:
 
 def _stretch(stops: np.ndarray) -> float:
     """The largest gap between stops, with the start and the last place as stops."""
-    at = np.unique(np.concatenate([[0], np.flatnonzero(stops), [len(stops) - 1]]))
-    return float(np.diff(at).max()) if len(at) > 1 else 0.0
+    at = np.concatenate([[0], np.flatnonzero(stops), [len(stops) - 1]])
+    return float(max(np.diff(at).max(), 0))
 
 
 def stretch_above_mean(s: Standard) -> float:
@@ -162,13 +165,18 @@ def transition_spread(s: Standard) -> float:
     return float(moves.var(axis=0, ddof=1).sum())
 
 
-def _without_spline(x: np.ndarray) -> np.ndarray:
-    """Residuals of a least-squares cubic spline with one knot in the middle."""
-    n = len(x)
+@lru_cache(maxsize=16)
+def _spline_basis(n: int) -> np.ndarray:
+    """Orthonormal columns that span the cubic splines with one knot in the middle."""
     t = np.arange(n) / (n - 1)
     knot = (n // 2 - 1) / (n - 1)
-    basis = np.stack([np.ones(n), t, t**2, t**3, np.clip(t - knot, 0, None) ** 3], axis=1)
-    return x - basis @ np.linalg.lstsq(basis, x, rcond=None)[0]
+    return np.linalg.qr(np.stack([np.ones(n), t, t**2, t**3, np.clip(t - knot, 0, None) ** 3], axis=1))[0]
+
+
+def _without_spline(x: np.ndarray) -> np.ndarray:
+    """Residuals of the least-squares spline."""
+    basis = _spline_basis(len(x))
+    return x - basis @ (x @ basis)
 
 
 def periodicity(s: Standard, least: float = 0.01) -> float:
@@ -276,18 +284,13 @@ def outlier_timing(s: Standard, sign: int, step: float = 0.01) -> float:
     leaves = np.searchsorted(np.arange(count + 1) * step, y[at], "right")  # the first threshold above
     left = np.bincount(np.minimum(leaves, count), minlength=count + 1)
     alive = len(at) - np.cumsum(left)[:count]
-    low, high = np.full(count + 1, n), np.full(count + 1, -1)
-    np.minimum.at(low, np.minimum(leaves, count), at)
-    np.maximum.at(high, np.minimum(leaves, count), at)
-    low, high = np.minimum.accumulate(low[::-1])[::-1][1:], np.maximum.accumulate(high[::-1])[::-1][1:]
-    gap = np.where(alive >= 2, (high - low) / np.maximum(alive - 1, 1), np.where(alive == 1, math.nan, 0.0))
-    share = (alive - 1) * (100.0 / len(at))
+    dense = np.flatnonzero((alive - 1) * (100.0 / len(at)) > 2.0)
+    lone = np.flatnonzero(alive == 1)
+    last = min(dense[-1] if len(dense) else 0, lone[0] if len(lone) else count - 1)
+    alive = alive[: last + 1]
     one, two = _ranked(at, leaves, alive, [np.maximum((alive + 1) // 2, 1), np.maximum(alive // 2 + 1, 1)])
     centre = np.where(alive > 0, ((one + two) / 2 + 1) / (n / 2) - 1, 0.0)
-    dense = np.flatnonzero(share > 2.0)
-    lone = np.flatnonzero(np.isnan(gap))
-    last = min(dense[-1] if len(dense) else 0, lone[0] if len(lone) else count - 1)
-    return float(np.median(centre[: last + 1]))
+    return float(np.median(centre))
 
 
 def low_frequency_area(s: Standard) -> float:
