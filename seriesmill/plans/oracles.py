@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..kernels import numbers
 from ..kernels.panel import SHORT_NAMES
+from ..params import PERIODIC, StlOptions
 from .inputs import SQL as SERIES
 from .inputs import TYPES
 
@@ -90,6 +91,9 @@ add("loess_at", "om", f"SELECT x, {r('smoothed', 6)} AS smoothed FROM fit", _loe
 _WIDE = ", ".join(f"max(CASE WHEN k = '{k}' THEN v END) AS {k}" for k in TYPES)
 
 
+_EVERY = "every AS MATERIALIZED (SELECT k, t, coalesce(y, 0.0) AS y FROM (SELECT DISTINCT t FROM et) CROSS JOIN (SELECT DISTINCT k FROM et) LEFT JOIN et USING (k, t))"
+
+
 def _each_type(select: str, more: str) -> str:
     """``select`` (columns) over the CTEs ``more`` of every type's series ``eh``, one after the other."""
     return " UNION ALL ".join(f"SELECT '{k}' AS k, * FROM (WITH eh AS (SELECT t, y FROM every WHERE k = '{k}'), {more} {select})" for k in TYPES)
@@ -97,7 +101,7 @@ def _each_type(select: str, more: str) -> str:
 
 add(
     "loess_batch_wide", "et", "SELECT t, " + _WIDE + " FROM (" + _each_type(f"SELECT x::BIGINT AS t, {r('smoothed', 6)} AS v FROM fit", _loess("eh", "SELECT t AS x FROM eh", 0.2, 1)) + ") GROUP BY t",
-    "every AS MATERIALIZED (SELECT k, t, coalesce(y, 0.0) AS y FROM (SELECT DISTINCT t FROM et) CROSS JOIN (SELECT DISTINCT k FROM et) LEFT JOIN et USING (k, t))",
+    _EVERY,
 )
 
 # --- exponential smoothing ---------------------------------------------------------------
@@ -171,6 +175,75 @@ add(
     _kpss("om", False) + ", om1 AS (SELECT t, y FROM (SELECT t, y - lag(y) OVER (ORDER BY t) AS y FROM om) WHERE y IS NOT NULL), " + _kpss("om1", False, "j"),
 )
 
+# --- STL ---------------------------------------------------------------------------------
+
+
+def _line(name: str, source: str, window: str, before: int = 0, after: int = 0, jump: int = 1) -> str:
+    """CTE ``name`` (g, t, y): straight lines fitted to ``source`` (g, t, y, w) around every
+    place from ``before`` its first to ``after`` its last; with ``jump`` every so many
+    places and the last, and lines between."""
+    out = f"""{name}_n AS (SELECT g, count(*) AS n FROM {source} GROUP BY g),
+{name}_p AS (SELECT g, n, k, x, least(greatest(least(greatest(x, 0), n - 1) - k // 2, 0), n - k) AS lo FROM (SELECT g, n, least({window}, n) AS k, unnest(range(-{before}, n + {after})) AS x FROM {name}_n)),
+{name}_w AS (SELECT p.g, x, (s.t - x)::DOUBLE AS d, y, w * power(1 - power(abs(s.t - x) / (greatest(x - lo, lo + k - 1 - x, 1) + 1.0::DOUBLE), 3), 3) AS v FROM (SELECT *, unnest(range(lo, lo + k)) AS place FROM {name}_p) p JOIN {source} s ON s.g = p.g AND s.t = p.place),
+{name}_a AS (SELECT g, x, sum(v) AS s0, sum(v * d) AS s1, sum(v * d * d) AS s2, sum(v * y) AS b0, sum(v * d * y) AS b1 FROM {name}_w GROUP BY g, x),
+{name}_f AS (SELECT g, x AS t, (s2 * b0 - s1 * b1) / (s0 * s2 - s1 * s1) AS y FROM {name}_a)"""
+    if jump == 1:
+        return out + f", {name} AS MATERIALIZED (SELECT * FROM {name}_f)"
+    return out + f""", {name}_k AS (SELECT f.g, t, y, t % {jump} = 0 OR t = n - 1 AS kept, t BETWEEN 0 AND n - 1 AS inner_ FROM {name}_f f JOIN {name}_n USING (g)),
+{name}_b AS (SELECT *, max(CASE WHEN kept THEN t END) OVER up AS t0, min(CASE WHEN kept THEN t END) OVER down AS t1, last_value(CASE WHEN kept THEN y END IGNORE NULLS) OVER up AS y0, first_value(CASE WHEN kept THEN y END IGNORE NULLS) OVER down AS y1
+  FROM {name}_k WHERE inner_ WINDOW up AS (PARTITION BY g ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), down AS (PARTITION BY g ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+{name} AS MATERIALIZED (SELECT g, t, CASE WHEN t0 = t1 THEN y ELSE y0 + (y1 - y0) * (t - t0) / (t1 - t0)::DOUBLE END AS y FROM {name}_b UNION ALL SELECT g, t, y FROM {name}_k WHERE NOT inner_)"""
+
+
+def _stl(source: str, o: StlOptions) -> str:
+    """CTE ``stl`` (k, t, trend, seasonal, residual) of rows (k, t, x), step by step."""
+    p = o.period
+    out = [f"x0 AS MATERIALIZED (SELECT k, t, {'ln(x)' if o.mode == 'multiplicative' else 'x'} AS x, 1.0::DOUBLE AS w, 0.0::DOUBLE AS trend FROM {source})"]
+    state = "x0"
+    for outer in range(o.outer + 1):
+        for inner in range(o.inner):
+            v = f"v{outer}_{inner}"
+            out.append(f"{v}c AS (SELECT k || '/' || t % {p} AS g, t // {p} AS t, x - trend AS y, w FROM {state})")
+            if o.seasonal == PERIODIC:
+                out.append(f"{v}s AS (SELECT g, unnest(range(-1, count(*) + 1)) AS t, sum(w * y) / sum(w) AS y FROM {v}c GROUP BY g)")
+            else:
+                out.append(_line(f"{v}s", f"{v}c", str(max(o.seasonal, 3)), 1, 1, o.seasonal_jump))
+            out.append(f"{v}l0 AS MATERIALIZED (SELECT split_part(g, '/', 1) AS k, (t + 1) * {p} + split_part(g, '/', 2)::BIGINT AS t, y FROM {v}s)")
+            for step, width in enumerate((p, p, 3)):
+                out.append(f"{v}l{step + 1} AS (SELECT k, t, y FROM (SELECT k, t, avg(y) OVER ahead AS y, count(*) OVER ahead AS c FROM {v}l{step} WINDOW ahead AS (PARTITION BY k ORDER BY t ROWS BETWEEN CURRENT ROW AND {width - 1} FOLLOWING)) WHERE c = {width})")
+            out.append(f"{v}m AS MATERIALIZED (SELECT k AS g, t, y, 1.0::DOUBLE AS w FROM {v}l3)")
+            out.append(_line(f"{v}q", f"{v}m", str(max(o.low_pass_window, 3)), jump=o.low_pass_jump))
+            out.append(f"{v}z AS MATERIALIZED (SELECT s.k, s.t, s.x, s.w, c.y - q.y AS seasonal FROM {state} s JOIN {v}l0 c ON c.k = s.k AND c.t = s.t + {p} JOIN {v}q q ON q.g = s.k AND q.t = s.t)")
+            out.append(f"{v}d AS (SELECT k AS g, t, x - seasonal AS y, w FROM {v}z)")
+            out.append(_line(f"{v}t", f"{v}d", str(max(o.trend_window, 3)), jump=o.trend_jump))
+            out.append(f"{v} AS MATERIALIZED (SELECT z.k, z.t, x, w, seasonal, r.y AS trend FROM {v}z z JOIN {v}t r ON r.g = z.k AND r.t = z.t)")
+            state = v
+        if outer < o.outer:
+            out.append(f"h{outer} AS (SELECT k, 6 * median(abs(x - trend - seasonal)) AS h FROM {state} GROUP BY k)")
+            out.append(f"x{outer + 1} AS MATERIALIZED (SELECT k, t, x, CASE WHEN abs(x - trend - seasonal) < h THEN power(1 - power((x - trend - seasonal) / h, 2), 2) ELSE 0.0 END AS w, 0.0::DOUBLE AS trend FROM {state} JOIN h{outer} USING (k))")
+            state = f"x{outer + 1}"
+    value = "exp({0})" if o.mode == "multiplicative" else "{0}"
+    parts = ", ".join(f"{value.format(e)} AS {c}" for c, e in (("trend", "trend"), ("seasonal", "seasonal"), ("residual", "x - trend - seasonal")))
+    return ",\n".join([*out, f"stl AS (SELECT k, t, {parts} FROM {state})"])
+
+
+_PARTS = ", ".join(f"{r(c, 6)} AS {c}" for c in ("trend", "seasonal", "residual"))
+for _name, _o in {
+    "stl_additive": StlOptions(12),
+    "stl_multiplicative": StlOptions(12, mode="multiplicative"),
+    "stl_robust": StlOptions(12, outer=5),
+    "stl_periodic": StlOptions(12, seasonal=PERIODIC),
+    "stl_jump": StlOptions(12, seasonal_jump=2, trend_jump=3, low_pass_jump=2),
+}.items():
+    add(_name, "om", f"SELECT t, {_PARTS} FROM stl", "kx AS (SELECT '' AS k, t, y AS x FROM om), " + _stl("kx", _o))
+add(
+    "stl_interpolate", "op",
+    f"SELECT p, stl.t AS t, {r('trend', 6)} AS trend, {r('seasonal', 6)} AS seasonal, CASE WHEN y IS NOT NULL THEN {r('residual', 6)} END AS residual FROM stl JOIN f ON f.p = stl.k AND f.t = stl.t",
+    _FILLED + ", kx AS (SELECT p AS k, t, x FROM f), " + _stl("kx", StlOptions(12)),
+)
+add("stl_events_panel", "et", f"SELECT k, t, {_PARTS} FROM stl", "kx AS (SELECT k, t, y AS x FROM et), " + _stl("kx", StlOptions(24)))
+add("stl_batch_wide", "et", f"SELECT t, {_WIDE.replace('THEN v', 'THEN ' + r('seasonal', 6))} FROM stl GROUP BY t", _EVERY + ", kx AS (SELECT k, t, y AS x FROM every), " + _stl("kx", StlOptions(24)))
+
 # --- choosing exponents ------------------------------------------------------------------
 
 
