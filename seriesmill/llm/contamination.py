@@ -333,7 +333,9 @@ def _merged(spans):
 
 
 def digest(contamination: DataFrame) -> DataFrame:
-    return contamination.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")
+    """With the spans as text: ``first-end`` of each, comma-joined."""
+    told = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["first"].cast("string"), s["end"].cast("string"))), ",")
+    return contamination.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", told.alias("spans"))
 
 
 def _cut(batches):

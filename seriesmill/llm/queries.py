@@ -139,6 +139,28 @@ SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN host IN (SELECT host
 """
 
 
+_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+ORACLE_OP6 = rf"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORDS}') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORDS}') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS s
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
+places AS (
+  SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS s
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)),
+hits AS MATERIALIZED (SELECT r, i, p.n, item_id FROM places p JOIN windows v ON v.n = p.n AND v.s = p.s),
+words AS (SELECT DISTINCT r, unnest(range(i - 1, i + n - 1)) AS place FROM (SELECT DISTINCT r, i, n FROM hits)),
+runs AS (SELECT r, min(place) AS first, max(place) + 1 AS end_ FROM (SELECT r, place, place - row_number() OVER (PARTITION BY r ORDER BY place) AS run FROM words) GROUP BY r, run),
+spans AS (SELECT r, sum(end_ - first)::BIGINT AS n_hit, string_agg(first || '-' || end_, ',' ORDER BY first) AS spans FROM runs GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN spans USING (r) LEFT JOIN named USING (r)
+"""
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_toxicity": op2_toxicity,
@@ -155,4 +177,5 @@ ORACLES = {
     "op1_ngram_jaccard_join": ORACLE_OP1,
     "op4_chat_formatting": ORACLE_OP4,
     "op5_url_filters": _op5_sql(),
+    "op6_decontamination": ORACLE_OP6,
 }
