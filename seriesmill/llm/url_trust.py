@@ -65,7 +65,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 #: Rounds of propagation in one plan; between two plans the state is a stored table.
-STRIDE = 8
+STRIDE = 4
 
 
 def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
