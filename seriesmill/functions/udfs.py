@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..kernels import arma, boxcox, holt, loess, panel, stl, tests
+from ..kernels import arma, boxcox, diagnostics, holt, loess, panel, stl
 from ..kernels.numbers import interpolate
 from ..params import ArimaOptions, HoltWintersOptions, LoessOptions, StlOptions
 from ..sources.series import pack  # noqa: F401  (the packed form these functions take)
@@ -55,11 +55,11 @@ def series_features(y: pd.Series) -> pd.Series:
 
 
 def series_kpss(y: pd.Series) -> pd.Series:
-    return _each(lambda s: tests.kpss(s)["statistic"], y).astype(float)
+    return _each(lambda s: diagnostics.kpss(s)["statistic"], y).astype(float)
 
 
 def series_ljung_box(y: pd.Series, lags: pd.Series) -> pd.Series:
-    return _each(lambda s, k: tests.ljung_box(s, int(k))["p_value"], y, lags).astype(float)
+    return _each(lambda s, k: diagnostics.ljung_box(s, int(k))["p_value"], y, lags).astype(float)
 
 
 class SeriesForecast:

@@ -17,7 +17,7 @@ from ..errors import ExogMismatch, NonFinite, NotConverged, SeriesTooShort, Sing
 from ..params import ArimaOptions, AutoArimaOptions
 from .numbers import normal_quantile
 from .optimise import hessian, least_squares, quasi_newton, simplex
-from .tests import ndiffs, nsdiffs
+from .diagnostics import ndiffs, nsdiffs
 
 # --- polynomials -------------------------------------------------------------------------
 
@@ -550,7 +550,7 @@ def auto_arima(y: np.ndarray, o: AutoArimaOptions) -> Fit:
     sd = nsdiffs(y, o.period, o.max_seasonal_d) if seasonal else 0
     rest = difference(y, 0, sd, o.period)
     d = ndiffs(rest, o.max_d) if len(rest) >= 8 else 0
-    constant = d + sd < 2
+    constant = d + sd < 2 if o.constant is None else o.constant
     tried: dict[tuple, Fit | None] = {}
     best: list = [None, None]
 
@@ -579,7 +579,9 @@ def auto_arima(y: np.ndarray, o: AutoArimaOptions) -> Fit:
     for _ in range(o.max_rounds):
         key, before = best[0], best[1].aicc
         near = [(*key[:k], key[k] + s, *key[k + 1 :]) for k in range(4) for s in (1, -1) if 0 <= key[k] + s <= limits[k]]
-        for other in [*near, (*key[:4], not key[4])]:
+        if o.constant is None:
+            near.append((*key[:4], not key[4]))
+        for other in near:
             attempt(other)
         if not best[1].aicc < before - 1e-9:
             break

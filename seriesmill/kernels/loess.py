@@ -128,20 +128,47 @@ def window(n: int, span: float, degree: int) -> int:
     return min(n, max(int(np.ceil(span * n)), degree + 2))
 
 
+def fit_places(y: np.ndarray, x: np.ndarray, k: int, degree: int, weights: np.ndarray | None = None) -> np.ndarray:
+    """As ``fit``, at the places ``x`` alone."""
+    rows, n = y.shape
+    low, d, w = tricube(n, x.astype(float), k)
+    at = low[:, None] + np.arange(k)[None, :]
+    nearest = np.clip(x, 0, n - 1)
+    if weights is None:
+        c = _coefficients(d, w, degree)
+    out = np.empty((rows, len(x)))
+    step = max(1, 2_000_000 // at.size)  # rows whose windows are held at once
+    for r in range(0, rows, step):
+        part = y[r : r + step, at]
+        if weights is None:
+            out[r : r + step] = (part * c).sum(axis=2)
+            continue
+        v = weights[r : r + step, at] * w
+        s = [(v * d**p).sum(axis=2) for p in range(2 * degree + 1)]
+        t = [(v * d**p * part).sum(axis=2) for p in range(degree + 1)]
+        out[r : r + step] = _solve(s, t, degree, y[r : r + step, nearest])
+    return out
+
+
+def jump_places(n: int, jump: int) -> np.ndarray:
+    return np.unique(np.append(np.arange(0, n, jump), n - 1))
+
+
 def jumped(y: np.ndarray, k: int, degree: int, jump: int, weights: np.ndarray | None = None) -> np.ndarray:
-    """Fits at every ``jump``-th point and the last, lines between."""
+    """Fits at every ``jump``-th point and the last alone, lines between."""
     n = y.shape[1]
     k = min(max(k, degree + 2), n)
-    full = fit(y, k, degree, weights)
-    return full if jump <= 1 else between(full, jump)
+    if jump <= 1:
+        return fit(y, k, degree, weights)
+    at = jump_places(n, jump)
+    return between(fit_places(y, at, k, degree, weights), at, n)
 
 
-def between(full: np.ndarray, jump: int) -> np.ndarray:
-    n = full.shape[1]
-    at = np.unique(np.append(np.arange(0, n, jump), n - 1))
-    grid = np.arange(n)
-    left = np.clip(np.searchsorted(at, grid, "right") - 1, 0, max(len(at) - 2, 0))
+def between(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Values at the rising places ``at`` (the first 0, the last n - 1) and lines between."""
     if len(at) == 1:
-        return full
+        return values
+    grid = np.arange(n)
+    left = np.clip(np.searchsorted(at, grid, "right") - 1, 0, len(at) - 2)
     share = (grid - at[left]) / (at[left + 1] - at[left])
-    return full[:, at[left]] + share * (full[:, at[left + 1]] - full[:, at[left]])
+    return values[:, left] + share * (values[:, left + 1] - values[:, left])

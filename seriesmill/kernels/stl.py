@@ -35,9 +35,13 @@ def _cycles(d: np.ndarray, o: StlOptions, weights: np.ndarray | None) -> np.ndar
                 mean = np.where(total > 0, (w * sub).sum(axis=1) / np.where(total > 0, total, 1), mean)
             smooth = np.repeat(mean[:, None], m + 2, axis=1)
         else:
-            smooth = loess.fit(sub, min(max(o.seasonal, 3), m), 1, w, 1, 1)
+            k = min(max(o.seasonal, 3), m)
             if o.seasonal_jump > 1 and m > 2:
-                smooth[:, 1:-1] = loess.between(smooth[:, 1:-1], o.seasonal_jump)
+                places = loess.jump_places(m, o.seasonal_jump)
+                found = loess.fit_places(sub, np.concatenate([[-1], places, [m]]), k, 1, w)
+                smooth = np.hstack([found[:, :1], loess.between(found[:, 1:-1], places, m), found[:, -1:]])
+            else:
+                smooth = loess.fit(sub, k, 1, w, 1, 1)
         place = np.array(phases)[:, None] + p * np.arange(m + 2)[None, :]
         out[:, place] = smooth.reshape(rows, len(phases), m + 2)
     return out

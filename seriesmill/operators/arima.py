@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ..errors import ExogMismatch, OptionError
 from ..grouped import by_series
 from ..kernels import arma
-from ..kernels.tests import ljung_box as portmanteau
+from ..kernels.diagnostics import ljung_box as portmanteau
 from ..params import ArimaOptions, AutoArimaOptions
 from ..sources.series import pack
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidLags, InvalidPeriod
 from ..grouped import by_series
-from ..kernels import tests as kernel
+from ..kernels import diagnostics as kernel
 from ..params import check_choice
 from ..sources.series import pack
 

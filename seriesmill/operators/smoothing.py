@@ -52,9 +52,10 @@ def loess_at(df: DataFrame, by: list[str], ts: str, y: str, points: list[float],
     return rows.select(*by, *extra, F.explode(F.arrays_zip("x", "smoothed")).alias("r")).select(*by, "r.x", "r.smoothed", *extra)
 
 
-def loess_batch(wide: DataFrame, ts: str, columns: list[str], options: LoessOptions) -> DataFrame:
-    """The wide frame with each of ``columns`` smoothed."""
-    return to_wide(loess(to_long(wide, ts, columns), ["series"], "ts", "y", options), ts, columns, "smoothed")
+def loess_batch(wide: DataFrame, ts: str, columns: list[str], options: LoessOptions, missing: str = "error") -> DataFrame:
+    """The wide frame with each of ``columns`` smoothed; missing values fail the query, or
+    with ``missing="interpolate"`` are filled first."""
+    return to_wide(loess(to_long(wide, ts, columns), ["series"], "ts", "y", options, missing), ts, columns, "smoothed")
 
 
 STATE = "fitted array<double>, level double, trend double, season array<double>, next_phase int"

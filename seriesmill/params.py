@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from .errors import InvalidDegree, InvalidIterations, InvalidJump, InvalidOrder, InvalidPeriod, InvalidSmoothing, InvalidSpan, InvalidWindow, OptionError
 
@@ -124,7 +124,7 @@ class ArimaOptions:
 
     def __post_init__(self):
         (p, d, q), (sp, sd, sq) = self.order, self.seasonal
-        if min(p, d, q, sp, sd, sq) < 0 or max(p, q, sp, sq) > 10 or d > 2 or sd > 2:
+        if min(p, d, q, sp, sd, sq) < 0 or max(p, q) > 10 or d > 2:
             raise InvalidOrder(f"order {self.order} {self.seasonal}: p, q up to 10 and d up to 2")
         if sp + sd + sq and self.period < 2:
             raise InvalidOrder("seasonal orders need a period from 2 on")
@@ -149,6 +149,8 @@ class ArimaOptions:
 
 @dataclass(frozen=True)
 class AutoArimaOptions:
+    """Limits of the order search. ``constant`` None: the search tries both."""
+
     period: int = 0
     max_p: int = 5
     max_q: int = 5
@@ -158,7 +160,7 @@ class AutoArimaOptions:
     max_seasonal_d: int = 1
     max_rounds: int = 50
     method: str = "css"
-    extra: dict = field(default_factory=dict)
+    constant: bool | None = None
 
     def __post_init__(self):
         check_choice("method", self.method, ("css", "mle", "css-mle"))

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from seriesmill import errors
-from seriesmill.kernels import arma, optimise, tests
+from seriesmill.kernels import arma, optimise, diagnostics
 from seriesmill.params import ArimaOptions, AutoArimaOptions
 
 from .generators import arma as simulate
@@ -125,7 +125,7 @@ def test_regressors():
         arma.fit_arima(y, ArimaOptions((1, 0, 0)), np.ones((400, 1)))
 
 
-@pytest.mark.parametrize("order,seasonal,period", [((11, 0, 0), (0, 0, 0), 0), ((0, 3, 0), (0, 0, 0), 0), ((0, 0, -1), (0, 0, 0), 0), ((0, 0, 0), (1, 0, 0), 0), ((0, 0, 0), (0, 3, 0), 4)])
+@pytest.mark.parametrize("order,seasonal,period", [((11, 0, 0), (0, 0, 0), 0), ((0, 3, 0), (0, 0, 0), 0), ((0, 0, -1), (0, 0, 0), 0), ((0, 0, 0), (1, 0, 0), 0), ((0, 0, 0), (0, -1, 0), 4)])
 def test_bad_orders(order, seasonal, period):
     with pytest.raises(errors.InvalidOrder):
         ArimaOptions(order, seasonal, period)
@@ -160,19 +160,38 @@ def test_optimisers_find_minima():
 def test_kpss_and_differencing():
     rng = np.random.default_rng(0)
     noise = rng.normal(size=300)
-    assert not tests.kpss(noise)["reject"] and tests.kpss(np.cumsum(noise))["reject"]
-    assert not tests.kpss(noise + 0.5 * np.arange(300), "trend")["reject"] and tests.kpss(noise + 0.5 * np.arange(300))["reject"]
-    assert tests.ndiffs(noise) == 0 and tests.ndiffs(np.cumsum(noise)) == 1 and tests.ndiffs(np.cumsum(np.cumsum(noise))) == 2
+    assert not diagnostics.kpss(noise)["reject"] and diagnostics.kpss(np.cumsum(noise))["reject"]
+    assert not diagnostics.kpss(noise + 0.5 * np.arange(300), "trend")["reject"] and diagnostics.kpss(noise + 0.5 * np.arange(300))["reject"]
+    assert diagnostics.ndiffs(noise) == 0 and diagnostics.ndiffs(np.cumsum(noise)) == 1 and diagnostics.ndiffs(np.cumsum(np.cumsum(noise))) == 2
     strong = seasonal(120, 12, noise=0.1)
-    assert tests.seasonal_strength(strong, 12) > 0.9 and tests.nsdiffs(strong, 12) == 1
-    assert tests.seasonal_strength(noise[:120], 12) < 0.64 and tests.nsdiffs(noise[:120], 12) == 0
-    assert tests.seasonal_strength(noise[:10], 12) == 0 and tests.seasonal_strength(np.ones(40), 4) == 0
+    assert diagnostics.seasonal_strength(strong, 12) > 0.9 and diagnostics.nsdiffs(strong, 12) == 1
+    assert diagnostics.seasonal_strength(noise[:120], 12) < 0.64 and diagnostics.nsdiffs(noise[:120], 12) == 0
+    assert diagnostics.seasonal_strength(noise[:10], 12) == 0 and diagnostics.seasonal_strength(np.ones(40), 4) == 0
 
 
 def test_ljung_box():
     rng = np.random.default_rng(0)
     noise, related = rng.normal(size=500), simulate([0.7], [], 500)
-    assert tests.ljung_box(noise, 10)["p_value"] > 0.01 and tests.ljung_box(related, 10)["p_value"] < 1e-6
-    assert tests.ljung_box(noise, 10, 3)["df"] == 7
+    assert diagnostics.ljung_box(noise, 10)["p_value"] > 0.01 and diagnostics.ljung_box(related, 10)["p_value"] < 1e-6
+    assert diagnostics.ljung_box(noise, 10, 3)["df"] == 7
     with pytest.raises(errors.InvalidLags):
-        tests.ljung_box(noise, 0)
+        diagnostics.ljung_box(noise, 0)
+
+
+def test_likelihoods_of_many_rows_are_those_of_each():
+    rng = np.random.default_rng(3)
+    for p, q, n in ((0, 0, 30), (1, 1, 200), (2, 3, 200), (13, 1, 60), (0, 13, 300), (3, 0, 5)):
+        ar = [arma.stationary(rng.normal(size=p)) for _ in range(6)]
+        ma = [-arma.stationary(rng.normal(size=q)) for _ in range(6)]
+        w = rng.normal(size=(6, n))
+        want = [arma.likelihood(w[k], ar[k], ma[k])[0] for k in range(6)]
+        assert np.allclose(arma.likelihoods(w, ar, ma), want, rtol=1e-9)
+    bad = arma.likelihoods(rng.normal(size=(2, 50)), [np.array([1.2]), np.array([0.5])], [np.zeros(0), np.zeros(0)])
+    assert np.isinf(bad[0]) and np.isfinite(bad[1])
+
+
+def test_long_seasonal_orders_and_a_fixed_constant():
+    assert ArimaOptions((0, 0, 0), (11, 3, 0), 4).seasonal == (11, 3, 0)
+    y = np.cumsum(simulate([0.6], [], 300, 7)) + np.arange(300)
+    for constant in (True, False):
+        assert arma.auto_arima(y, AutoArimaOptions(max_p=2, max_q=2, constant=constant)).options.constant is constant

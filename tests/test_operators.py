@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from seriesmill import errors
 from seriesmill.functions import udfs
-from seriesmill.kernels import arma, holt, loess, panel, stl, tests
+from seriesmill.kernels import arma, diagnostics, holt, loess, panel, stl
+from seriesmill.kernels.numbers import interpolate
 from seriesmill.operators import arima as ar
 from seriesmill.operators import decompose as de
 from seriesmill.operators import diagnostics as di
@@ -95,7 +96,7 @@ def test_classical_decomposition(spark, panels, mode, period):
     out = de.seasonal_decompose(frame(spark, panels), ["k"], "ts", "y", DecomposeOptions(period, mode))
     for key, y in panels.items():
         trend, season, rest = (column(out, key, c) for c in ("trend", "seasonal", "residual"))
-        want = tests.centred_average(y, period)
+        want = diagnostics.centred_average(y, period)
         assert np.allclose(trend, want, equal_nan=True)
         inside = ~np.isnan(trend)
         assert np.allclose((trend * season * rest if mode == "multiplicative" else trend + season + rest)[inside], y[inside])
@@ -186,14 +187,14 @@ def test_tests_of_a_panel(spark, panels):
     df = frame(spark, panels)
     for kind in ("constant", "trend"):
         for r in di.kpss(df, ["k"], "ts", "y", kind).collect():
-            want = tests.kpss(panels[r.k], kind)
+            want = diagnostics.kpss(panels[r.k], kind)
             assert r.statistic == pytest.approx(want["statistic"]) and r.p_value == pytest.approx(want["p_value"]) and (r.lags, r.reject) == (want["lags"], want["reject"])
     for r in di.ljung_box(df, ["k"], "ts", "y", 8, 1).collect():
-        want = tests.ljung_box(panels[r.k], 8, 1)
+        want = diagnostics.ljung_box(panels[r.k], 8, 1)
         assert r.statistic == pytest.approx(want["statistic"]) and r.p_value == pytest.approx(want["p_value"], abs=1e-9) and r.df == 7
-    assert {r.k: r.strength for r in di.seasonal_strength(df, ["k"], "ts", "y", 12).collect()} == pytest.approx({k: tests.seasonal_strength(y, 12) for k, y in panels.items()})
-    assert {r.k: r.d for r in di.ndiffs(df, ["k"], "ts", "y").collect()} == {k: tests.ndiffs(y) for k, y in panels.items()}
-    assert {r.k: r.seasonal_d for r in di.nsdiffs(df, ["k"], "ts", "y", 12).collect()} == {k: tests.nsdiffs(y, 12) for k, y in panels.items()}
+    assert {r.k: r.strength for r in di.seasonal_strength(df, ["k"], "ts", "y", 12).collect()} == pytest.approx({k: diagnostics.seasonal_strength(y, 12) for k, y in panels.items()})
+    assert {r.k: r.d for r in di.ndiffs(df, ["k"], "ts", "y").collect()} == {k: diagnostics.ndiffs(y) for k, y in panels.items()}
+    assert {r.k: r.seasonal_d for r in di.nsdiffs(df, ["k"], "ts", "y", 12).collect()} == {k: diagnostics.nsdiffs(y, 12) for k, y in panels.items()}
     with pytest.raises(Exception, match="three values"):
         di.kpss(frame(spark, {"a": [1.0, 2.0]}), ["k"], "ts", "y").collect()
     with pytest.raises(errors.InvalidLags):
@@ -212,7 +213,7 @@ def test_arima_of_a_panel(spark):
         rows = ahead.where(F.col("k").eqNullSafe(key)).orderBy("h").collect()
         assert np.allclose([(r.mean, r.variance, r.lower, r.upper) for r in rows], np.stack(arma.forecast(want, 6, 0.1), axis=1))
     lb = {r.k: r for r in ar.ljung_box(fits, ["k"], 10).collect()}
-    want = tests.ljung_box(arma.fit_arima(panels["a"], o).residuals[1:], 10, 1)
+    want = diagnostics.ljung_box(arma.fit_arima(panels["a"], o).residuals[1:], 10, 1)
     assert lb["a"].statistic == pytest.approx(want["statistic"]) and lb["a"].df == 9
     best = ar.auto_arima(frame(spark, {"a": panels["a"]}), ["k"], "ts", "y", AutoArimaOptions(max_p=2, max_q=1)).first()
     assert best.aicc <= got["a"].aicc + 1e-6
@@ -264,7 +265,7 @@ def test_wide_frames(spark):
     assert parts["trend"].columns == ["t", "a", "b"]
     assert np.allclose([r.a for r in parts["seasonal"].orderBy("t").collect()], stl.stl_rows([a], StlOptions(12))[1][0])
     classic = de.seasonal_decompose_batch(wide, "t", ["a", "b"], DecomposeOptions(12))["trend"].orderBy("t").collect()
-    assert classic[0].a is None and classic[30].b == pytest.approx(tests.centred_average(b, 12)[30])
+    assert classic[0].a is None and classic[30].b == pytest.approx(diagnostics.centred_average(b, 12)[30])
     with pytest.raises(errors.WrongType):
         sm.loess_batch(wide.withColumn("a", F.col("a").cast("int")), "t", ["a"], LoessOptions(0.4))
 
@@ -292,3 +293,15 @@ def test_sql_functions(spark, panels):
 def test_one_shuffle_by_key(spark, panels):
     plan = de.stl(frame(spark, panels), ["k"], "ts", "y", StlOptions(12))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_wide_loess_fills_or_refuses_missing_values(spark):
+    y = np.sin(np.arange(40) / 5)
+    holed = y.copy()
+    holed[[0, 11, 12]] = np.nan
+    wide = spark.createDataFrame([(t, float(a), None if math.isnan(b) else float(b)) for t, (a, b) in enumerate(zip(y, holed))], "ts long, a double, b double")
+    got = sm.loess_batch(wide, "ts", ["a", "b"], LoessOptions(0.4, 1), "interpolate").orderBy("ts").collect()
+    filled = interpolate(holed)
+    assert np.allclose([r.b for r in got], loess.fit(filled[None], loess.window(40, 0.4, 1), 1)[0])
+    with pytest.raises(Exception, match="NonFinite|missing"):
+        sm.loess_batch(wide, "ts", ["a", "b"], LoessOptions(0.4, 1)).collect()

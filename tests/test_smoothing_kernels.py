@@ -54,6 +54,16 @@ def test_jumps_are_exact_at_their_points():
     assert np.allclose(jumped[0, 1], full[0, 0] + (full[0, 5] - full[0, 0]) / 5)
 
 
+@pytest.mark.parametrize("degree", [0, 1, 2])
+@pytest.mark.parametrize("weighted", [False, True])
+def test_places_are_fitted_as_in_the_whole(degree, weighted):
+    rng = np.random.default_rng(9)
+    y = rng.normal(size=(3, 90))
+    w = rng.random((3, 90)) if weighted else None
+    x = np.array([-2, 0, 7, 44, 88, 89, 91])
+    assert np.allclose(loess.fit_places(y, x, 17, degree, w), loess.fit(y, 17, degree, w, 2, 2)[:, x + 2], atol=1e-9)
+
+
 def test_rows_are_smoothed_alone():
     y = np.random.default_rng(2).normal(size=(5, 700))
     assert np.allclose(loess.fit(y, 200, 1), np.vstack([loess.fit(r[None], 200, 1) for r in y]), atol=1e-12)
