@@ -360,15 +360,18 @@ def arima_100_css(spark, d):
     return rounded(out, "phi", "intercept", "sigma2", "log_likelihood", "aic", "aicc", "bic", places=5)
 
 
-def _summary(fits: DataFrame, *keys: str) -> DataFrame:
-    out = fits.select(*keys, F.concat("phi", "seasonal_phi").alias("ar"), F.concat("theta", "seasonal_theta").alias("ma"), "intercept", "sigma2", "aicc", "n_obs")
-    places = lambda c: F.transform(c, lambda v: F.round(v, 3))
-    return rounded(out.withColumns({"ar": places("ar"), "ma": places("ma")}), "intercept", "sigma2", "aicc", places=3)
+def _summary(fits: DataFrame, options: ArimaOptions) -> DataFrame:
+    """k, the coefficients as ar1, ... and ma1, ... (seasonal ones last), and the fit's figures."""
+    (p, _, q), (sp, _, sq) = options.order, options.seasonal
+    ar = [F.concat("phi", "seasonal_phi")[n].alias(f"ar{n + 1}") for n in range(p + sp)]
+    ma = [F.concat("theta", "seasonal_theta")[n].alias(f"ma{n + 1}") for n in range(q + sq)]
+    out = fits.select("k", *ar, *ma, "intercept", "sigma2", "aicc", "n_obs")
+    return rounded(out, *out.columns[1:-1], places=3)
 
 
 def _arima(name, options):
     def run(spark, d):
-        return _summary(ar.arima(i.lineitem_month(spark, d), ["k"], "ts", "y", options), "k")
+        return _summary(ar.arima(i.lineitem_month(spark, d), ["k"], "ts", "y", options), options)
 
     run.__name__ = name
     return query(run)
@@ -390,8 +393,8 @@ def _exog(spark, d):
 def arimax(spark, d):
     s = _exog(spark, d)
     fits = ar.arima(s, [], "ts", "y", ArimaOptions((1, 0, 0)), ["x1", "x2"])
-    out = fits.select(F.transform("beta", lambda v: F.round(v, 3)).alias("beta"), "intercept", F.transform("phi", lambda v: F.round(v, 3)).alias("phi"), "sigma2", "n_obs")
-    return rounded(out, "intercept", "sigma2", places=3)
+    out = fits.select(F.col("beta")[0].alias("beta1"), F.col("beta")[1].alias("beta2"), "intercept", F.col("phi")[0].alias("phi"), "sigma2", "n_obs")
+    return rounded(out, "beta1", "beta2", "intercept", "phi", "sigma2", places=3)
 
 
 @query

@@ -449,6 +449,83 @@ add(
     q AS (SELECT n * (n + 2) * (SELECT sum(power(c / s, 2) / (n - k)) FROM c) AS statistic FROM g)""",
 )
 
+
+
+def _grid(step: str, levels: int, source: str) -> str:
+    """CTE ``best`` (k, a, b, v): the least v of ``step``, which makes CTEs up to its name
+    (k, a, b, v) from a grid's, by finer and finer grids of two parameters within 1."""
+    width = 0.099
+    out = f"g0 AS (SELECT k, i * {width} AS a, j * {width} AS b FROM (SELECT DISTINCT k FROM {source}), (SELECT unnest(range(-10, 11)) AS i), (SELECT unnest(range(-10, 11)) AS j))"
+    for n in range(levels):
+        out += ", " + step.format(out=f"o{n}", grid=f"g{n}") + f", b{n} AS MATERIALIZED (SELECT k, arg_min({{'a': a, 'b': b, 'v': v}}, v) AS best FROM o{n} GROUP BY k)"
+        width /= 5
+        near = "least(greatest(best.{0} + {1} * {2:.4e}, -0.9999), 0.9999) AS {0}"
+        out += f", g{n + 1} AS MATERIALIZED (SELECT DISTINCT k, {near.format('a', 'i', width)}, {near.format('b', 'j', width)} FROM b{n}, (SELECT unnest(range(-10, 11)) AS i), (SELECT unnest(range(-10, 11)) AS j))"
+    return out + f", best AS (SELECT k, best.a AS a, best.b AS b, best.v AS v FROM b{levels - 1})"
+
+
+def _fit(columns: str, level: str, sigma2: str, n: str, k: int) -> str:
+    ll = f"(-0.5 * {n} * (ln(2 * pi() * {sigma2}) + 1))"
+    return f"SELECT k, {columns}, {r(level, 3)} AS intercept, {r(sigma2, 3)} AS sigma2, {r(f'2 * {k} - 2 * {ll} + 2.0 * {k} * ({k} + 1) / ({n} - {k} - 1)', 3)} AS aicc, {n}::INT AS n_obs FROM best JOIN size USING (k)"
+
+
+_TWO = f"{r('a', 3)} AS {{0}}, {r('b', 3)} AS {{1}}"
+_RECURSION = """{{out}}r AS (SELECT k, a, b, {start} FROM {{grid}} UNION ALL SELECT r.k, a, b, {step} FROM {{out}}r r JOIN cw ON cw.k = r.k AND cw.t = r.t + 1),
+  {{out}} AS (SELECT x.k, a, b, {value} AS v FROM {{out}}r x JOIN size USING (k) WHERE t = n - 1)"""
+_SIZE = "size AS MATERIALIZED (SELECT k, count(*) AS n, any_value(mu) AS mu FROM cw GROUP BY k)"
+add(
+    "arima_111_css", "lm", _fit(_TWO.format("ar1", "ma1"), "mu", "(v / (n - 1))", "(n - 1)", 4),
+    """dw AS (SELECT k, t - 1 AS t, y - lag(y) OVER (PARTITION BY k ORDER BY t) AS d FROM lm), c0 AS (SELECT k, t, d - avg(d) OVER (PARTITION BY k) AS w, avg(d) OVER (PARTITION BY k) AS mu FROM dw WHERE d IS NOT NULL),
+    cw AS MATERIALIZED (SELECT *, lag(w) OVER (PARTITION BY k ORDER BY t) AS w1 FROM c0), """ + _SIZE + ", "
+    + _grid(_RECURSION.format(start="0::BIGINT AS t, 0.0::DOUBLE AS e, 0.0::DOUBLE AS s", step="r.t + 1, w - a * w1 - b * e, s + power(w - a * w1 - b * e, 2)", value="s"), 9, "cw"),
+    True,
+)
+add(
+    "sarima_airline", "lm", _fit(_TWO.format("ma1", "ma2"), "0.0::DOUBLE", "(v / (n - 13))", "(n - 13)", 3),
+    """cw AS MATERIALIZED (SELECT k, t - 13 AS t, w, 0.0 AS mu FROM (SELECT k, t, y - lag(y) OVER o - lag(y, 12) OVER o + lag(y, 13) OVER o AS w FROM lm WINDOW o AS (PARTITION BY k ORDER BY t)) WHERE w IS NOT NULL), """ + _SIZE + ", "
+    + _grid(
+        _RECURSION.format(
+            start="12::BIGINT AS t, list_resize([]::DOUBLE[], 13, 0.0) AS z, 0.0::DOUBLE AS s",
+            step="r.t + 1, list_prepend(w - a * z[1] - b * z[12] - a * b * z[13], z[1:12]), s + power(w - a * z[1] - b * z[12] - a * b * z[13], 2)",
+            value="s",
+        ), 9, "cw"),
+    True,
+)
+_CENTRED = """c0 AS (SELECT k, t, y - avg(y) OVER (PARTITION BY k) AS w, avg(y) OVER (PARTITION BY k) AS mu FROM lm),
+    cw AS MATERIALIZED (SELECT *, lag(w) OVER (PARTITION BY k ORDER BY t) AS w1, lag(w, 2) OVER (PARTITION BY k ORDER BY t) AS w2 FROM c0), """ + _SIZE + ", "
+_AR2 = "sum(CASE t WHEN 0 THEN w * w * f1 WHEN 1 THEN power(w - a / (1 - b) * w1, 2) * (1 - b * b) ELSE power(w - a * w1 - b * w2, 2) END)"
+add(
+    "arima_cssml", "lm", _fit(_TWO.format("ar1", "ar2"), "mu", "(SELECT s FROM last WHERE last.k = best.k) / n", "(n - 2)", 4),
+    _CENTRED + _grid(
+        "{out}s AS (SELECT *, (1 + b) * (power(1 - b, 2) - a * a) / (1 - b) AS f1 FROM {grid} WHERE abs(a) < 1 - b), {out}t AS (SELECT k, a, b, f1, count(*) AS n, " + _AR2 + " AS s FROM {out}s JOIN cw USING (k) GROUP BY ALL), "
+        "{out} AS (SELECT *, n * ln(s / n) - ln(f1) - ln(1 - b * b) AS v FROM {out}t)", 9, "cw") + ", last AS (SELECT o8.k, s FROM o8 JOIN best USING (k, a, b))",
+)
+
+_EX = """ex AS MATERIALIZED (SELECT '' AS k, row_number() OVER (ORDER BY m) - 1 AS t, y, x1, row_number() OVER (ORDER BY m) - 1.0::DOUBLE AS x2 FROM
+      (SELECT date_trunc('month', o_orderdate) AS m, sum(o_totalprice) / 1e6 AS y, count(*)::DOUBLE AS x1 FROM orders GROUP BY 1))"""
+
+
+def _arimax(rows: str) -> str:
+    """CTE ``fx`` (phi, b0, b1, b2, s2, n): a regression with AR(1) errors on ``rows``; for a
+    given phi it is one of differences by phi."""
+    y, u, v = "y - lam * py", "x1 - lam * p1", "x2 - lam * p2"
+    uu, vv, uv, uy, vy = (f"covar_pop({f}, {g})" for f, g in ((u, u), (v, v), (u, v), (u, y), (v, y)))
+    det = f"({uu} * {vv} - {uv} * {uv})"
+    b1, b2 = f"({uy} * {vv} - {vy} * {uv}) / {det}", f"({vy} * {uu} - {uy} * {uv}) / {det}"
+    loss = f"covar_pop({y}, {y}) - {b1} * {uy} - {b2} * {vy}"
+    lags = ", ".join(f"lag({c}) OVER (ORDER BY t) AS {n}" for c, n in (("y", "py"), ("x1", "p1"), ("x2", "p2")))
+    return f"""{_EX}, axx AS (SELECT *, {lags} FROM ex WHERE {rows}), ax AS MATERIALIZED (SELECT * FROM axx WHERE py IS NOT NULL), {_least(-0.99, 0.99, 'ax', loss)},
+    fx AS (SELECT lam AS phi, (avg({y}) - ({b1}) * avg({u}) - ({b2}) * avg({v})) / (1 - lam) AS b0, {b1} AS b1, {b2} AS b2, {loss} AS s2, count(*) AS n FROM ax JOIN best USING (k) GROUP BY lam)"""
+
+
+add("arimax", "om", f"SELECT {r('b1', 3)} AS beta1, {r('b2', 3)} AS beta2, {r('b0', 3)} AS intercept, {r('phi', 3)} AS phi, {r('s2', 3)} AS sigma2, n::INT AS n_obs FROM fx", _arimax("true"))
+add(
+    "arimax_forecast", "om",
+    f"SELECT h, {r('m', 3)} AS mean, {r('v', 3)} AS variance, {r('m - 1.959963984540054 * sqrt(v)', 3)} AS lower, {r('m + 1.959963984540054 * sqrt(v)', 3)} AS upper FROM fc",
+    _arimax("t < 68") + """, lx AS (SELECT y - b0 - b1 * x1 - b2 * x2 AS rest FROM ex, fx WHERE t = 67),
+    fc AS (SELECT (t - 67)::INT AS h, b0 + b1 * x1 + b2 * x2 + power(phi, t - 67) * rest AS m, s2 * (1 - power(phi, 2 * (t - 67))) / (1 - phi * phi) AS v FROM ex, fx, lx WHERE t >= 68)""",
+)
+
 # --- SQL functions -----------------------------------------------------------------------
 
 
