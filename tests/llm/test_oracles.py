@@ -7,7 +7,7 @@ from seriesmill.llm.queries import ORACLES, QUERIES
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_sql(spark, small, name):
     c = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("benchmark", "conversations", "documents", "pages"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
     c.execute(ORACLES[name])
     columns = sorted(d[0] for d in c.description)
