@@ -194,6 +194,19 @@ def text_chunks(column, limit: int = 1 << 20):
         lo = hi
 
 
+def word_places(inside: np.ndarray, offsets: np.ndarray):
+    """(row, start, end) of every word of a run of texts, from the flags of its bytes."""
+    n = len(inside)
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    edge = offsets[(offsets > 0) & (offsets < n)]
+    first[edge] = inside[edge]
+    last = inside.copy()
+    last[:-1] &= ~inside[1:] | first[1:]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return np.searchsorted(offsets, start, "right") - 1, start, end
+
+
 class WordScanner:
     """Finds the words of a run of texts and a 64-bit hash of each."""
 
@@ -212,14 +225,7 @@ class WordScanner:
             none = np.zeros(0, np.int64)
             return none, none, none, np.zeros(0, U64), [np.zeros(0, U64) for _ in sizes]
         value = self.value[data]
-        inside = value != 0
-        first = inside.copy()
-        first[1:] &= ~inside[:-1]
-        edge = offsets[(offsets > 0) & (offsets < n)]
-        first[edge] = inside[edge]
-        last = inside.copy()
-        last[:-1] &= ~inside[1:] | first[1:]
-        start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        row, start, end = word_places(value != 0, offsets)
         power, inverse = _power_tables(n)
         value *= power
         total = np.cumsum(value, dtype=U64)
@@ -228,5 +234,4 @@ class WordScanner:
         for k in sizes:
             at = np.minimum(start + k, end) - 1
             beginnings.append(np.where(end - start > k, mix((total[at] - before) * back), U64(0)))
-        row = np.searchsorted(offsets, start, "right") - 1
         return row, start, end, mix((total[end - 1] - before) * back), beginnings

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, U64, WordScanner, held_out, mix, stored, text_chunks, tidy
+from .common import ALNUM, U64, WordScanner, held_out, mix, stored, text_chunks, tidy, word_places
 
 SAMPLE_ROWS = 20_000
 LEXICON_SIZE = 4_000
@@ -55,6 +55,7 @@ _UPPER[65:91] = True
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _JOINED = ALNUM | np.isin(np.arange(256), np.frombuffer(b"@$", np.uint8))
+_ODD = _DIGIT | np.isin(np.arange(256), np.frombuffer(b"@$", np.uint8))
 
 
 def hashes_of(words) -> np.ndarray:
@@ -74,7 +75,7 @@ class Scorer:
 
     def __init__(self, lexicon: np.ndarray, weights: np.ndarray):
         self.lexicon, self.weights = lexicon, weights
-        self.scan, self.joined = WordScanner(ALNUM), WordScanner(_JOINED)
+        self.scan = WordScanner(ALNUM)
         self.seed, self.person = hashes_of(SEED_LEXICON), hashes_of(SECOND_PERSON)
 
     def _weight(self, kinds) -> tuple[np.ndarray, np.ndarray]:
@@ -128,18 +129,20 @@ class Scorer:
         shouted = (of(up) == end - start) & (end - start >= 3)
         mixed = (of(digit) > 0) & (of(low_) > 0)
 
+        # words with stand-ins for letters, once these are undone
         hidden = np.zeros(n)
-        odd = _DIGIT[data] | np.isin(data, np.frombuffer(b"@$", np.uint8))
-        if odd.any():
-            jrow, jstart, jend, jh = self.joined(data, offsets)
-            seen = total(odd)
-            suspect = (seen[jend] - seen[jstart] > 0) & (low_[jend] - low_[jstart] > 0)
-            if suspect.any():
-                plain = _UNDO[data]
-                prow, pstart, pend, pkinds = _tokens(self.scan, np.where(_JOINED[data], plain, data), offsets)
-                found = (self._weight(pkinds)[0] > 0) | np.isin(pkinds[0] ^ _KIND[0], self.seed)
-                odd_word = (seen[pend] - seen[pstart] > 0) & (low_[pend] - low_[pstart] > 0)
-                hidden = sums(prow[found & odd_word])
+        jrow, jstart, jend = word_places(_JOINED[data], offsets)
+        seen = total(_ODD[data])
+        suspect = (seen[jend] - seen[jstart] > 0) & (low_[jend] - low_[jstart] > 0)
+        if suspect.any():
+            jrow, jstart, size = jrow[suspect], jstart[suspect], (jend - jstart)[suspect]
+            ends = np.cumsum(size + 1)  # a blank behind each
+            plain = np.full(ends[-1], 32, np.uint8)
+            shift = np.repeat(jstart - (ends - size - 1), size)
+            place = np.delete(np.arange(ends[-1]), ends - 1)
+            plain[place] = _UNDO[data[place + shift]]
+            kinds = _tokens(self.scan, plain, np.array([0, len(plain)]))[3]
+            hidden = sums(jrow[(self._weight(kinds)[0] > 0) | np.isin(kinds[0] ^ _KIND[0], self.seed)])
 
         hits, seeds = sums(row[hit]), sums(row[seed])
         cells = 1.0 / np.maximum(visible, 1)
