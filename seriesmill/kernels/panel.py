@@ -247,27 +247,26 @@ def whitening(s: Standard) -> float:
 
 def _ranked(at: np.ndarray, leaves: np.ndarray, alive: np.ndarray, ranks: list[np.ndarray]) -> list[np.ndarray]:
     """For each threshold j, the places of the given ranks (from 1) among the ``at`` that
-    leave after j: from a whole table of counts where it is small, else counts by block of
-    places find the block, and a look inside the place."""
+    leave after j: counts by block of places find the block, counts in it the place."""
     count = len(alive)
-    if len(at) * count <= 400_000:
-        seen = np.cumsum(leaves[None, :] > np.arange(count)[:, None], axis=1, dtype=np.int32)
-        return [at[(seen >= rank[:, None]).argmax(axis=1)].astype(float) for rank in ranks]
-    width = max(64, int(math.sqrt(len(at))))
+    width = max(16, int(math.sqrt(len(at))))
+    blocks = -(-len(at) // width)
     block = np.arange(len(at)) // width
-    blocks = int(block[-1]) + 1
     left = np.bincount(np.minimum(leaves, count) * blocks + block, minlength=(count + 1) * blocks).reshape(count + 1, blocks)
     here = np.cumsum(left[::-1], axis=0)[::-1][1:]  # alive at j: leaves > j
     upto = np.cumsum(here, axis=1)
+    places = np.zeros(blocks * width)
+    places[: len(at)] = at
+    padded = np.zeros(blocks * width, leaves.dtype)  # what pads leaves at once
+    padded[: len(at)] = leaves
+    padded = padded.reshape(blocks, width)
+    j = np.arange(count)
     out = []
     for rank in ranks:
         b = (upto >= rank[:, None]).argmax(axis=1)
-        inner = rank - (upto[np.arange(count), b] - here[np.arange(count), b])
-        place = np.zeros(count)
-        for j in np.flatnonzero(alive > 0).tolist():
-            a = b[j] * width
-            place[j] = at[a + np.flatnonzero(leaves[a : a + width] > j)[inner[j] - 1]]
-        out.append(place)
+        inner = rank - (upto[j, b] - here[j, b])
+        seen = np.cumsum(padded[b] > j[:, None], axis=1, dtype=np.int32)
+        out.append(places[b * width + (seen >= inner[:, None]).argmax(axis=1)])
     return out
 
 
@@ -318,25 +317,35 @@ def pair_entropy(s: Standard) -> float:
     return float(-(p * np.log(p)).sum())
 
 
-def _two_lines(x: np.ndarray, y: np.ndarray, least: int = 6) -> int:
-    """Where two straight lines, sharing a point, fit best: the number of points of the
-    first. All splits at once, as rows of a mask."""
-    n = len(x)
-    split = np.arange(least, n - least + 1)
-    place = np.arange(n)
-    total = np.zeros(len(split))
+@lru_cache(maxsize=16)
+def _scales(n: int, least: int = 6):
+    """Window lengths for a series of n, their logarithms, the splits of these into two
+    lines that share a point, and for both sides of all splits, as rows of a mask, the
+    sums that the lines need. None if there are too few."""
+    low, high = math.log(5), math.log(n // 2)
+    tau = np.unique(np.floor(np.exp(low + np.arange(50) * (high - low) / 49) + 0.5).astype(int))
+    if len(tau) < 12:
+        return None
+    x, place = np.log(tau), np.arange(len(tau))
+    split = np.arange(least, len(tau) - least + 1)
+    sides = []
     for mask in (place[None, :] < split[:, None], place[None, :] >= split[:, None] - 1):
-        m = mask.sum(axis=1)
-        sx, sy, sxx, sxy = (mask @ v for v in (x, y, x * x, x * y))
-        det = m * sxx - sx * sx
-        with np.errstate(divide="ignore", invalid="ignore"):
-            slope = np.where(det != 0, (m * sxy - sx * sy) / det, 0.0)
-            level = np.where(det != 0, (sy * sxx - sx * sxy) / det, 0.0)
-        rest = np.where(mask, slope[:, None] * x + level[:, None] - y, 0.0)
-        total += np.sqrt((rest * rest).sum(axis=1))
-    best = np.nanmin(total) if not np.isnan(total).all() else math.nan
-    found = _first(total == best, None)
-    return 0 if found is None or not best < math.inf else int(split[found])
+        m, sx, sxx = (v[:, None] for v in (mask.sum(axis=1), mask @ x, mask @ (x * x)))
+        sides.append((mask, m, sx, sxx, m * sxx - sx * sx))
+    return tau, x, split, sides
+
+
+def _two_lines(x: np.ndarray, y: np.ndarray, split: np.ndarray, sides) -> np.ndarray:
+    """The number of points of the first of two lines, where they fit each row of y best."""
+    total = np.zeros((len(split), len(y)))
+    for mask, m, sx, sxx, det in sides:
+        sy, sxy = mask @ y.T, mask @ (x * y).T
+        slope = np.where(det != 0, (m * sxy - sx * sy) / det, 0.0)
+        level = np.where(det != 0, (sy * sxx - sx * sxy) / det, 0.0)
+        rest = np.where(mask[:, None, :], slope[:, :, None] * x + level[:, :, None] - y, 0.0)
+        total += np.sqrt(np.einsum("ijk,ijk->ij", rest, rest))
+    best = np.where(np.isnan(total), math.inf, total).min(axis=0)
+    return np.where(best < math.inf, split[(total == best).argmax(axis=0)], 0)
 
 
 def _line_basis(t: int) -> np.ndarray:
@@ -350,33 +359,43 @@ def _small_basis(t: int) -> np.ndarray:
     return np.stack([np.full(t, 1 / math.sqrt(t)), u / math.sqrt(u @ u)], axis=1)
 
 
-def fluctuation(s: Standard, stride: int, ranges: bool) -> float:
-    n = s.n
+def fluctuations(x: np.ndarray, stride: int, ranges: bool) -> np.ndarray:
+    """Of each row of x, all of one length: a window's residuals lie in a column."""
+    count, n = x.shape
     if n < 4:
-        return math.nan
+        return np.full(count, math.nan)
     if n // 2 <= 5:
-        return 0.0
-    low, high = math.log(5), math.log(n // 2)
-    scale = np.exp(low + np.arange(50) * (high - low) / 49)
-    tau = np.unique(np.floor(scale + 0.5).astype(int))
-    if len(tau) < 12 or n // stride < 2:
-        return 0.0
-    path = np.cumsum(s.x[::stride][: n // stride])
-    out = np.zeros(len(tau))
+        return np.zeros(count)
+    scales = _scales(n)
+    if scales is None or n // stride < 2:
+        return np.zeros(count)
+    tau, logs, *sides = scales
+    path = np.cumsum(x[:, ::stride][:, : n // stride], axis=1)
+    out = np.zeros((count, len(tau)))
     for k, t in enumerate(tau.tolist()):
-        m = len(path) // t
+        m = path.shape[1] // t
         if m == 0:
             continue
-        cells, basis = path[: m * t].reshape(m, t), _line_basis(t)
-        rest = cells - (cells @ basis) @ basis.T
+        cells = path[:, : m * t].reshape(count * m, t)
+        basis = _line_basis(t)
+        if t < 64 < count * m:  # a window a column: many short rows are slow to reduce
+            rest, along = cells.T - basis @ (basis.T @ cells.T), 0
+        else:
+            rest, along = cells - (cells @ basis) @ basis.T, 1
         if ranges:
-            reach = rest.max(axis=1) - rest.min(axis=1)
-            out[k] = math.sqrt(reach @ reach / m)
+            reach = (np.maximum.reduce(rest, axis=along) - np.minimum.reduce(rest, axis=along)).reshape(count, m)
+            squares = np.einsum("ij,ij->i", reach, reach) / m
         else:
-            rest = rest.ravel()
-            out[k] = math.sqrt(rest @ rest / (m * t))
-    with np.errstate(divide="ignore"):
-        return _two_lines(np.log(tau), np.log(out)) / len(tau)
+            each = np.einsum("ij,ij->j" if along == 0 else "ij,ij->i", rest, rest)
+            squares = np.add.reduce(each.reshape(count, m), axis=1) / (m * t)
+        out[:, k] = squares
+    out = np.sqrt(out)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return _two_lines(logs, np.log(out), *sides) / len(tau)
+
+
+def fluctuation(s: Standard, stride: int, ranges: bool) -> float:
+    return float(fluctuations(s.x[None], stride, ranges)[0])
 
 
 def local_mean_error(s: Standard) -> float:
@@ -395,10 +414,14 @@ FEATURES = (
 _WITHOUT_SPREAD = {2: 0.0, 3: 0.0, 9: 0.0}
 
 
-def _moments(y: np.ndarray) -> tuple[float, float, bool]:
-    """Mean, standard deviation, and whether the series has no spread."""
+def check(y: np.ndarray) -> None:
     if not np.isfinite(y).all():
         raise NonFinite("the series has missing or infinite values")
+
+
+def _moments(y: np.ndarray) -> tuple[float, float, bool]:
+    """Mean, standard deviation, and whether the series has no spread."""
+    check(y)
     n = len(y)
     mean = float(np.cumsum(y)[-1] / n) if n else math.nan
     sd = float(y.std(ddof=1)) if n >= 2 else math.nan
@@ -406,16 +429,34 @@ def _moments(y: np.ndarray) -> tuple[float, float, bool]:
     return mean, (0.0 if n >= 2 else sd) if flat else sd, flat
 
 
+_OF_ROWS = {18: lambda x: fluctuations(x, 1, True), 19: lambda x: fluctuations(x, 2, False)}
+
+
+def features_rows(rows: list[np.ndarray]) -> np.ndarray:
+    """The panel of each of some series of one length, a row each; of a constant series,
+    and of a single value, all but three features are NaN."""
+    moments = [_moments(y) for y in rows]
+    out = np.full((len(rows), 24), math.nan)
+    out[:, 22:] = [m[:2] for m in moments]
+    for k, value in _WITHOUT_SPREAD.items():
+        out[:, k] = value
+    spread = [k for k, m in enumerate(moments) if not m[2]]
+    if not spread:
+        return out
+    x = np.stack([(rows[k] - moments[k][0]) / moments[k][1] for k in spread])
+    for row, k in zip(x, spread):
+        s = Standard(row)
+        for j, f in enumerate(FEATURES):
+            if j not in _OF_ROWS:
+                out[k, j] = f(s)
+    for j, f in _OF_ROWS.items():
+        out[spread, j] = f(x)
+    return out
+
+
 def features(y: np.ndarray, extras: bool = True) -> np.ndarray:
-    """The panel of one series; of a constant one, and one of a single value, all but
-    three features are NaN."""
-    mean, sd, flat = _moments(y)
-    if flat:
-        out = np.array([_WITHOUT_SPREAD.get(k, math.nan) for k in range(22)])
-    else:
-        s = Standard((y - mean) / sd)
-        out = np.array([f(s) for f in FEATURES])
-    return np.append(out, [mean, sd]) if extras else out
+    """The panel of one series."""
+    return features_rows([y])[0][: 24 if extras else 22]
 
 
 def feature(y: np.ndarray, name: str) -> float:

@@ -7,13 +7,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import OptionError
-from ..grouped import by_series
+from ..grouped import by_length, by_series
 from ..kernels import panel
 
 
 def _panel(df: DataFrame, by: list[str], ts: str, y: str, count: int, on_error: str) -> DataFrame:
     rows = df.select(*by, ts, F.col(y).alias("y"))
-    return by_series(rows, by, ts, ["y"], lambda s: {"x": panel.features(s)[:count]}, "x array<double>", on_error)
+    return by_length(rows, by, ts, ["y"], panel.check, lambda s: {"x": panel.features_rows(s)[:, :count]}, "x array<double>", on_error)
 
 
 def _shaped(rows: DataFrame, by: list[str], names: tuple[str, ...], form: str) -> DataFrame:
