@@ -3,7 +3,9 @@
 The recursions run as convolutions where they can: conditional residuals are the AR part
 of the series convolved with the impulse response of the inverted MA polynomial, and the
 Kalman filter steps through time only until its gain is steady; from there its
-innovations obey the same kind of recursion.
+innovations obey the same kind of recursion. Estimation takes the exact likelihood without
+a filter, from conditional errors and the best state before the first value, and its
+derivatives in closed form.
 """
 
 from __future__ import annotations
@@ -46,6 +48,16 @@ def _spread(c: np.ndarray, period: int) -> np.ndarray:
     return out
 
 
+def combined_slopes(by_short: np.ndarray, by_long: np.ndarray, short: np.ndarray, long: np.ndarray, period: int, sign: float) -> np.ndarray:
+    """The derivatives of ``combined`` from rows of those of its parts."""
+    if len(long) == 0:
+        return by_short
+    wide, narrow = np.concatenate([[1.0], sign * _spread(long, period)]), np.concatenate([[1.0], sign * short])
+    rows = [np.convolve(np.concatenate([[0.0], d]), wide)[1:] for d in by_short]
+    rows += [np.convolve(np.concatenate([[0.0], _spread(d, period)]), narrow)[1:] for d in by_long]
+    return np.array(rows).reshape(len(rows), len(short) + len(long) * period)
+
+
 def combined(short: np.ndarray, long: np.ndarray, period: int, sign: float) -> np.ndarray:
     """Lag coefficients of the product of a short and a seasonal polynomial; ``sign`` is
     -1 for AR (1 - c B ...) and 1 for MA (1 + c B ...)."""
@@ -66,6 +78,19 @@ def stationary(real: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
+def stationary_slopes(real: np.ndarray) -> np.ndarray:
+    """The derivatives of ``stationary``: a row for each number, a column a coefficient."""
+    k = len(real)
+    ar, out = np.zeros(0), np.zeros((k, k))
+    for j, x in enumerate(real.tolist()):
+        root = math.sqrt(1 + x * x)
+        r = x / root
+        out[:j, :j] -= r * out[:j, :j][:, ::-1]
+        out[j, :j], out[j, j] = -ar[::-1] / root**3, 1 / root**3
+        ar = np.append(ar - r * ar[::-1], r)
+    return out
+
+
 def unconstrained(ar: np.ndarray) -> np.ndarray:
     """The inverse of ``stationary``, for coefficients near enough to stationary."""
     ar, partial = ar.copy(), []
@@ -270,6 +295,79 @@ def likelihoods(w: np.ndarray, ar: list[np.ndarray], ma: list[np.ndarray]) -> np
     return np.where(good & np.isfinite(s2) & (s2 > 0), value, math.inf)
 
 
+def exact(w: np.ndarray, ar: np.ndarray, ma: np.ndarray, slopes: bool = False):
+    """What ``likelihood`` gives first, without a filter: the errors are those from a start
+    at zero, less the response Z a to the state a before the first value, which is normal
+    with covariance Q; the sum of squares is the least over a. With ``slopes`` also the
+    derivatives by the coefficients of ar and ma, and what an error's change at each place
+    does to the value (the errors being linear in w, that serves regressors)."""
+    n, g = len(w), max(len(ar), len(ma))
+    a_, m_ = _stacked([ar, ma], g)
+    h = impulse(ma, n) if len(ma) else np.ones(1)
+    e = _convolve(np.convolve(w, np.concatenate([[1.0], -ar]))[:n], h)
+    none = (math.inf, np.zeros(len(ar)), np.zeros(len(ma)), np.zeros(n))
+    step = np.zeros((g, g))
+    step[np.arange(g - 1), np.arange(1, g)] = 1.0
+    if g:
+        step[:, 0] += a_
+    load = a_ + m_
+    with np.errstate(all="ignore"):
+        q = _accumulated(step, np.outer(load, load))
+        if q is None:
+            return none if slopes else math.inf
+        z = np.zeros((min(n, len(h) + g), g))
+        for j in range(min(g, len(z))):
+            z[j : j + len(h), j] = h[: len(z) - j]
+        gram = z.T @ z
+        inner = np.eye(g) + q @ gram
+        sign, logdet = np.linalg.slogdet(inner)
+        try:
+            pull = np.linalg.solve(inner.T, z.T @ e[: len(z)])
+        except np.linalg.LinAlgError:
+            return none if slopes else math.inf
+        start = q @ pull
+        e[: len(z)] -= z @ start
+        square = float(e @ e + start @ pull)
+        if not (sign > 0 and math.isfinite(square) and square > 0):
+            return none if slopes else math.inf
+        value = n * math.log(square / n) + float(logdet)
+        if not slopes:
+            return value
+        back = _convolve(e[::-1], h)[::-1]
+        rate = n / square
+        by_ar = np.array([-2 * rate * (back[j:] @ w[: max(n - j, 0)]) for j in range(1, len(ar) + 1)])
+        by_ma = np.array([-2 * rate * (back[j:] @ e[: max(n - j, 0)]) for j in range(1, len(ma) + 1)])
+        if g:
+            near = np.linalg.solve(inner, q)
+            along, spread = np.zeros(len(z)), z @ near
+            for j in range(min(g, len(z))):
+                along[: len(z) - j] += spread[j:, j]
+            twice = _convolve(np.pad(h, (0, max(len(z) - len(h), 0)))[: len(z)], h)
+            by_ma -= [2 * (along[j:] @ twice[: max(len(z) - j, 0)]) for j in range(1, len(ma) + 1)]
+            weight = gram @ np.linalg.inv(inner) - rate * np.outer(pull, pull)
+            x = _accumulated(step.T, (weight + weight.T) / 2)
+            if x is None:
+                return none
+            by_ar += (2 * x @ (step @ q[:, 0] + load))[: len(ar)]
+            by_ma += (2 * x @ load)[: len(ma)]
+        return value, by_ar, by_ma, 2 * rate * back
+
+
+def _accumulated(step: np.ndarray, noise: np.ndarray) -> np.ndarray | None:
+    """The sum of step^k noise step'^k over all k, doubling the horizon; None if it is not
+    finite."""
+    p, a = noise, step
+    for _ in range(60):
+        add = a @ p @ a.T
+        p = p + add
+        if not np.isfinite(p).all():
+            return None
+        if not np.abs(add).max(initial=0.0) > 1e-14 * np.abs(p).max(initial=0.0):
+            break
+        a = a @ a
+    return p
+
+
 # --- estimation --------------------------------------------------------------------------
 
 
@@ -353,6 +451,15 @@ class _Shape:
         return combined(phi, seasonal_phi, m, -1.0), combined(theta, seasonal_theta, m, 1.0)
 
 
+    def slopes(self, x: np.ndarray):
+        """Derivatives of both polynomials: a row for each parameter after the regression's
+        (those of phi and Phi for ar, of theta and Theta for ma)."""
+        _, phi, seasonal_phi, theta, seasonal_theta = self.natural(x)
+        a, sa, m, sm = (stationary_slopes(x[i:j]) for i, j in zip(self.cuts[:-1], self.cuts[1:]))
+        period = self.o.period
+        return combined_slopes(a, sa, phi, seasonal_phi, period, -1.0), combined_slopes(-m, -sm, theta, seasonal_theta, period, 1.0)
+
+
 def _integrate(w: np.ndarray, start: np.ndarray, poly: np.ndarray) -> np.ndarray:
     """The series whose differences are w and whose first values are ``start``."""
     lost = len(poly) - 1
@@ -406,24 +513,45 @@ def fit_arima(y: np.ndarray, o: ArimaOptions, exog: np.ndarray | None = None, er
         e = residuals(differences(b), *shape.polynomials(*blocks))[start:]
         return np.where(np.isfinite(e), e, 1e100)
 
-    def exact(x: np.ndarray) -> float:
+    def conditional_slopes(x: np.ndarray, e: np.ndarray) -> np.ndarray:
         b, *blocks = shape.natural(x)
-        return likelihood(differences(b), *shape.polynomials(*blocks))[0]
+        ar, ma = shape.polynomials(*blocks)
+        by_ar, by_ma = shape.slopes(x)
+        w, size = differences(b), len(e)
+        h = impulse(ma, size) if len(ma) else np.ones(1)
+        poly = np.concatenate([[1.0], -ar])
+        columns = [-_convolve(np.convolve(c, poly)[start : len(w)], h) for c in (() if design is None else wx.T)]
+        if len(by_ar):
+            on = np.flatnonzero(by_ar.any(axis=0))
+            lagged = np.stack([_convolve(w[start - j - 1 : len(w) - j - 1], h) for j in on.tolist()]) if len(on) else np.zeros((0, size))
+            columns += list(-by_ar[:, on] @ lagged)
+        if len(by_ma):
+            late = _convolve(e, h)
+            columns += [-np.convolve(late, np.concatenate([[0.0], d]))[:size] for d in by_ma]
+        return np.stack(columns, axis=1)
+
+    def full(x: np.ndarray) -> float:
+        b, *blocks = shape.natural(x)
+        return exact(differences(b), *shape.polynomials(*blocks))
 
-    def exact_at(points) -> np.ndarray:
-        found = [shape.natural(p) for p in points]
-        polynomials = [shape.polynomials(*blocks) for _, *blocks in found]
-        return likelihoods(np.stack([differences(b) for b, *_ in found]), [a for a, _ in polynomials], [m for _, m in polynomials])
+    def full_slopes(x: np.ndarray) -> np.ndarray:
+        b, *blocks = shape.natural(x)
+        ar, ma = shape.polynomials(*blocks)
+        by_ar, by_ma = shape.slopes(x)
+        _, of_ar, of_ma, of_errors = exact(differences(b), ar, ma, True)
+        poly = np.concatenate([[1.0], -ar])
+        of_b = [] if design is None else [-(of_errors @ np.convolve(c, poly)[: len(c)]) for c in wx.T]
+        return np.concatenate([of_b, by_ar @ of_ar, by_ma @ of_ma])
 
     settled = True
     if o.method != "mle" and len(x):
-        x, settled = least_squares(conditional, x)
+        x, settled = least_squares(conditional, x, slopes=conditional_slopes)
         if not settled:
             x, settled = simplex(lambda v: float((conditional(v) ** 2).sum()), x)
     if o.method != "css" and len(x):
-        best, settled = quasi_newton(exact, x, many=exact_at)
+        best, settled = quasi_newton(full, x, gradient=full_slopes)
         if not settled:
-            best, settled = simplex(exact, best)
+            best, settled = simplex(full, best)
         x = best
     if not settled:
         raise NotConverged("the optimiser did not settle")

@@ -195,3 +195,60 @@ def test_long_seasonal_orders_and_a_fixed_constant():
     y = np.cumsum(simulate([0.6], [], 300, 7)) + np.arange(300)
     for constant in (True, False):
         assert arma.auto_arima(y, AutoArimaOptions(max_p=2, max_q=2, constant=constant)).options.constant is constant
+
+
+SHAPES = [(1, 0, 0, 0, 0), (0, 1, 0, 0, 0), (2, 1, 0, 0, 0), (1, 3, 0, 0, 0), (0, 1, 0, 1, 12), (1, 1, 1, 1, 4), (2, 0, 1, 0, 5)]
+
+
+@pytest.mark.parametrize("n", [4, 40, 600])
+@pytest.mark.parametrize("p,q,sp,sq,period", SHAPES)
+def test_the_likelihood_without_a_filter_and_its_slopes(n, p, q, sp, sq, period):
+    rng = np.random.default_rng(n + p + 10 * q)
+    w = rng.normal(size=n)
+    ar = arma.combined(arma.stationary(rng.normal(size=p)), arma.stationary(rng.normal(size=sp)), period, -1.0)
+    ma = arma.combined(-arma.stationary(rng.normal(size=q)), -arma.stationary(rng.normal(size=sq)), period, 1.0)
+    value, by_ar, by_ma, by_errors = arma.exact(w, ar, ma, True)
+    assert value == arma.exact(w, ar, ma) == pytest.approx(arma.likelihood(w, ar, ma)[0], rel=1e-9, abs=1e-8)
+    near = lambda f, x: optimise._gradient(f, x) if len(x) else x
+    assert np.allclose(by_ar, near(lambda x: arma.exact(w, x, ma), ar), rtol=1e-4, atol=1e-4)
+    assert np.allclose(by_ma, near(lambda x: arma.exact(w, ar, x), ma), rtol=1e-4, atol=1e-4)
+    change = rng.normal(size=n)
+    moved = near(lambda x: arma.exact(w + x[0] * change, ar, ma), np.zeros(1))[0]
+    assert by_errors @ np.convolve(change, np.concatenate([[1.0], -ar]))[:n] == pytest.approx(moved, rel=1e-4, abs=1e-4)
+
+
+def test_no_likelihood_of_an_explosive_process():
+    assert arma.exact(np.ones(50), np.array([1.2]), np.zeros(0)) == np.inf
+    assert arma.exact(np.zeros(50), np.array([0.5]), np.zeros(0)) == np.inf
+
+
+@pytest.mark.parametrize("p,q,sp,sq,period", SHAPES)
+def test_slopes_of_the_parameter_maps(p, q, sp, sq, period):
+    shape = arma._Shape(ArimaOptions((p, 0, q), (sp, 0, sq), period), 0)
+    x = np.random.default_rng(p + q).normal(size=p + q + sp + sq)
+    for which, slopes in enumerate(shape.slopes(x)):
+        own = [k for k, block in enumerate([0] * (p + sp) + [1] * (q + sq)) if block == which]
+        step = lambda k: 1e-6 * np.eye(len(x))[k]
+        of = lambda v: shape.polynomials(*shape.natural(v)[1:])[which]
+        want = [(of(x + step(k)) - of(x - step(k))) / 2e-6 for k in own]
+        assert len(slopes) == len(own) and np.allclose(slopes, np.array(want).reshape(slopes.shape), atol=1e-7)
+
+
+def test_likelihood_fits_are_at_an_optimum():
+    rng = np.random.default_rng(8)
+    y = simulate([0.5, -0.2], [0.4], 300)
+    x = rng.normal(size=(300, 1))
+    for exog, order in ((None, (2, 0, 1)), (None, (1, 1, 2)), (x, (1, 0, 1))):
+        fit = arma.fit_arima(y if exog is None else y + 2 * exog[:, 0], ArimaOptions(order, method="mle"), exog)
+        w = np.diff(y, n=order[1]) if exog is None else y + 2 * x[:, 0] - fit.intercept - x @ fit.beta
+        w = w - w.mean() if exog is None else w
+        best = arma.likelihood(w, fit.phi, fit.theta)[0]
+        for k in range(order[0]):
+            for h in (1e-3, -1e-3):
+                assert arma.likelihood(w, fit.phi + h * np.eye(order[0])[k], fit.theta)[0] > best
+        for k in range(order[2]):
+            for h in (1e-3, -1e-3):
+                assert arma.likelihood(w, fit.phi, fit.theta + h * np.eye(order[2])[k])[0] > best
+        if exog is not None:
+            for h in (1e-3, -1e-3):
+                assert arma.likelihood(w - h, fit.phi, fit.theta)[0] > best and arma.likelihood(w - h * x[:, 0], fit.phi, fit.theta)[0] > best

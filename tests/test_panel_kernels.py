@@ -86,3 +86,26 @@ def test_periodicity_of_a_sine():
     y = np.sin(2 * np.pi * np.arange(400) / 25) + 0.05 * np.random.default_rng(0).normal(size=400)
     assert abs(panel.feature(y, "periodicity") + 1 - 25) <= 1
     assert panel.feature(y, "PD_PeriodicityWang_th0_01") == panel.feature(y, "periodicity")
+
+
+def test_the_panel_of_many_series_is_that_of_each():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 7, 40, 300):
+        rows = [rng.normal(size=n), np.cumsum(rng.normal(size=n)), np.full(n, 3.0), np.exp(rng.normal(size=n))]
+        got = panel.features_rows(rows)
+        assert got.shape == (4, 24) and np.allclose(got, [panel.features(y) for y in rows], equal_nan=True)
+
+
+@pytest.mark.parametrize("n", [60, 700, 6000])
+def test_outlier_timing_by_each_threshold(n):
+    y = np.random.default_rng(n).normal(size=n)
+    x = (y - y.mean()) / y.std(ddof=1)
+    for sign in (1, -1):
+        z, medians = sign * x, []
+        all_above = (z >= 0).sum()
+        steps = [np.flatnonzero(z >= 0.01 * j) for j in range(int(z.max() / 0.01) + 1)]
+        dense = [j for j, a in enumerate(steps) if (len(a) - 1) * (100 / all_above) > 2]
+        lone = [j for j, a in enumerate(steps) if len(a) == 1]
+        for a in steps[: min(dense[-1], lone[0] if lone else len(steps) - 1) + 1]:
+            medians.append((np.median(a) + 1) / (n / 2) - 1)
+        assert panel.outlier_timing(panel.Standard(x), sign) == pytest.approx(np.median(medians), abs=1e-12)
