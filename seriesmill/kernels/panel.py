@@ -287,9 +287,12 @@ def outlier_timing(s: Standard, sign: int, step: float = 0.01) -> float:
     lone = np.flatnonzero(alive == 1)
     last = min(dense[-1] if len(dense) else 0, lone[0] if len(lone) else count - 1)
     alive = alive[: last + 1]
+    changes = np.flatnonzero(np.diff(alive, prepend=-1))  # between these nothing leaves
+    runs = np.diff(changes, append=len(alive))
+    alive, leaves = alive[changes], np.searchsorted(changes, leaves, "left")
     one, two = _ranked(at, leaves, alive, [np.maximum((alive + 1) // 2, 1), np.maximum(alive // 2 + 1, 1)])
     centre = np.where(alive > 0, ((one + two) / 2 + 1) / (n / 2) - 1, 0.0)
-    return float(np.median(centre))
+    return float(np.median(np.repeat(centre, runs)))
 
 
 def low_frequency_area(s: Standard) -> float:
