@@ -18,7 +18,7 @@ import numpy as np
 from ..errors import ExogMismatch, NonFinite, NotConverged, SeriesTooShort, SingularModel
 from ..params import ArimaOptions, AutoArimaOptions
 from .numbers import normal_quantile
-from .optimise import hessian, least_squares, quasi_newton, simplex
+from .optimise import hessian, least_squares, newton, quasi_newton, simplex
 from .diagnostics import ndiffs, nsdiffs
 
 # --- polynomials -------------------------------------------------------------------------
@@ -67,38 +67,46 @@ def combined(short: np.ndarray, long: np.ndarray, period: int, sign: float) -> n
     return sign * product[1:]
 
 
-def stationary(real: np.ndarray) -> np.ndarray:
+#: Partial autocorrelations of conditional fits stay within this. Their sum of squares may
+#: fall right up to a unit root and past it, and then has no minimum short of one.
+CSS_LIMIT = 0.9999
+#: Beyond this number a partial autocorrelation is within 5e-5 of its limit; the limit itself.
+NEAR_LIMIT, AT_LIMIT = 100.0, 1e8
+
+
+def stationary(real: np.ndarray, limit: float = 1.0) -> np.ndarray:
     """AR coefficients of a stationary process from any real numbers: these become
-    partial autocorrelations, and these coefficients by Durbin and Levinson."""
+    partial autocorrelations within ``limit``, and these coefficients by Durbin and
+    Levinson."""
     out: list[float] = []
     for x in real.tolist():
-        r = x / math.sqrt(1 + x * x)
+        r = limit * (x / math.sqrt(1 + x * x))
         out = [a - r * b for a, b in zip(out, reversed(out))]
         out.append(r)
     return np.array(out)
 
 
-def stationary_slopes(real: np.ndarray) -> np.ndarray:
+def stationary_slopes(real: np.ndarray, limit: float = 1.0) -> np.ndarray:
     """The derivatives of ``stationary``: a row for each number, a column a coefficient."""
     k = len(real)
     ar, out = np.zeros(0), np.zeros((k, k))
     for j, x in enumerate(real.tolist()):
         root = math.sqrt(1 + x * x)
-        r = x / root
+        r = limit * (x / root)
         out[:j, :j] -= r * out[:j, :j][:, ::-1]
-        out[j, :j], out[j, j] = -ar[::-1] / root**3, 1 / root**3
+        out[j, :j], out[j, j] = -ar[::-1] * limit / root**3, limit / root**3
         ar = np.append(ar - r * ar[::-1], r)
     return out
 
 
-def unconstrained(ar: np.ndarray) -> np.ndarray:
+def unconstrained(ar: np.ndarray, limit: float = 1.0) -> np.ndarray:
     """The inverse of ``stationary``, for coefficients near enough to stationary."""
     ar, partial = ar.copy(), []
     while len(ar):
         r = float(np.clip(ar[-1], -0.999999, 0.999999))
         partial.append(r)
         ar = (ar[:-1] + r * ar[:-1][::-1]) / (1 - r * r)
-    partial = np.array(partial[::-1])
+    partial = np.clip(np.array(partial[::-1]) / limit, -0.999999, 0.999999)
     return partial / np.sqrt(1 - partial * partial)
 
 
@@ -436,15 +444,20 @@ class Fit:
 class _Shape:
     """Where each block of parameters lies, and what it stands for."""
 
-    def __init__(self, o: ArimaOptions, regressors: int):
+    def __init__(self, o: ArimaOptions, regressors: int, limit: float = 1.0):
         (p, _, q), (sp, _, sq) = o.order, o.seasonal
-        self.o, self.sizes, self.regressors = o, (p, sp, q, sq), regressors
+        self.o, self.sizes, self.regressors, self.limit = o, (p, sp, q, sq), regressors, limit
         self.cuts = np.cumsum([regressors, p, sp, q, sq])
 
     def natural(self, x: np.ndarray):
         """(regression coefficients, phi, Phi, theta, Theta)"""
         b, a, sa, m, sm = (x[i:j] for i, j in zip([0, *self.cuts[:-1]], self.cuts))
-        return b, stationary(a), stationary(sa), -stationary(m), -stationary(sm)
+        a, sa, m, sm = (stationary(block, self.limit) for block in (a, sa, m, sm))
+        return b, a, sa, -m, -sm
+
+    def real(self, b, phi, seasonal_phi, theta, seasonal_theta) -> np.ndarray:
+        """The inverse of ``natural``."""
+        return np.concatenate([b, *[unconstrained(c, self.limit) for c in (phi, seasonal_phi, -theta, -seasonal_theta)]])
 
     def polynomials(self, phi, seasonal_phi, theta, seasonal_theta):
         m = self.o.period
@@ -455,7 +468,7 @@ class _Shape:
         """Derivatives of both polynomials: a row for each parameter after the regression's
         (those of phi and Phi for ar, of theta and Theta for ma)."""
         _, phi, seasonal_phi, theta, seasonal_theta = self.natural(x)
-        a, sa, m, sm = (stationary_slopes(x[i:j]) for i, j in zip(self.cuts[:-1], self.cuts[1:]))
+        a, sa, m, sm = (stationary_slopes(x[i:j], self.limit) for i, j in zip(self.cuts[:-1], self.cuts[1:]))
         period = self.o.period
         return combined_slopes(a, sa, phi, seasonal_phi, period, -1.0), combined_slopes(-m, -sm, theta, seasonal_theta, period, 1.0)
 
@@ -492,7 +505,7 @@ def fit_arima(y: np.ndarray, o: ArimaOptions, exog: np.ndarray | None = None, er
         raise NonFinite("the series or a regressor has missing or infinite values")
     start = max(o.ar_reach, o.ma_reach)
     design = None if exog is None else np.column_stack([np.ones(n), exog])
-    shape = _Shape(o, 0 if design is None else design.shape[1])
+    shape = _Shape(o, 0 if design is None else design.shape[1], 1.0 if o.method == "mle" else CSS_LIMIT)
 
     if design is None:
         w = difference(y, d, sd, m)
@@ -506,7 +519,7 @@ def fit_arima(y: np.ndarray, o: ArimaOptions, exog: np.ndarray | None = None, er
         wy, wx = difference(y, d, sd, m), np.stack([difference(c, d, sd, m) for c in design.T], axis=1)
         differences = lambda b: wy - wx @ b
     phi0, theta0 = _seed(differences(beta0), p, q)
-    x = np.concatenate([beta0, unconstrained(phi0), np.zeros(sp), unconstrained(-theta0), np.zeros(sq)])
+    x = shape.real(beta0, phi0, np.zeros(sp), theta0, np.zeros(sq))
 
     def conditional(x: np.ndarray) -> np.ndarray:
         b, *blocks = shape.natural(x)
@@ -548,7 +561,17 @@ def fit_arima(y: np.ndarray, o: ArimaOptions, exog: np.ndarray | None = None, er
         x, settled = least_squares(conditional, x, slopes=conditional_slopes)
         if not settled:
             x, settled = simplex(lambda v: float((conditional(v) ** 2).sum()), x)
+        for k in range(shape.regressors, len(x)):
+            if abs(x[k]) > NEAR_LIMIT:  # a search that runs into the limit stops short of it
+                at = x.copy()
+                at[k] = math.copysign(AT_LIMIT, x[k])
+                at = least_squares(conditional, at, slopes=conditional_slopes)[0]
+                if (conditional(at) ** 2).sum() <= (conditional(x) ** 2).sum():
+                    x = at
+        x = newton(conditional, conditional_slopes, x)
     if o.method != "css" and len(x):
+        within, shape.limit = shape.natural(x), 1.0
+        x = shape.real(*within)
         best, settled = quasi_newton(full, x, gradient=full_slopes)
         if not settled:
             best, settled = simplex(full, best)

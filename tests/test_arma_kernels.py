@@ -49,6 +49,35 @@ def test_a_steady_filter_is_the_full_one():
     assert np.allclose(quick.errors(w), full.errors(w), atol=1e-9) and np.allclose(quick.variances(), full.variances())
 
 
+@pytest.mark.parametrize("seed", [29, 57])
+def test_a_sum_of_squares_that_falls_to_a_unit_root_is_taken_at_the_limit(seed):
+    t = np.arange(80)
+    y = 0.3 * t + 4 * np.sin(t * np.pi / 6) + np.random.default_rng(seed).normal(size=80)
+    fit = arma.fit_arima(y, ArimaOptions((0, 1, 1), (0, 1, 1), 12, constant=False))
+
+    def cost(theta, seasonal_theta):
+        ma = arma.combined(np.array([theta]), np.array([seasonal_theta]), 12, 1.0)
+        return (naive_residuals(arma.difference(y, 1, 1, 12), [], ma) ** 2).sum()
+
+    best = fit.seasonal_theta[0]
+    assert fit.theta[0] == pytest.approx(-0.9999, abs=1e-12)
+    assert cost(-1.0, best) < cost(-0.9999, best) < cost(-0.9998, best)
+    assert fit.sigma2 * fit.n_obs == pytest.approx(cost(-0.9999, best), rel=1e-12)
+    assert all(cost(-0.9999, best + step) >= cost(-0.9999, best) for step in (-1e-6, 1e-6))
+
+
+def test_a_slow_search_is_finished_exactly():
+    """Large residuals at the minimum, where steps by the Jacobian alone become small."""
+    def residuals(x):
+        return np.array([x[0] ** 2 - 3.0, 2.0 * x[0] - 9.0, x[0] * x[1] + 20.0, x[1] - 1.0])
+
+    def slopes(x, r):
+        return np.array([[2 * x[0], 0.0], [2.0, 0.0], [x[1], x[0]], [0.0, 1.0]])
+
+    x = optimise.newton(residuals, slopes, optimise.least_squares(residuals, np.array([2.0, -5.0]), slopes=slopes)[0])
+    assert np.abs(slopes(x, None).T @ residuals(x)).max() < 1e-8
+
+
 def test_seasonal_products():
     assert np.allclose(arma.combined(np.array([0.5]), np.array([0.4]), 4, -1.0), [0.5, 0, 0, 0.4, -0.2])
     assert np.allclose(arma.combined(np.array([0.5]), np.array([0.4]), 4, 1.0), [0.5, 0, 0, 0.4, 0.2])
