@@ -363,11 +363,13 @@ def connected(edges: DataFrame, name: str = "labels") -> DataFrame:
     """(id, label): the least id reachable from each id that has an edge (a, b).
 
     Hooking to the least neighbour label and pointer jumping, one stored table a
-    round; the number of rounds grows with the logarithm of the longest path.
+    round; the number of rounds grows with the logarithm of the longest path. Texts of
+    a group meet under many keys, so edges come repeatedly: once each, and only then
+    in both directions.
     """
-    edges = edges.where("a <> b")
+    edges = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     both = edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.u", "e.v")
-    both = stored(both.distinct(), f"{name}-edges")
+    both = stored(both, f"{name}-edges")
     labels = stored(both.groupBy(F.col("u").alias("id")).agg(F.least(F.col("u"), F.min("v")).alias("label")), name)
     while True:
         heard = both.join(labels.select(F.col("id").alias("v"), "label"), "v").groupBy(F.col("u").alias("id")).agg(F.min("label").alias("heard"))

@@ -138,3 +138,35 @@ def test_texts_of_one_id_of_different_sizes(spark):
     rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(a[:58])), (3, " ".join(b[4:])), *[(10 + k, " ".join(a[: 45 - k] + prose(90 + k, 15, 3000))) for k in range(12)]]
     got = jaccard_components(documents(spark, rows), chunk_docs=2).collect()
     assert {r.doc_id: r.component_id for r in got if r.doc_id < 4} == {1: 1, 2: 1, 3: 1}
+
+
+def both_ways(spark, run):
+    """How many rows Spark's own counts give the step that turns edges both ways, while
+    ``run`` runs."""
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+    bus.waitUntilEmpty()
+    since = store.executionsCount()
+    run()
+    bus.waitUntilEmpty()
+    found, total = store.executionsList(), 0
+    for e in (found.apply(k).executionId() for k in range(since, found.size())):
+        counts, nodes = store.executionMetrics(e), store.planGraph(e).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            if node.name() == "Generate" and "struct(u" in node.desc():
+                metrics = node.metrics()
+                ids = [metrics.apply(k).accumulatorId() for k in range(metrics.size()) if metrics.apply(k).name() == "number of output rows"]
+                total += sum(int(counts.get(i).get().replace(",", "")) for i in ids if counts.get(i).isDefined())
+    return total
+
+
+def test_an_edge_that_comes_often_is_turned_once(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 1), (3, 2), (4, 4)] * 500, "a long, b long")
+    assert both_ways(spark, lambda: connected(edges).count()) == 4
+
+
+def test_edges_of_a_group_of_near_copies_grow_with_its_texts(spark):
+    texts, made = family(31, 240, 6, 200), []
+    for n in (60, 120, 240):
+        rows = list(enumerate(texts[:n]))
+        made.append(both_ways(spark, lambda: check(spark, rows)))
+    assert made[0] > 0 and all(m <= 30 * n for m, n in zip(made, (60, 120, 240)))
